@@ -1,0 +1,6 @@
+"""Streaming.
+
+The source project has no streaming, watermark, window or state code; its
+inputs are static files.  Nothing is built here on purpose: every operator
+is a batch DataFrame job.  This package exists so the layout is uniform.
+"""
