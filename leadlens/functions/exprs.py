@@ -32,11 +32,15 @@ def date_key(ts: str | Column) -> Column:
 def day_floor(later: str | Column, earlier: str | Column) -> Column:
     """whole elapsed days, floored (a purchase 2 h before signing is -1).
 
-    Works on TIMESTAMP and TIMESTAMP_NTZ; NULL when either side is NULL.
+    Calendar-day difference plus time-of-day difference, so a wall-clock
+    (TIMESTAMP_NTZ) value never passes through the session time zone.
+    NULL when either side is NULL.
     """
-    micros = (F.unix_micros(col(later).cast("timestamp"))
-              - F.unix_micros(col(earlier).cast("timestamp")))
-    return F.floor(micros / F.lit(MICROS_PER_DAY)).cast("int")
+    a, b = col(later), col(earlier)
+    secs = (F.datediff(F.to_date(a), F.to_date(b)).cast("decimal(18,0)") * 86400
+            + (F.hour(a) - F.hour(b)) * 3600 + (F.minute(a) - F.minute(b)) * 60
+            + (F.extract(F.lit("SECOND"), a) - F.extract(F.lit("SECOND"), b)))
+    return F.floor(secs / F.lit(86400)).cast("int")
 
 
 def month_bucket(days: str | Column, width: int = 30) -> Column:
