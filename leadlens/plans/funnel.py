@@ -97,3 +97,21 @@ def time_to_close(wh: Warehouse, by: str = "origin", with_max: bool = True) -> D
     if with_max:
         cols.append(F.col("_max").alias("max_days"))
     return pct.select(*cols).orderBy("median_days_to_close")
+
+
+def _explorer(wh: Warehouse) -> DataFrame:
+    return (wh["fact_lead"].join(wh.dim("dim_origin"), "origin_key")
+            .join(wh.dim("dim_landing_page"), "landing_page_key")
+            .select("lead_key", "mql_id", "origin_name", "landing_page_id", "is_won", "days_to_close"))
+
+
+def lead_explorer(wh: Warehouse, limit: int = 100) -> DataFrame:
+    """The explorer page, ordered by lead key so the page is deterministic (TakeOrdered)."""
+    return _explorer(wh).orderBy("lead_key").limit(limit)
+
+
+def lead_search(wh: Warehouse, text: str) -> DataFrame:
+    """Case-insensitive substring match on mql_id or origin."""
+    q = text.lower()
+    df = _explorer(wh)
+    return df.filter(F.lower("mql_id").contains(q) | F.lower("origin_name").contains(q))

@@ -319,3 +319,132 @@ FROM (SELECT lead_origin AS origin, total_mqls, closed_deals, cac AS est_cac,
 def q_channel_roi(wh: Warehouse) -> DataFrame:
     """C14 channel ROI and CAC efficiency."""
     return channel.channel_roi(_matrix(wh))
+
+
+# Rule thresholds used by the registered decision queries, set around the
+# fixture's channel medians (conversion ~0.48, revenue/deal ~0.87M, days ~900);
+# the reference's literal thresholds are the library defaults.
+FIXTURE_REC_RULES = {"scale_conv": 0.50, "scale_rev": 900000.0, "sdr_conv": 0.47, "sdr_days": 850.0,
+                     "landing_conv": 0.45, "landing_rev": 800000.0}
+FIXTURE_ANOMALY_RULES = {"volume_mqls": 300, "volume_sd": 0.5, "leak_conv": 0.47, "leak_act": 0.94,
+                         "slow_rev": 850000.0, "slow_days": 880.0}
+
+
+def _fmt(x: str, d: int) -> str:
+    return f"format('{{:,.{d}f}}', {x})"
+
+
+def _rec_sql(r: dict) -> str:
+    rule = (f"CASE WHEN conversion_rate >= {r['scale_conv']} AND revenue_per_closed_deal >= {r['scale_rev']} THEN 1 "
+            f"WHEN conversion_rate >= {r['sdr_conv']} AND avg_days_to_close > {r['sdr_days']} THEN 2 "
+            f"WHEN conversion_rate < {r['landing_conv']} AND revenue_per_closed_deal >= {r['landing_rev']} THEN 3 ELSE 4 END")
+    ct = f"{_fmt('conversion_rate * 100', 1)} || '%'"
+    mt = f"'$' || {_fmt('revenue_per_closed_deal', 2)}"
+    def pick(*vals):
+        return "CASE rule " + " ".join(f"WHEN {i + 1} THEN {v}" for i, v in enumerate(vals)) + " END"
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    return O.q(f"""
+SELECT lead_origin AS origin,
+  {pick(q('DOUBLE DOWN (Scale Spend)'), q('ACCELERATE SDR WORKFLOW'), q('OPTIMIZE LANDING PAGE & TARGETING'), q('DEPRECATE OR REALLOCATE SPEND'))} AS strategy,
+  {pick(q('success'), q('warning'), q('info'), q('danger'))} AS badge_color,
+  {rnd('conversion_rate * 100', 2)} AS conversion_rate, {rnd('avg_days_to_close', 1)} AS avg_days_to_close,
+  {rnd('revenue_per_closed_deal', 2)} AS revenue_per_deal, {rnd('activation_rate * 100', 2)} AS activation_rate,
+  {pick(q('Primary growth engine. Increase monthly marketing budget by 25-35%. Scale CAC budget.'),
+        q('Shorten sales cycle by assigning senior SDRs and automating lead routing.'),
+        q('Redesign top landing pages, tighten lead qualification criteria, and run A/B copy tests.'),
+        q('Reduce ad spend by 40% and reallocate capital into Paid Search and Referral.'))} AS recommended_action,
+  {pick(f"'High conversion (' || {ct} || ') and strong post-signing revenue per deal (' || {mt} || ').'",
+        f"'Solid conversion (' || {ct} || ') but bottlenecked by slow closing speed (' || {_fmt('avg_days_to_close', 1)} || ' days).'",
+        f"'Low conversion (' || {ct} || ') but high revenue per converted seller (' || {mt} || ').'",
+        f"'Sub-par conversion (' || {ct} || ') and low post-signing monetization (' || {mt} || ').'")} AS strategic_rationale
+FROM (SELECT *, {rule} AS rule FROM cm) t""", CHANNEL_MATRIX_CTE)
+
+
+@register("recommendations", _rec_sql(FIXTURE_REC_RULES))
+def q_recommendations(wh: Warehouse) -> DataFrame:
+    """R1 channel recommendations (first matching rule)."""
+    return channel.recommendations(_matrix(wh), FIXTURE_REC_RULES)
+
+
+def _anom_sql(r: dict) -> str:
+    ct = f"{_fmt('conversion_rate * 100', 1)} || '%'"
+    at = f"{_fmt('activation_rate * 100', 1)} || '%'"
+    base = f"(SELECT *, AVG(conversion_rate) OVER () AS m_, STDDEV_SAMP(conversion_rate) OVER () AS sd_ FROM cm)"
+    return O.q(f"""
+SELECT 'Volume Trap Anomaly' AS type, 'HIGH' AS severity, lead_origin AS origin,
+       'MQLs: ' || format('{{:,}}', total_mqls) || ' | Conversion: ' || {ct} AS metric,
+       'Channel produces high lead volume but severely underperforms in conversion.' AS insight,
+       'Enforce strict MQL lead scoring threshold before sending to SDRs.' AS recommendation
+FROM {base} b WHERE total_mqls >= {r['volume_mqls']} AND conversion_rate < m_ - {r['volume_sd']} * sd_
+UNION ALL
+SELECT 'Post-Signing Activation Leakage', 'CRITICAL', lead_origin,
+       'Conversion: ' || {ct} || ' | Activation: ' || {at},
+       'Sellers sign contracts but fail to list catalog products post-onboarding.',
+       'Implement 14-day mandatory Seller Onboarding Concierge program.'
+FROM cm WHERE conversion_rate >= {r['leak_conv']} AND activation_rate < {r['leak_act']}
+UNION ALL
+SELECT 'Sales Velocity Bottleneck', 'MEDIUM', lead_origin,
+       'Rev/Deal: $' || {_fmt('revenue_per_closed_deal', 2)} || ' | Days to Close: ' || {_fmt('avg_days_to_close', 1)},
+       'High-value leads take over 3 weeks to sign contract.',
+       'Provide fast-track contract templates and dedicated SR incentives.'
+FROM cm WHERE revenue_per_closed_deal >= {r['slow_rev']} AND avg_days_to_close > {r['slow_days']}""", CHANNEL_MATRIX_CTE)
+
+
+@register("anomalies", _anom_sql(FIXTURE_ANOMALY_RULES))
+def q_anomalies(wh: Warehouse) -> DataFrame:
+    """R2 channel anomaly alerts."""
+    return channel.anomalies(_matrix(wh), FIXTURE_ANOMALY_RULES)
+
+
+_SCEN_CTE = CHANNEL_MATRIX_CTE + f""",
+steps AS (SELECT CAST(i AS INTEGER) AS scenario_id, CAST(-50 + 5 * i AS DOUBLE) AS change_pct FROM range(0, 21) t(i)),
+ch AS (SELECT lead_origin AS origin, total_mqls, closed_deals, conversion_rate,
+              COALESCE(revenue_per_closed_deal, CAST(0.0 AS DOUBLE)) AS rd, {_cac_sql('lead_origin')} AS cac FROM cm),
+sim AS (
+  SELECT s.scenario_id, c.origin, s.change_pct AS budget_change_pct, c.total_mqls AS baseline_mqls,
+         CAST(floor(c.total_mqls * c.cac * (CAST(1.0 AS DOUBLE) + s.change_pct / CAST(100.0 AS DOUBLE)) / c.cac) AS BIGINT) AS simulated_mqls,
+         c.closed_deals AS baseline_deals, c.conversion_rate, c.rd
+  FROM ch c CROSS JOIN steps s),
+sim2 AS (SELECT *, CAST(floor(simulated_mqls * conversion_rate) AS BIGINT) AS simulated_deals FROM sim),
+sim3 AS (SELECT *, baseline_deals * rd AS b_, simulated_deals * rd AS s_ FROM sim2)"""
+
+
+@register("scenario_channels", O.q(f"""
+SELECT scenario_id, origin, budget_change_pct, baseline_mqls, simulated_mqls, baseline_deals, simulated_deals,
+       {rnd('b_', 2)} AS baseline_revenue, {rnd('s_', 2)} AS simulated_revenue, {rnd('s_ - b_', 2)} AS revenue_delta
+FROM sim3""", _SCEN_CTE))
+def q_scenario_channels(wh: Warehouse) -> DataFrame:
+    """R3 what-if projection per (budget step, channel)."""
+    m = _matrix(wh)
+    return channel.scenario_projection(m, channel.uniform_scenarios(m))[0]
+
+
+@register("scenario_totals", O.q(f"""
+SELECT scenario_id, {rnd('SUM(b_)', 2)} AS total_baseline_revenue, {rnd('SUM(s_)', 2)} AS total_simulated_revenue,
+       {rnd('SUM(s_) - SUM(b_)', 2)} AS net_revenue_delta,
+       CASE WHEN SUM(b_) > 0 THEN {rnd('(SUM(s_) - SUM(b_)) / SUM(b_) * 100', 2)} ELSE CAST(0.0 AS DOUBLE) END AS roi_lift_pct
+FROM sim3 GROUP BY scenario_id""", _SCEN_CTE))
+def q_scenario_totals(wh: Warehouse) -> DataFrame:
+    """R3 what-if totals and ROI lift per budget step."""
+    m = _matrix(wh)
+    return channel.scenario_projection(m, channel.uniform_scenarios(m))[1]
+
+
+@register("lead_explorer", O.q("""
+SELECT fl.lead_key, fl.mql_id, o.origin_name, lp.landing_page_id, fl.is_won, fl.days_to_close
+FROM fact_lead fl JOIN dim_origin o ON fl.origin_key = o.origin_key
+JOIN dim_landing_page lp ON fl.landing_page_key = lp.landing_page_key
+ORDER BY fl.lead_key LIMIT 100"""))
+def q_lead_explorer(wh: Warehouse) -> DataFrame:
+    """C16/P7/O3 data-explorer page: first 100 leads by key (the page size is the feature)."""
+    return funnel.lead_explorer(wh, limit=100)
+
+
+@register("lead_search", O.q("""
+SELECT fl.lead_key, fl.mql_id, o.origin_name, lp.landing_page_id, fl.is_won, fl.days_to_close
+FROM fact_lead fl JOIN dim_origin o ON fl.origin_key = o.origin_key
+JOIN dim_landing_page lp ON fl.landing_page_key = lp.landing_page_key
+WHERE contains(lower(fl.mql_id), 'build') OR contains(lower(o.origin_name), 'build')"""))
+def q_lead_search(wh: Warehouse) -> DataFrame:
+    """C16/P6 explorer search: case-insensitive substring on mql_id or origin, whole table."""
+    return funnel.lead_search(wh, "Build")
