@@ -174,7 +174,7 @@ fact_lead AS (
   LEFT JOIN dim_seller sel ON d.seller_id = sel.seller_id),
 review_avg AS (SELECT order_id, AVG(review_score) AS review_mean FROM raw_reviews GROUP BY order_id),
 fact_order_item AS (
-  SELECT i.order_id, i.order_item_id, {date_key('o.order_purchase_timestamp')} AS date_key_purchase,
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY i.order_id, i.order_item_id) AS BIGINT) AS order_item_key, i.order_id, i.order_item_id, {date_key('o.order_purchase_timestamp')} AS date_key_purchase,
          sel.seller_key, p.product_key, c.customer_key, i.price, i.freight_value, o.order_status,
          CAST(round_even(r.review_mean, 0) AS INTEGER) AS review_score,
          {day_floor('o.order_purchase_timestamp', 'sel.won_date')} AS days_after_won

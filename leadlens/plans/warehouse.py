@@ -30,6 +30,7 @@ class Warehouse:
     path: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     rows: dict[str, int] = field(default_factory=dict)
+    raw: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -61,7 +62,7 @@ def _lookup_dim(name: str, values: DataFrame, label: str, key: str,
 def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                     date_range: tuple[str, str], out_path: str | None = None) -> Warehouse:
     path = out_path or scratch_path(spark, "warehouse", unique_name("wh"))
-    wh = Warehouse(spark, path)
+    wh = Warehouse(spark, path, raw=dict(raw))
 
     mql = raw["mql"].withColumn("origin_name", clean_label("origin"))
     closed = raw["closed_deals"].withColumn("segment_name", clean_label("business_segment"))
