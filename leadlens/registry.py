@@ -96,3 +96,4 @@ for _n, (_c, _k) in _WH_TABLES.items():
 # ---------------------------------------------------------------- analyses
 from . import queries_analytics  # noqa: E402,F401  (registers the rest)
 from . import queries_audit  # noqa: E402,F401
+from . import queries_stats  # noqa: E402,F401
