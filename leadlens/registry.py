@@ -98,3 +98,4 @@ from . import queries_analytics  # noqa: E402,F401  (registers the rest)
 from . import queries_audit  # noqa: E402,F401
 from . import queries_stats  # noqa: E402,F401
 from . import queries_measures  # noqa: E402,F401
+from . import queries_ops  # noqa: E402,F401
