@@ -35,18 +35,26 @@ def _order_cols(order_by: list[str | Column]) -> list[Column]:
 
 
 def dense_key(df: DataFrame, order_by: list[str | Column], key: str,
-              name: str = "table", tiebreak: list[str | Column] | None = None) -> tuple[DataFrame, int]:
-    """Return (``df`` plus ``key`` (LONG) numbering rows 1..n in ``order_by`` order, n).
+              name: str = "table", tiebreak: list[str | Column] | None = None,
+              ordered: bool = True, stage_input: bool = False) -> tuple[DataFrame, int]:
+    """Return (``df`` plus ``key`` (LONG) numbering rows 1..n, n).
 
-    ``tiebreak`` columns only fix the order inside ties (they do not affect
-    which partition a row lands in).  Ties keep a stable, written order.
+    ``ordered``: keys follow ``order_by`` (range partitioning + local sort);
+    ``tiebreak`` columns only fix the order inside ties.  Unordered keys
+    number rows where they already are: no shuffle at all, still dense,
+    unique and fixed once written - the choice for a fact whose natural key
+    has ties.  ``stage_input`` writes ``df`` first, so the range sampler
+    scans files instead of re-running an expensive upstream plan.
     """
     spark: SparkSession = df.sparkSession
     order = _order_cols(order_by)
     within = order + _order_cols(tiebreak or [])
     staged_path = scratch_path(spark, "keys", unique_name(name, key))
-    (df.repartitionByRange(*order)
-       .sortWithinPartitions(*within)
+    if stage_input and ordered:
+        df.write.mode("overwrite").parquet(staged_path + "-in")
+        df = spark.read.parquet(staged_path + "-in")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*within) if ordered else df
+    (placed
        .withColumn(_POS, F.monotonically_increasing_id())
        .withColumn(_PID, F.shiftright(_POS, _POS_BITS).cast("int"))
        .withColumn(_POS, F.col(_POS).bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
@@ -70,3 +78,20 @@ def with_unknown_member(dim: DataFrame, key: str, label: str, value: str = "unkn
     spark = dim.sparkSession
     member = spark.createDataFrame([(unknown_key, value)], f"{key} long, {label} string")
     return dim.select(key, label).unionByName(member)
+
+
+def dense_keys_by_group(df: DataFrame, group: str, label: str, name: str = "lookup",
+                        probe: str | None = None) -> tuple[DataFrame, dict[str, tuple[int, int, int | None]]]:
+    """Dense keys 1..n_g per group in one pass (several small lookup dimensions at once).
+
+    ``df`` holds (group, label) pairs; returns (df + ``_key`` per group,
+    {group: (rows, first_key, key of label ``probe`` or None)}).  One tiny
+    row per group reaches the driver.
+    """
+    keyed, _ = dense_key(df.select(group, label).distinct(), [group, label], "_gk", name=name)
+    hit = F.min(F.when(F.col(label) == F.lit(probe), F.col("_gk"))) if probe is not None else F.lit(None)
+    rows = keyed.groupBy(group).agg(F.count(F.lit(1)), F.min("_gk"), hit).collect()
+    stats = {r[0]: (r[1], r[2], None if r[3] is None else r[3] - r[2] + 1) for r in rows}
+    first = F.create_map(*[x for g, (_, k0, _) in stats.items() for x in (F.lit(g), F.lit(k0))])
+    out = keyed.withColumn("_key", F.col("_gk") - F.element_at(first, F.col(group)) + 1).drop("_gk")
+    return out, stats

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_label, date_key, day_floor
 from ..operators.joins import broadcast_if, or_join
-from ..operators.keys import dense_key
+from ..operators.keys import dense_key, dense_keys_by_group
 from ..session import scratch_path, unique_name
 from ..sources.dates import date_dim
 from ..sources.sinks import write_table
@@ -60,27 +60,45 @@ def _lookup_dim(name: str, values: DataFrame, label: str, key: str,
 
 
 def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
-                    date_range: tuple[str, str], out_path: str | None = None) -> Warehouse:
+                    date_range: tuple[str, str], out_path: str | None = None,
+                    land: bool = True) -> Warehouse:
+    """``land``: write the raw inputs once as parquet first (right for CSV
+    sources, which the build scans several times)."""
     path = out_path or scratch_path(spark, "warehouse", unique_name("wh"))
+    if land:
+        raw = land_raw(spark, raw, f"{path}/raw")
     wh = Warehouse(spark, path, raw=dict(raw))
 
     mql = raw["mql"].withColumn("origin_name", clean_label("origin"))
     closed = raw["closed_deals"].withColumn("segment_name", clean_label("business_segment"))
 
-    # --- small lookup dimensions
-    wh.tables["dim_origin"], wh.rows["dim_origin"] = _lookup_dim(
-        "dim_origin", mql, "origin_name", "origin_key", unknown_member=False)
-    wh.tables["dim_landing_page"], wh.rows["dim_landing_page"] = _lookup_dim(
-        "dim_landing_page", mql.filter(F.col("landing_page_id").isNotNull()),
-        "landing_page_id", "landing_page_key", unknown_member=True)
-    wh.tables["dim_sdr"], wh.rows["dim_sdr"] = _lookup_dim(
-        "dim_sdr", closed.filter(F.col("sdr_id").isNotNull()), "sdr_id", "sdr_key", unknown_member=True)
-    wh.tables["dim_sr"], wh.rows["dim_sr"] = _lookup_dim(
-        "dim_sr", closed.filter(F.col("sr_id").isNotNull()), "sr_id", "sr_key", unknown_member=True)
-    seg, n_seg = _lookup_dim("dim_segment", closed, "segment_name", "segment_key", unknown_member=False)
-    if seg.filter(F.col("segment_name") == UNKNOWN).isEmpty():
+    # --- small lookup dimensions (W1-W3): one dense-key pass for all five
+    labels = (mql.select(F.lit("origin").alias("_dim"), F.col("origin_name").alias("_label"))
+              .unionByName(mql.filter(F.col("landing_page_id").isNotNull())
+                           .select(F.lit("landing_page").alias("_dim"), F.col("landing_page_id").alias("_label")))
+              .unionByName(closed.filter(F.col("sdr_id").isNotNull())
+                           .select(F.lit("sdr").alias("_dim"), F.col("sdr_id").alias("_label")))
+              .unionByName(closed.filter(F.col("sr_id").isNotNull())
+                           .select(F.lit("sr").alias("_dim"), F.col("sr_id").alias("_label")))
+              .unionByName(closed.select(F.lit("segment").alias("_dim"), F.col("segment_name").alias("_label"))))
+    keyed, counts = dense_keys_by_group(labels, "_dim", "_label", name="lookup_dims", probe=UNKNOWN)
+    for dim, key, label, unknown_member in (("origin", "origin_key", "origin_name", False),
+                                            ("landing_page", "landing_page_key", "landing_page_id", True),
+                                            ("sdr", "sdr_key", "sdr_id", True),
+                                            ("sr", "sr_key", "sr_id", True),
+                                            ("segment", "segment_key", "segment_name", False)):
+        t = keyed.filter(F.col("_dim") == dim).select(F.col("_key").alias(key), F.col("_label").alias(label))
+        n = counts.get(dim, (0, 0))[0]
+        if unknown_member:   # D9: unknown member at key 0
+            t = t.unionByName(spark.createDataFrame([(0, UNKNOWN)], f"{key} long, {label} string"))
+            n += 1
+        wh.tables[f"dim_{dim}"], wh.rows[f"dim_{dim}"] = t, n
+    seg, n_seg = wh.tables["dim_segment"], wh.rows["dim_segment"]
+    unknown_seg = counts.get("segment", (0, 0, None))[2]
+    if unknown_seg is None:
         # reference appends 'unknown' after the sorted members when absent
-        seg = seg.unionByName(spark.createDataFrame([(n_seg + 1, UNKNOWN)], "segment_key long, segment_name string"))
+        unknown_seg = n_seg + 1
+        seg = seg.unionByName(spark.createDataFrame([(unknown_seg, UNKNOWN)], "segment_key long, segment_name string"))
         n_seg += 1
     wh.tables["dim_segment"], wh.rows["dim_segment"] = seg, n_seg
 
@@ -130,7 +148,6 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
     # --- fact_lead (W8, W9): one row per MQL
     deal_per_lead = _earliest(closed.filter(F.col("mql_id").isNotNull()), "mql_id",
                               ["won_date", "seller_id"], ["sdr_id", "sr_id", "segment_name"])
-    unknown_seg = seg.filter(F.col("segment_name") == UNKNOWN).first()["segment_key"]
     sel = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key"), wh.rows["dim_seller"])
     leads = (mql.join(deal_per_lead, "mql_id", "left")
              .withColumn("segment_name", F.coalesce("segment_name", F.lit(UNKNOWN)))
@@ -153,12 +170,12 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
         F.coalesce("sdr_key", F.lit(0).cast("long")).alias("sdr_key"),
         F.coalesce("sr_key", F.lit(0).cast("long")).alias("sr_key"))
     wh.tables["fact_lead"], wh.rows["fact_lead"] = _keyed(
-        fact_lead, ["mql_id"], "lead_key", "fact_lead", tiebreak=["date_key_first_contact"])
+        fact_lead, ["mql_id"], "lead_key", "fact_lead", tiebreak=["date_key_first_contact"], stage_input=True)
 
     # --- fact_order_item (W10-W12): one row per order item
     wh.tables["fact_order_item"], wh.rows["fact_order_item"] = _keyed(
         order_items_joined(raw, wh), ["order_id", "order_item_id"], "order_item_key", "fact_order_item",
-        tiebreak=["product_key", "seller_key", "price", "freight_value"])
+        ordered=False)
 
     # --- seller <-> lead bridge: the reference's OR join, resolved once
     bridge = or_join(wh["dim_seller"].select("seller_key", "seller_id"),
@@ -173,6 +190,24 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
     return wh
 
 
+def land_raw(spark: SparkSession, raw: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """S2 landing: write each raw input once as parquet and read it back.
+
+    Later steps scan each input several times; landed files are columnar,
+    splittable and read in parallel.  An input with fewer splits than the
+    cluster has cores (one big row group, a single gzip CSV) is spread with a
+    round-robin repartition on the way; a many-file input is written as is.
+    """
+    target = spark.sparkContext.defaultParallelism
+    out = {}
+    for name, df in raw.items():
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+        write_table(df, f"{path}/{name}")
+        out[name] = spark.read.parquet(f"{path}/{name}")
+    return out
+
+
 def order_items_joined(raw: dict[str, DataFrame], wh: Warehouse) -> DataFrame:
     """Items x orders (inner) x per-order mean review (left) x key lookups (inner)."""
     reviews = raw["order_reviews"].groupBy("order_id").agg(F.avg("review_score").alias("_review"))  # W11
@@ -197,8 +232,9 @@ def order_items_joined(raw: dict[str, DataFrame], wh: Warehouse) -> DataFrame:
 
 
 def _keyed(df: DataFrame, order: list[str], key: str, name: str,
-           tiebreak: list[str] | None = None) -> tuple[DataFrame, int]:
-    keyed, n = dense_key(df, order, key, name=name, tiebreak=tiebreak)
+           tiebreak: list[str] | None = None, ordered: bool = True,
+           stage_input: bool = False) -> tuple[DataFrame, int]:
+    keyed, n = dense_key(df, order, key, name=name, tiebreak=tiebreak, ordered=ordered, stage_input=stage_input)
     return keyed.select(key, *[c for c in df.columns]), n
 
 

@@ -33,6 +33,25 @@ def pick(values: list[str | None], key_col: str) -> str:
     return f"CASE {arms} END"
 
 
+DRIVER_TABLES = ["customer", "orders", "lineitem", "part", "nation", "region"]
+
+
+def land_driver_tables(spark: SparkSession, sf_dir: str, land_dir: str) -> str:
+    """Copy the driver tables the adapter reads into ``land_dir`` as parquet.
+
+    Each source table is one file with one row group, i.e. one read task; the
+    copy is spread over the cluster's cores so every later scan is parallel.
+    Returns the folder to read from.
+    """
+    target = spark.sparkContext.defaultParallelism
+    for name in DRIVER_TABLES:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+        df.write.mode("overwrite").parquet(f"{land_dir}/{name}.parquet")
+    return land_dir
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
