@@ -14,8 +14,10 @@ from ..sources.testdata import (AVERAGE_STOCK, BEHAVIOUR_PROFILES, BUSINESS_TYPE
 
 
 def rnd(expr: str, digits: int) -> str:
-    """Spark's round(DOUBLE, d): HALF_UP applied to the decimal text of the double."""
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    """Spark's round(DOUBLE, d): HALF_UP applied to the shortest decimal text of the
+    double (e.g. 7881255.215 -> .22 although its binary value is just below)."""
+    text = f"format('{{:.15g}}', CAST(({expr}) AS DOUBLE))"
+    return f"CAST(round(CAST({text} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
 
 
 def dbl(x: float) -> str:
