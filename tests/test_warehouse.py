@@ -26,7 +26,7 @@ def test_segment_unknown_member(tiny_wh):
 def test_fact_lead_days_to_close_floor(tiny_wh):
     d = dict(rows(tiny_wh["fact_lead"], "mql_id", "days_to_close"))
     assert d["m1"] == 10          # 10 days 2 hours
-    assert d["m6"] == -29         # won before first contact: floored, negative
+    assert d["m6"] == -28         # won 27 d 22 h before first contact: floored to -28
     assert d["m3"] is None
 
 
