@@ -6,8 +6,7 @@ import threading
 
 from pyspark.sql import SparkSession
 
-from ..session import scratch_path, unique_name
-from ..sources.testdata import FIXTURE_DATE_RANGE, land_driver_tables, raw_tables
+from ..sources.testdata import FIXTURE_DATE_RANGE, raw_tables
 from .warehouse import Warehouse, build_warehouse
 
 _LOCK = threading.Lock()
@@ -20,7 +19,7 @@ def warehouse_for(spark: SparkSession, sf_dir: str,
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:
-            landed = land_driver_tables(spark, sf_dir, scratch_path(spark, "landed", unique_name(sf_dir)))
-            wh = build_warehouse(spark, raw_tables(spark, landed), date_range, land=False)
+            # Driver tables are parquet already: read in place, never copied.
+            wh = build_warehouse(spark, raw_tables(spark, sf_dir), date_range, land=False)
             _CACHE[key] = wh
         return wh

@@ -9,6 +9,8 @@ files, so a lost executor never renumbers keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ class Warehouse:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     rows: dict[str, int] = field(default_factory=dict)
     raw: dict[str, DataFrame] = field(default_factory=dict)
+    unknown_segment_key: int = 0
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -47,18 +50,6 @@ def _earliest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> Dat
     return df.groupBy(key).agg(packed.alias("_m")).select(key, "_m.*")
 
 
-def _lookup_dim(name: str, values: DataFrame, label: str, key: str,
-                unknown_member: bool) -> tuple[DataFrame, int]:
-    """W2 (+W3/D9): distinct labels -> dense keys 1..n (+ unknown member 0)."""
-    keyed, n = dense_key(values.select(label).distinct(), [label], key, name=name)
-    keyed = keyed.select(key, label)
-    if unknown_member:
-        spark = values.sparkSession
-        keyed = keyed.unionByName(spark.createDataFrame([(0, UNKNOWN)], f"{key} long, {label} string"))
-        n += 1
-    return keyed, n
-
-
 def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                     date_range: tuple[str, str], out_path: str | None = None,
                     land: bool = True) -> Warehouse:
@@ -72,7 +63,40 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
     mql = raw["mql"].withColumn("origin_name", clean_label("origin"))
     closed = raw["closed_deals"].withColumn("segment_name", clean_label("business_segment"))
 
-    # --- small lookup dimensions (W1-W3): one dense-key pass for all five
+    # Independent steps run from several driver threads: each is a handful of
+    # small jobs, and overlapping them keeps every core busy (phase 1: all
+    # dimensions; phase 2: the two facts, which look keys up in them).
+    _concurrently(lambda: _lookup_dims(wh, mql, closed),
+                  lambda: _date_dim(wh, date_range),
+                  lambda: _customer_dim(wh, raw),
+                  lambda: _product_dim(wh, raw),
+                  lambda: _seller_dim(wh, raw, closed))
+    _concurrently(lambda: _fact_lead(wh, mql, closed),
+                  lambda: _fact_order_item(wh, raw))
+
+    # --- seller <-> lead bridge: the reference's OR join, resolved once
+    bridge = or_join(wh["dim_seller"].select("seller_key", "seller_id"),
+                     wh["fact_lead"].select("lead_key", "mql_id", "seller_key", "origin_key",
+                                            "segment_key", "is_won"),
+                     ("seller_key", "seller_key"), ("seller_id", "mql_id"),
+                     select=[F.col("l.seller_key").alias("seller_key"), F.col("l.seller_id").alias("seller_id"),
+                             *[F.col(f"r.{c}") for c in ("lead_key", "mql_id", "origin_key", "segment_key", "is_won")]])
+    write_table(bridge, f"{path}/seller_lead")
+    wh.tables["seller_lead"] = spark.read.parquet(f"{path}/seller_lead")
+    wh.rows["seller_lead"] = wh.tables["seller_lead"].count()
+    return wh
+
+
+def _concurrently(*steps: Callable[[], None]) -> None:
+    """Run independent build steps from driver threads; Spark schedules their jobs side by side."""
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        for f in [pool.submit(step) for step in steps]:
+            f.result()
+
+
+def _lookup_dims(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
+    """The five small lookup dimensions in one dense-key pass."""
+    spark = wh.spark
     labels = (mql.select(F.lit("origin").alias("_dim"), F.col("origin_name").alias("_label"))
               .unionByName(mql.filter(F.col("landing_page_id").isNotNull())
                            .select(F.lit("landing_page").alias("_dim"), F.col("landing_page_id").alias("_label")))
@@ -92,23 +116,27 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
         if unknown_member:   # D9: unknown member at key 0
             t = t.unionByName(spark.createDataFrame([(0, UNKNOWN)], f"{key} long, {label} string"))
             n += 1
+        if dim == "segment":
+            unknown_seg = counts.get("segment", (0, 0, None))[2]
+            if unknown_seg is None:
+                # reference appends 'unknown' after the sorted members when absent
+                unknown_seg = n + 1
+                t = t.unionByName(spark.createDataFrame([(unknown_seg, UNKNOWN)],
+                                                        "segment_key long, segment_name string"))
+                n += 1
+            wh.unknown_segment_key = unknown_seg
         wh.tables[f"dim_{dim}"], wh.rows[f"dim_{dim}"] = t, n
-    seg, n_seg = wh.tables["dim_segment"], wh.rows["dim_segment"]
-    unknown_seg = counts.get("segment", (0, 0, None))[2]
-    if unknown_seg is None:
-        # reference appends 'unknown' after the sorted members when absent
-        unknown_seg = n_seg + 1
-        seg = seg.unionByName(spark.createDataFrame([(unknown_seg, UNKNOWN)], "segment_key long, segment_name string"))
-        n_seg += 1
-    wh.tables["dim_segment"], wh.rows["dim_segment"] = seg, n_seg
-
-    # --- date dimension
-    dd = date_dim(spark, *date_range)
-    write_table(dd, f"{path}/dim_date")
-    wh.tables["dim_date"] = spark.read.parquet(f"{path}/dim_date")
+
+
+def _date_dim(wh: Warehouse, date_range: tuple[str, str]) -> None:
+    """Calendar rows of the date range, written once."""
+    write_table(date_dim(wh.spark, *date_range), f"{wh.path}/dim_date")
+    wh.tables["dim_date"] = wh.spark.read.parquet(f"{wh.path}/dim_date")
     wh.rows["dim_date"] = _days(*date_range)
 
-    # --- customer / product / seller dimensions
+
+def _customer_dim(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
+    """W7 + W4."""
     cust = _earliest(raw["customers"], "customer_id", ["customer_unique_id"],
                      ["customer_city", "customer_state"])
     wh.tables["dim_customer"], wh.rows["dim_customer"] = _keyed(
@@ -116,6 +144,9 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                     F.col("customer_city").alias("city"), F.col("customer_state").alias("state")),
         ["customer_id"], "customer_key", "dim_customer")
 
+
+def _product_dim(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
+    """W6 + W4: products left join the category translation, with defaults."""
     trans = _earliest(raw["translation"], "product_category_name", ["product_category_name_english"], [])
     prod = _earliest(raw["products"], "product_id", ["product_category_name", "product_weight_g"], [])
     prod = prod.join(trans, "product_category_name", "left").select(
@@ -125,6 +156,9 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
         F.coalesce(F.col("product_weight_g").cast("int"), F.lit(0)).alias("weight_g"))
     wh.tables["dim_product"], wh.rows["dim_product"] = _keyed(prod, ["product_id"], "product_key", "dim_product")
 
+
+def _seller_dim(wh: Warehouse, raw: dict[str, DataFrame], closed: DataFrame) -> None:
+    """W5 + W4 (D10: the earliest deal per seller)."""
     deal_cols = ["mql_id", "won_date", "lead_type", "lead_behaviour_profile", "business_type",
                  "declared_monthly_revenue", "declared_product_catalog_size", "average_stock",
                  "has_company", "has_gtin"]
@@ -145,7 +179,9 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
         F.col("seller_city").alias("city"), F.col("seller_state").alias("state"))
     wh.tables["dim_seller"], wh.rows["dim_seller"] = _keyed(seller, ["seller_id"], "seller_key", "dim_seller")
 
-    # --- fact_lead (W8, W9): one row per MQL
+
+def _fact_lead(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
+    """W8 + W9: one row per MQL, keys looked up in the dimensions."""
     deal_per_lead = _earliest(closed.filter(F.col("mql_id").isNotNull()), "mql_id",
                               ["won_date", "seller_id"], ["sdr_id", "sr_id", "segment_name"])
     sel = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key"), wh.rows["dim_seller"])
@@ -166,29 +202,19 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
         date_key("won_date").alias("date_key_won"),
         day_floor("won_date", "first_contact_date").alias("days_to_close"),
         "seller_key",
-        F.coalesce("segment_key", F.lit(unknown_seg).cast("long")).alias("segment_key"),
+        F.coalesce("segment_key", F.lit(wh.unknown_segment_key).cast("long")).alias("segment_key"),
         F.coalesce("sdr_key", F.lit(0).cast("long")).alias("sdr_key"),
         F.coalesce("sr_key", F.lit(0).cast("long")).alias("sr_key"))
     wh.tables["fact_lead"], wh.rows["fact_lead"] = _keyed(
         fact_lead, ["mql_id"], "lead_key", "fact_lead", tiebreak=["date_key_first_contact"], stage_input=True)
 
-    # --- fact_order_item (W10-W12): one row per order item
+
+def _fact_order_item(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
+    """One row per order item, numbered where it lies (its natural key has ties)."""
     wh.tables["fact_order_item"], wh.rows["fact_order_item"] = _keyed(
         order_items_joined(raw, wh), ["order_id", "order_item_id"], "order_item_key", "fact_order_item",
         ordered=False)
 
-    # --- seller <-> lead bridge: the reference's OR join, resolved once
-    bridge = or_join(wh["dim_seller"].select("seller_key", "seller_id"),
-                     wh["fact_lead"].select("lead_key", "mql_id", "seller_key", "origin_key",
-                                            "segment_key", "is_won"),
-                     ("seller_key", "seller_key"), ("seller_id", "mql_id"),
-                     select=[F.col("l.seller_key").alias("seller_key"), F.col("l.seller_id").alias("seller_id"),
-                             *[F.col(f"r.{c}") for c in ("lead_key", "mql_id", "origin_key", "segment_key", "is_won")]])
-    write_table(bridge, f"{path}/seller_lead")
-    wh.tables["seller_lead"] = spark.read.parquet(f"{path}/seller_lead")
-    wh.rows["seller_lead"] = wh.tables["seller_lead"].count()
-    return wh
-
 
 def land_raw(spark: SparkSession, raw: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
     """S2 landing: write each raw input once as parquet and read it back.

@@ -33,27 +33,16 @@ def pick(values: list[str | None], key_col: str) -> str:
     return f"CASE {arms} END"
 
 
-DRIVER_TABLES = ["customer", "orders", "lineitem", "part", "nation", "region"]
-
-
-def land_driver_tables(spark: SparkSession, sf_dir: str, land_dir: str) -> str:
-    """Copy the driver tables the adapter reads into ``land_dir`` as parquet.
-
-    Each source table is one file with one row group, i.e. one read task; the
-    copy is spread over the cluster's cores so every later scan is parallel.
-    Returns the folder to read from.
-    """
+def _read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Scan a driver table in place.  ``spread``: a fact-sized table stored as
+    fewer splits than the cluster has cores (one file, one row group) is
+    round-robin repartitioned on the way in, so the map side of the joins
+    that follow runs on every core; a many-file input is left as it is."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     target = spark.sparkContext.defaultParallelism
-    for name in DRIVER_TABLES:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-        df.write.mode("overwrite").parquet(f"{land_dir}/{name}.parquet")
-    return land_dir
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread and df.rdd.getNumPartitions() < target:
+        df = df.repartition(target)
+    return df
 
 
 def _id(prefix: str, c: str):
@@ -64,7 +53,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw inputs keyed like ``sources.raw.RAW_FILES`` (FIXTURES §3)."""
     customer = _read(spark, sf_dir, "customer")
     orders = _read(spark, sf_dir, "orders")
-    lineitem = _read(spark, sf_dir, "lineitem")
+    lineitem = _read(spark, sf_dir, "lineitem", spread=True)
     part = _read(spark, sf_dir, "part")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
