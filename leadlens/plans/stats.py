@@ -18,6 +18,7 @@ from ..operators.keys import dense_key
 from .warehouse import Warehouse
 
 MAX_GROUPS = 200   # channels handled by the k-sample log-rank solve on the driver
+DRAW_CHUNK = 100_000   # bootstrap draws generated from one row
 
 
 # ---------------------------------------------------------------- T3 chi-square
@@ -208,9 +209,17 @@ def bootstrap_ci(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float =
     numbered = keyed.join(first.select("origin", "_g0"), "origin").select(
         "origin", (F.col("_gk") - F.col("_g0") + 1).alias("idx"), "total_revenue")
     boot_groups = first.filter(F.col("n") > 2).select("origin", "n")
-    reps_df = boot_groups.select("origin", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    reps_df = reps_df.repartition("origin", "rep")
-    draws = reps_df.select("origin", "rep", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
+    # One row per (channel, replicate, chunk of at most DRAW_CHUNK draws): a
+    # channel holding most deals spreads its draws over many tasks.  The
+    # explicit partition count keeps AQE from coalescing these few, small
+    # rows into a single task before they expand.
+    chunk = F.lit(DRAW_CHUNK).cast("long")
+    work = boot_groups.select("origin", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    work = work.select("origin", "n", "rep",
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("c"))
+    work = work.repartition(wh.spark.sparkContext.defaultParallelism, "origin", "rep", "c")
+    draws = work.select("origin", "rep", "n", F.explode(F.sequence(
+        F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.col("n")))).alias("j"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("origin"), F.col("rep").cast("string"),
                                              F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
     draws = draws.select("origin", "rep", (F.lit(1) + h % F.col("n")).alias("idx"))
