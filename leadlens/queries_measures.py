@@ -133,3 +133,13 @@ def q_measures_overall(wh: Warehouse) -> DataFrame:
 def q_measures_monthly(wh: Warehouse) -> DataFrame:
     """M1-M21 per calendar month plus M24 time intelligence."""
     return measures.rounded(measures.measures(wh, "month", rules=FIXTURE_REC_RULES))
+
+
+_TAG_COLS = ["lead_origin", "conversion_rate", "revenue_per_closed_deal", "median_days_to_close", "performance_tag"]
+
+
+@register("performance_tag", "SELECT " + ", ".join(_TAG_COLS) + " FROM ("
+          + _measures_sql("origin", FIXTURE_REC_RULES) + ") t")
+def q_performance_tag(wh: Warehouse) -> DataFrame:
+    """The DAX performance tag per channel, with the three inputs it reads."""
+    return measures.rounded(measures.measures(wh, "origin", rules=FIXTURE_REC_RULES)).select(*_TAG_COLS)
