@@ -10,7 +10,10 @@ A global ``row_number()`` puts every row in one task.  Instead:
    partition reaches the driver, bounded by the partition count, not by
    the data) and turn the counts into prefix offsets;
 4. the keyed table is a narrow projection over the written files:
-   ``key = offset[partition] + position + 1``.
+   ``key = offset[partition] + position + 1``; the offsets ride in the plan
+   as a small array up to ``MAX_INLINE_OFFSETS`` partitions, beyond that as
+   a broadcast (partition, offset) table, so task size never grows with the
+   partition count.
 
 Writing first matters: range bounds come from sampling, which is not
 repeatable across evaluations, and a lost executor must not renumber rows.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, unique_name
 
 _POS_BITS = 33
+MAX_INLINE_OFFSETS = 4096   # partitions whose offsets may ride inside the plan
 _PID = "_dk_pid"
 _POS = "_dk_pos"
 
@@ -66,9 +70,16 @@ def dense_key(df: DataFrame, order_by: list[str | Column], key: str,
     n_parts = max(counts) + 1
     sizes = [counts.get(i, 0) for i in range(n_parts)]
     offsets = [0, *accumulate(sizes)][:-1]
-    offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
-    keyed = staged.withColumn(
-        key, F.element_at(offset_arr, F.col(_PID) + 1) + F.col(_POS) + 1)
+    if n_parts <= MAX_INLINE_OFFSETS:
+        # few partitions: the offsets travel inside the plan as one small array
+        offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
+        keyed = staged.withColumn(key, F.element_at(offset_arr, F.col(_PID) + 1) + F.col(_POS) + 1)
+    else:
+        # many partitions: one (partition, offset) row each, broadcast once per
+        # executor instead of serialised into every task
+        off = spark.createDataFrame(list(enumerate(offsets)), f"{_PID} int, _dk_off long")
+        keyed = (staged.join(F.broadcast(off), _PID)
+                 .withColumn(key, F.col("_dk_off") + F.col(_POS) + 1).drop("_dk_off"))
     return keyed.drop(_PID, _POS), offsets[-1] + sizes[-1]
 
 

@@ -48,6 +48,18 @@ def test_dense_key_many_partitions(spark):
     assert [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted(k for k, _ in got)
 
 
+def test_dense_key_broadcast_offsets_match_inline(spark, monkeypatch):
+    from leadlens.operators import keys
+    df = spark.range(0, 5000, numPartitions=6).select((F.col("id") * 7 % 5003).alias("k"))
+    inline, n1 = keys.dense_key(df, ["k"], "key", name="inline")
+    monkeypatch.setattr(keys, "MAX_INLINE_OFFSETS", 0)     # force the broadcast form
+    joined, n2 = keys.dense_key(df, ["k"], "key", name="joined")
+    assert n1 == n2 == 5000
+    a = sorted((r.k, r.key) for r in inline.collect())
+    b = sorted((r.k, r.key) for r in joined.collect())
+    assert a == b and [k for _, k in a] == list(range(1, 5001))
+
+
 def test_or_join_matches_cartesian_definition(spark):
     from leadlens.operators.joins import or_join
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, s string")
