@@ -84,6 +84,7 @@ _PK = [("dim_origin", "origin_key"), ("dim_origin", "origin_name"), ("dim_landin
        ("dim_customer", "customer_id"), ("dim_product", "product_key"), ("dim_product", "product_id"),
        ("dim_seller", "seller_key"), ("dim_seller", "seller_id"), ("fact_lead", "lead_key"),
        ("fact_lead", "mql_id"), ("fact_order_item", "order_item_key")]
+_UNIQUE = [(t, [c]) for t, c in _PK]
 _FK = [("fact_lead", "date_key_first_contact", "dim_date", "date_key"),
        ("fact_lead", "origin_key", "dim_origin", "origin_key"),
        ("fact_lead", "landing_page_key", "dim_landing_page", "landing_page_key"),
@@ -103,47 +104,42 @@ _CHECK = [("fact_lead", "is_won IN (0, 1)"), ("fact_order_item", "price >= 0"),
           ("fact_order_item", "review_score IS NULL OR review_score BETWEEN 1 AND 5")]
 
 
-def _counts_long(df: DataFrame, table: str, checks: list[tuple[str, Column]]) -> DataFrame:
-    """Several violation counts over one table in a single aggregation pass, returned long."""
-    agg = df.agg(*[F.count(F.when(cond, 1)).cast("long").alias(f"_v{i}") for i, (_, cond) in enumerate(checks)])
-    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(f"_v{i}").alias("violations"))
-                               for i, (name, _) in enumerate(checks)]))
-    return agg.select(rows.alias("_r")).select("_r.check_name", F.lit(table).alias("table_name"), "_r.violations")
+def _table_checks(wh: Warehouse, table: str) -> DataFrame:
+    """Every declared constraint of one table in a single aggregation.
 
-
-def _fk_checks(wh: Warehouse, table: str, fks: list[tuple[str, str, str]]) -> DataFrame:
-    """All foreign keys of one fact in one pass: each parent's distinct keys are
-    left-joined (broadcast when the parent's checked size allows) and a miss
-    is a non-NULL child key without a parent row."""
-    df = wh[table].select(*dict.fromkeys(c for c, _, _ in fks))
-    checks = []
-    for i, (c, parent, k) in enumerate(fks):
+    UNIQUE: rows - COUNT(DISTINCT struct(key)) (a struct keeps NULL keys as one
+    group, as GROUP BY does).  NOT NULL / CHECK: conditional counts.  FOREIGN
+    KEY: each parent's distinct keys are left-joined (broadcast when the
+    parent's checked size allows; distinct, so no child row is repeated) and
+    a miss is a non-NULL child key without a parent row.
+    """
+    df = wh[table]
+    checks: list[tuple[str, Column]] = []
+    for i, (c, parent, k) in enumerate((c, d, k) for t, c, d, k in _FK if t == table):
         keys = wh[parent].select(F.col(k).alias(f"_p{i}")).distinct().withColumn(f"_hit{i}", F.lit(True))
         df = df.join(broadcast_if(keys, wh.rows.get(parent)), F.col(c) == F.col(f"_p{i}"), "left")
-        checks.append((f"fk:{c}->{parent}", F.col(c).isNotNull() & F.col(f"_hit{i}").isNull()))
-    return _counts_long(df, table, checks)
+        checks.append((f"fk:{c}->{parent}", F.count(F.when(F.col(c).isNotNull() & F.col(f"_hit{i}").isNull(), 1))))
+    for cols in (cols for t, cols in _UNIQUE if t == table):
+        checks.append(("unique:" + ",".join(cols), F.count(F.lit(1)) - F.count_distinct(F.struct(*cols))))
+    checks += [(f"not_null:{c}", F.count(F.when(F.col(c).isNull(), 1))) for t, c in _NOT_NULL if t == table]
+    checks += [(f"check:{cond}", F.count(F.when(~F.coalesce(F.expr(cond), F.lit(True)), 1)))
+               for t, cond in _CHECK if t == table]
+    agg = df.agg(*[v.cast("long").alias(f"_v{i}") for i, (_, v) in enumerate(checks)])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(f"_v{i}").alias("violations"))
+                               for i, (name, _) in enumerate(checks)]))
+    return agg.select(rows.alias("_r")).select("_r.check_name", F.lit(table).alias("table_name"), "_r.violations")
 
 
 def audit_constraints(wh: Warehouse) -> DataFrame:
-    """Q6: violation counts for the schema's PK/UNIQUE, NOT NULL, CHECK and FK constraints.
-
-    Uniqueness needs one aggregation per key; NOT NULL and CHECK counts share
-    one pass per table, and the foreign keys of a fact share one pass too.
-    """
-    parts = []
-    for t, c in _PK:
-        dup = wh[t].groupBy(c).count().filter(F.col("count") > 1)
-        parts.append(dup.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations"))
-                     .select(F.lit(f"unique:{c}").alias("check_name"), F.lit(t).alias("table_name"), "violations"))
+    """Q6: violation counts for the schema's PK/UNIQUE, NOT NULL, CHECK and FK constraints,
+    one aggregation pass per table."""
+    tables = dict.fromkeys([t for t, _ in _UNIQUE] + [t for t, _, _, _ in _FK]
+                           + [t for t, _ in _NOT_NULL] + [t for t, _ in _CHECK])
+    parts = [_table_checks(wh, t) for t in tables]
+    # the natural key of an item counts duplicated keys, not extra rows
     parts.append(_count(wh["fact_order_item"].groupBy("order_id", "order_item_id").count()
                         .filter(F.col("count") > 1), "unique:order_id,order_item_id", "fact_order_item"))
-    for t in dict.fromkeys(t for t, _ in _NOT_NULL + _CHECK):
-        checks = [(f"not_null:{c}", F.col(c).isNull()) for tt, c in _NOT_NULL if tt == t]
-        checks += [(f"check:{cond}", ~F.coalesce(F.expr(cond), F.lit(True))) for tt, cond in _CHECK if tt == t]
-        parts.append(_counts_long(wh[t], t, checks))
-    for t in dict.fromkeys(t for t, _, _, _ in _FK):
-        parts.append(_fk_checks(wh, t, [(c, d, k) for tt, c, d, k in _FK if tt == t]))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 def rejects(wh: Warehouse) -> DataFrame:
