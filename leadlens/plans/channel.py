@@ -199,17 +199,19 @@ def scenario_projection(matrix: DataFrame, scenarios: DataFrame,
                        "revenue_per_closed_deal", cac_column("lead_origin", cac).alias("cac"))
     rd = F.coalesce(F.col("revenue_per_closed_deal"), F.lit(0.0))
     mq0, dl0 = _project(ch, F.lit(0.0))
-    ch = ch.withColumn("_base_rev", F.col("closed_deals") * rd).withColumn("_sim0_rev", dl0 * rd)
-    all_base, all_sim0 = ch.agg(F.sum("_base_rev"), F.sum("_sim0_rev")).first()   # one row
+    every = Window.partitionBy()   # the matrix holds one row per channel
+    ch = (ch.withColumn("_base_rev", F.col("closed_deals") * rd).withColumn("_sim0_rev", dl0 * rd)
+            .withColumn("_all_base", F.sum("_base_rev").over(every))
+            .withColumn("_all_sim0", F.sum("_sim0_rev").over(every)))
     mq, dl = _project(ch, F.col("change_pct"))
     rows = (scenarios.join(ch, "origin")
             .select("scenario_id", "origin", F.col("change_pct").alias("budget_change_pct"),
                     F.col("total_mqls").alias("baseline_mqls"), mq.alias("simulated_mqls"),
                     F.col("closed_deals").alias("baseline_deals"), dl.alias("simulated_deals"),
-                    F.col("_base_rev").alias("_b"), (dl * rd).alias("_s"), "_sim0_rev"))
+                    F.col("_base_rev").alias("_b"), (dl * rd).alias("_s"), "_sim0_rev", "_all_base", "_all_sim0"))
     totals = rows.groupBy("scenario_id").agg(
-        (F.lit(all_base or 0.0)).alias("_all_b"),
-        (F.sum("_s") + F.lit(all_sim0 or 0.0) - F.sum("_sim0_rev")).alias("_all_s"))
+        F.coalesce(F.max("_all_base"), F.lit(0.0)).alias("_all_b"),
+        (F.sum("_s") + F.coalesce(F.max("_all_sim0"), F.lit(0.0)) - F.sum("_sim0_rev")).alias("_all_s"))
     totals = totals.select(
         "scenario_id",
         F.round("_all_b", 2).alias("total_baseline_revenue"),

@@ -56,7 +56,7 @@ def chi_square(wh: Warehouse, with_p: bool = False) -> DataFrame:
 # ---------------------------------------------------------------- T4 Kaplan-Meier
 def _durations(wh: Warehouse) -> tuple[DataFrame, int]:
     """(origin, duration, event); unwon leads censored at the global max days_to_close (90 if none)."""
-    mx = wh["fact_lead"].agg(F.max("days_to_close")).first()[0]      # one scalar
+    mx = wh.scalar("max_days_to_close", lambda: wh["fact_lead"].agg(F.max("days_to_close")).first()[0])
     max_days = int(mx) if mx is not None else 90
     d = (wh["fact_lead"].join(wh.dim("dim_origin"), "origin_key")
          .select(F.col("origin_name").alias("origin"),
@@ -106,7 +106,7 @@ def _risk_grid(wh: Warehouse) -> DataFrame:
     event times.  Rows are bounded by channels x day range, not by leads.
     """
     d, _ = _durations(wh)
-    lo = d.agg(F.min("t")).first()[0]
+    lo = wh.scalar("min_duration", lambda: d.agg(F.min("t")).first()[0])
     h = _hist(d)
     back = Window.partitionBy("origin").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     prev = Window.partitionBy("origin").orderBy("t")

@@ -34,10 +34,17 @@ class Warehouse:
     rows: dict[str, int] = field(default_factory=dict)
     raw: dict[str, DataFrame] = field(default_factory=dict)
     unknown_segment_key: int = 0
+    scalars: dict[str, object] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def scalar(self, name: str, compute: Callable[[], object]) -> object:
+        """A one-value aggregate over the written tables, computed once per warehouse."""
+        if name not in self.scalars:
+            self.scalars[name] = compute()
+        return self.scalars[name]
+
     def dim(self, name: str) -> DataFrame:
         """A dimension, broadcast-hinted when its checked row count allows it."""
         return broadcast_if(self.tables[name], self.rows.get(name))
