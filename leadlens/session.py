@@ -15,6 +15,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Initial shuffle partitions on a cluster (before AQE coalescing).
+MIN_INITIAL_SHUFFLE_PARTITIONS = 2048
+SHUFFLE_PARTITIONS_PER_CORE = 8
+
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
@@ -42,9 +46,24 @@ def get_session(master: str | None = None, app_name: str = "leadlens",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
+    size_shuffles(spark)
     return spark
 
 
+def size_shuffles(spark: SparkSession) -> None:
+    """On a cluster with no partition count of its own, start AQE from many shuffle
+    partitions (it coalesces small ones, but cannot split a too-large one), so a
+    multi-terabyte shuffle lands in partitions that fit executor memory."""
+    if is_local(spark):
+        return
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    sc_conf = spark.sparkContext.getConf()
+    if sc_conf.contains(key) or sc_conf.contains("spark.sql.shuffle.partitions"):
+        return
+    spark.conf.set(key, str(max(MIN_INITIAL_SHUFFLE_PARTITIONS,
+                                SHUFFLE_PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables."""
     sc = spark.sparkContext
