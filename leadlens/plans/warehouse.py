@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_label, date_key, day_floor
 from ..operators.joins import broadcast_if, or_join
-from ..operators.keys import dense_key, dense_keys_by_group
+from ..operators.keys import dense_key, dense_keys_by_group, member_row
 from ..session import scratch_path, unique_name
 from ..sources.dates import date_dim
 from ..sources.sinks import write_table
@@ -121,15 +121,14 @@ def _lookup_dims(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
         t = keyed.filter(F.col("_dim") == dim).select(F.col("_key").alias(key), F.col("_label").alias(label))
         n = counts.get(dim, (0, 0))[0]
         if unknown_member:   # D9: unknown member at key 0
-            t = t.unionByName(spark.createDataFrame([(0, UNKNOWN)], f"{key} long, {label} string"))
+            t = t.unionByName(member_row(spark, key, label, 0, UNKNOWN))
             n += 1
         if dim == "segment":
             unknown_seg = counts.get("segment", (0, 0, None))[2]
             if unknown_seg is None:
                 # reference appends 'unknown' after the sorted members when absent
                 unknown_seg = n + 1
-                t = t.unionByName(spark.createDataFrame([(unknown_seg, UNKNOWN)],
-                                                        "segment_key long, segment_name string"))
+                t = t.unionByName(member_row(spark, "segment_key", "segment_name", unknown_seg, UNKNOWN))
                 n += 1
             wh.unknown_segment_key = unknown_seg
         wh.tables[f"dim_{dim}"], wh.rows[f"dim_{dim}"] = t, n
