@@ -198,3 +198,19 @@ FROM fact_lead f JOIN dim_origin o ON f.origin_key = o.origin_key"""))
 def q_op_labels(wh: Warehouse) -> DataFrame:
     """F14 label prettify and short id."""
     return P.labels(wh)
+
+
+# ---------------------------------------------------------------- SQL surface
+from .plans import catalog  # noqa: E402
+
+
+@register("sql_view_channel_matrix", ORACLE["v_channel_matrix"])
+def q_sql_view_channel_matrix(wh: Warehouse) -> DataFrame:
+    """S3: the flagship read as ``SELECT * FROM vw_powerbi_channel_matrix`` in Spark SQL."""
+    return catalog.read_view(wh, "vw_powerbi_channel_matrix")
+
+
+@register("sql_lead_explorer", ORACLE["lead_explorer"])
+def q_sql_lead_explorer(wh: Warehouse) -> DataFrame:
+    """The explorer page as a parameterised Spark SQL statement (:lim = 100)."""
+    return catalog.explorer(wh.spark, wh, limit=100)

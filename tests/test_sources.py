@@ -57,3 +57,20 @@ def test_csv_and_json_sinks(spark):
                 d = json.loads(line)
                 recs[d["k"]] = d.get("v")
     assert recs == {"a": 1.0, "b": None, "c": None}
+
+
+def test_views_and_csv_export(spark, tiny_wh):
+    from leadlens.plans import catalog
+    names = catalog.register_views(tiny_wh)
+    assert "vw_powerbi_channel_matrix" in names and "fact_lead" in names
+    via_sql = spark.sql("SELECT lead_origin, total_mqls FROM vw_powerbi_channel_matrix").collect()
+    assert sorted(map(tuple, via_sql)) == sorted(
+        map(tuple, tiny_wh["fact_lead"].join(tiny_wh["dim_origin"], "origin_key")
+            .groupBy("origin_name").count().collect()))
+    page = catalog.explorer(spark, tiny_wh, limit=2).collect()
+    assert [r.lead_key for r in page] == [1, 2]
+    folder = tempfile.mkdtemp(prefix="leadlens-export-", dir="/tmp")
+    paths = catalog.export_csv(tiny_wh, folder)
+    assert len(paths) == 11
+    back = spark.read.option("header", True).csv(folder + "/dim_sdr")
+    assert back.count() == tiny_wh["dim_sdr"].count()
