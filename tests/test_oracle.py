@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB twin on the smallest driver tables,
-plus plan checks: no cartesian product, no row-at-a-time Python UDF."""
+plus plan checks: no cartesian product, no row-at-a-time Python UDF, no
+unpartitioned window over raw rows."""
 
 import os
 
@@ -29,8 +30,20 @@ def test_all_queries_match_oracle(spark, entry):
     assert not bad, bad
 
 
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def test_plans_have_no_cartesian_or_row_udf(spark, entry):
     for name, fn in entry.queries().items():
-        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        qe = fn(spark, SF)._jdf.queryExecution()
+        plan = qe.executedPlan().toString()
         assert "CartesianProduct" not in plan, name
         assert "BatchEvalPython" not in plan, name
+        # a window without PARTITION BY runs in one task: only over aggregated rows
+        for node in _nodes(qe.optimizedPlan()):
+            if node.nodeName() == "Window" and node.partitionSpec().isEmpty():
+                assert any(n.nodeName() == "Aggregate" for n in _nodes(node.child())), name
