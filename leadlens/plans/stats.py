@@ -149,24 +149,29 @@ def logrank_k(wh: Warehouse) -> DataFrame:
     tot = g.groupBy("t").agg(F.sum("n_g").alias("n"), F.sum("d_g").alias("d"))
     g = g.join(tot, "t").withColumn("a", F.col("n_g") / F.col("n")).withColumn(
         "w", F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(F.lit(0.0)))
-    groups = [r[0] for r in g.select("origin").distinct().orderBy("origin").collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{len(groups)} channels exceed the k-sample solve bound {MAX_GROUPS}")
-    k = len(groups)
-    z_rows = dict(g.groupBy("origin").agg(F.sum(F.col("d_g") - F.col("d") * F.col("a"))).collect())
-    wide = g.groupBy("t", "w").pivot("origin", groups).agg(F.first("a")).fillna(0.0)
-    cols = [F.sum(F.col("w") * F.col(gi)).alias(f"s{i}") for i, gi in enumerate(groups)]
-    cols += [F.sum(F.col("w") * F.col(gi) * F.col(gj)).alias(f"p{i}_{j}")
-             for i, gi in enumerate(groups) for j, gj in enumerate(groups) if j >= i]
-    agg = wide.agg(*cols).first().asDict()
+    # per channel: Z_g = sum(d_g - d a_g) and s_g = sum(w a_g)  (k rows)
+    per = g.groupBy("origin").agg(F.sum(F.col("d_g") - F.col("d") * F.col("a")).alias("z"),
+                                  F.sum(F.col("w") * F.col("a")).alias("s")).collect()
+    if len(per) > MAX_GROUPS:
+        raise ValueError(f"{len(per)} channels exceed the k-sample solve bound {MAX_GROUPS}")
+    groups = sorted(r["origin"] for r in per)
+    k, at = len(groups), {gi: i for i, gi in enumerate(groups)}
+    # channel pairs at the same event time (long form: k^2 rows per time, bounded by days x k^2)
+    left = g.select("t", "w", F.col("origin").alias("gi"), F.col("a").alias("ai"))
+    right = g.select("t", F.col("origin").alias("gj"), F.col("a").alias("aj"))
+    pairs = (left.join(right, "t").filter(F.col("gi") <= F.col("gj"))
+             .groupBy("gi", "gj").agg(F.sum(F.col("w") * F.col("ai") * F.col("aj")).alias("p")).collect())
     V = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            v = -(agg[f"p{i}_{j}"] or 0.0)
-            if i == j:
-                v += agg[f"s{i}"] or 0.0
-            V[i, j] = V[j, i] = v
-    Z = np.array([z_rows.get(gi, 0.0) for gi in groups])
+    for r in pairs:
+        i, j = at[r["gi"]], at[r["gj"]]
+        V[i, j] -= r["p"] or 0.0
+        if i != j:
+            V[j, i] = V[i, j]
+    for r in per:
+        V[at[r["origin"]], at[r["origin"]]] += r["s"] or 0.0
+    Z = np.array([0.0] * k)
+    for r in per:
+        Z[at[r["origin"]]] = r["z"] or 0.0
     if k < 2:
         chi2, dof = float("nan"), 0
     else:

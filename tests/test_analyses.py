@@ -1,5 +1,6 @@
 """Analyses on the hand-made warehouse (SURVEY C*, T*, R*, Q*)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -87,3 +88,36 @@ def test_heatmap_suppression(spark):
         stats.deals_with_revenue = orig
     assert h["s9"].suppressed and h["s9"].display_avg_rev is None
     assert not h["s10"].suppressed and h["s10"].display_avg_rev == 1.0
+
+
+def _logrank_brute(rows):
+    """k-sample log-rank from its definition, over (group, duration, event) rows."""
+    import numpy as np
+    groups = sorted({g for g, _, _ in rows})
+    k = len(groups)
+    Z, V = np.zeros(k), np.zeros((k, k))
+    for t in sorted({t for _, t, e in rows if e}):
+        n_g = np.array([sum(1 for g, u, _ in rows if g == gi and u >= t) for gi in groups], float)
+        d_g = np.array([sum(1 for g, u, e in rows if g == gi and u == t and e) for gi in groups], float)
+        n, d = n_g.sum(), d_g.sum()
+        Z += d_g - d * n_g / n
+        if n > 1:
+            w = d * (n - d) / (n - 1)
+            V += w * (np.diag(n_g / n) - np.outer(n_g / n, n_g / n))
+    return float(Z[:-1] @ np.linalg.solve(V[:-1, :-1], Z[:-1])), k - 1
+
+
+def test_logrank_k_matches_brute_force(spark):
+    import os
+    from leadlens.plans.context import warehouse_for
+    from leadlens.plans.stats import _durations, logrank_k
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver test data not present")
+    wh = warehouse_for(spark, sf)
+    d, _ = _durations(wh)
+    rows = [(r.origin, r.t, r.e) for r in d.collect()]        # 150 leads at this scale
+    chi2, dof = _logrank_brute(rows)
+    got = logrank_k(wh).first()
+    assert got.degrees_of_freedom == dof
+    assert got.chi2_stat == pytest.approx(round(chi2, 4), abs=1e-4)
