@@ -143,16 +143,17 @@ def audit_constraints(wh: Warehouse) -> DataFrame:
 
 
 def rejects(wh: Warehouse) -> DataFrame:
-    """Order items left out of fact_order_item, by first failing reason."""
+    """Order items left out of fact_order_item, by first failing reason
+    (semi / anti joins against the dimensions, broadcast when their checked size allows)."""
     r = wh.raw
     items = r["order_items"].select("order_id", "seller_id", "product_id")
     no_order = items.join(r["orders"].select("order_id"), "order_id", "left_anti")
     with_order = items.join(r["orders"].select("order_id", "customer_id"), "order_id")
-    no_seller = with_order.join(wh["dim_seller"].select("seller_id"), "seller_id", "left_anti")
-    ok1 = with_order.join(wh["dim_seller"].select("seller_id"), "seller_id", "left_semi")
-    no_product = ok1.join(wh["dim_product"].select("product_id"), "product_id", "left_anti")
-    ok2 = ok1.join(wh["dim_product"].select("product_id"), "product_id", "left_semi")
-    no_customer = ok2.join(wh["dim_customer"].select("customer_id"), "customer_id", "left_anti")
+    no_seller = with_order.join(wh.dim("dim_seller").select("seller_id"), "seller_id", "left_anti")
+    ok1 = with_order.join(wh.dim("dim_seller").select("seller_id"), "seller_id", "left_semi")
+    no_product = ok1.join(wh.dim("dim_product").select("product_id"), "product_id", "left_anti")
+    ok2 = ok1.join(wh.dim("dim_product").select("product_id"), "product_id", "left_semi")
+    no_customer = ok2.join(wh.dim("dim_customer").select("customer_id"), "customer_id", "left_anti")
     parts = [_count(no_order, "no_order", "order_items"), _count(no_seller, "unmapped_seller", "order_items"),
              _count(no_product, "unmapped_product", "order_items"),
              _count(no_customer, "unmapped_customer", "order_items")]
