@@ -10,8 +10,6 @@ channel's signed sellers as a filter (each item counted once per channel).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +63,13 @@ def _item_side(wh: Warehouse, grain: str, post_signing_only: bool, windows: tupl
         # per-seller first (skew-proof partial aggregation), then channel membership
         sellers = (wh["seller_lead"].join(wh.dim("dim_origin"), "origin_key")
                    .select("seller_key", F.col("origin_name").alias("lead_origin")).distinct())
-        per = items.groupBy("seller_key").agg(*per_seller_cols, F.max(F.when(live, 1)).alias("_active"))
-        sums = per.join(sellers, "seller_key").groupBy("lead_origin").agg(
+        # one scan: per-(seller, order) partials, channel membership, then sums
+        # and both distinct counts in one aggregation
+        per = items.groupBy("seller_key", "order_id").agg(*per_seller_cols, F.max(F.when(live, 1)).alias("_live"))
+        return per.join(sellers, "seller_key").groupBy("lead_origin").agg(
             *[F.sum(c).alias(c) for c in ("rev", "gmv", "freight", "review_sum", "review_n", "r90", "r180")],
-            F.count("_active").alias("active_sellers"))
-        orders = (items.select("seller_key", "order_id").distinct().join(sellers, "seller_key")
-                  .groupBy("lead_origin").agg(F.countDistinct("order_id").alias("orders")))
-        parts = [sums.withColumn("orders", F.lit(None).cast("long")),
-                 orders.select("lead_origin", "orders")]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("lead_origin").agg(
-            *[F.max(c).alias(c) for c in ITEM_COLS])
+            F.countDistinct(F.when(F.col("_live") == 1, F.col("seller_key"))).alias("active_sellers"),
+            F.countDistinct("order_id").alias("orders"))
     g = _grain_cols(grain, "date_key_purchase")
     return items.groupBy(*g).agg(
         *per_seller_cols,

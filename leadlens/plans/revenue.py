@@ -27,20 +27,30 @@ def post_signing_items(wh: Warehouse, exclude_canceled: bool) -> DataFrame:
     return items
 
 
-def seller_item_totals(items: DataFrame) -> DataFrame:
-    """Per-seller sums that later roll up to any channel/segment grain."""
-    return items.groupBy("seller_key").agg(
-        F.sum("price").alias("s_revenue"),
-        F.sum("freight_value").alias("s_freight"),
-        F.count(F.lit(1)).alias("s_items"),
-        F.sum("review_score").alias("s_review_sum"),
-        F.count("review_score").alias("s_review_n"),
-        F.min("days_after_won").alias("s_first_days"))
-
-
-def seller_orders(items: DataFrame) -> DataFrame:
-    """Distinct (seller, order) pairs: the input of every COUNT(DISTINCT order_id)."""
-    return items.select("seller_key", "order_id").distinct()
+def seller_order_totals(items: DataFrame) -> DataFrame:
+    """Per (seller, order) partial sums: one scan of the item fact serves both the
+    per-seller sums and every distinct-order count built on top of it (a branch
+    per purpose would scan the fact twice, since the two branches prune the
+    aggregate differently and cannot share its shuffle)."""
+    return items.groupBy("seller_key", "order_id").agg(
+        F.sum("price").alias("o_revenue"),
+        F.sum("freight_value").alias("o_freight"),
+        F.count(F.lit(1)).alias("o_items"),
+        F.sum("review_score").alias("o_review_sum"),
+        F.count("review_score").alias("o_review_n"),
+        F.min("days_after_won").alias("o_first_days"))
+
+
+def seller_totals_with_orders(items: DataFrame) -> DataFrame:
+    """Per-seller sums plus ``s_orders`` (distinct orders), from one scan."""
+    return seller_order_totals(items).groupBy("seller_key").agg(
+        F.sum("o_revenue").alias("s_revenue"),
+        F.sum("o_freight").alias("s_freight"),
+        F.sum("o_items").alias("s_items"),
+        F.sum("o_review_sum").alias("s_review_sum"),
+        F.sum("o_review_n").alias("s_review_n"),
+        F.min("o_first_days").alias("s_first_days"),
+        F.count(F.lit(1)).alias("s_orders"))
 
 
 def bridge(wh: Warehouse, *group: str) -> DataFrame:
@@ -64,21 +74,23 @@ def _bridge_rows(wh: Warehouse) -> int:
 
 
 def rollup(wh: Warehouse, items: DataFrame, group: list[str]) -> DataFrame:
-    """Item metrics at a bridge grain: sums weighted by multiplicity, exact distinct counts."""
+    """Item metrics at a bridge grain: sums weighted by multiplicity, exact distinct counts.
+
+    One scan: per-(seller, order) partials joined to the bridge, then one
+    aggregation holds the weighted sums and both distinct counts.
+    """
     from ..operators.joins import broadcast_if
     b = broadcast_if(bridge(wh, *group), _bridge_rows(wh))
-    per = seller_item_totals(items).join(b, "seller_key")
+    per = seller_order_totals(items).join(b, "seller_key")
     m = F.col("mult")
-    sums = per.groupBy(*group).agg(
+    return per.groupBy(*group).agg(
         F.countDistinct("seller_key").alias("active_sellers"),
-        F.sum(F.col("s_revenue") * m).alias("revenue"),
-        F.sum(F.col("s_freight") * m).alias("freight"),
-        F.sum(F.col("s_items") * m).alias("items"),
-        F.sum(F.col("s_review_sum") * m).alias("review_sum"),
-        F.sum(F.col("s_review_n") * m).alias("review_n"))
-    orders = (seller_orders(items).join(b.select("seller_key", *group).distinct(), "seller_key")
-              .groupBy(*group).agg(F.countDistinct("order_id").alias("orders")))
-    return sums.join(orders, group, "left")
+        F.countDistinct("order_id").alias("orders"),
+        F.sum(F.col("o_revenue") * m).alias("revenue"),
+        F.sum(F.col("o_freight") * m).alias("freight"),
+        F.sum(F.col("o_items") * m).alias("items"),
+        F.sum(F.col("o_review_sum") * m).alias("review_sum"),
+        F.sum(F.col("o_review_n") * m).alias("review_n"))
 
 
 # ----------------------------------------------------------------- C12 and view 4
@@ -152,9 +164,7 @@ def seller_revenue_by_origin(wh: Warehouse) -> DataFrame:
     items = post_signing_items(wh, exclude_canceled=True)
     # per (seller, channel) rows, as the reference's first CTE
     b = bridge(wh, "lead_origin")
-    per_seller = seller_item_totals(items).join(b, "seller_key")
-    orders_ps = (seller_orders(items).groupBy("seller_key").agg(F.count(F.lit(1)).alias("s_orders")))
-    per_seller = per_seller.join(orders_ps, "seller_key", "left")
+    per_seller = seller_totals_with_orders(items).join(b, "seller_key")
     m = F.col("mult")
     per_seller = per_seller.select(
         "lead_origin", "seller_key",
@@ -228,15 +238,14 @@ def lead_time_to_close(wh: Warehouse) -> DataFrame:
 def seller_post_signing(wh: Warehouse) -> DataFrame:
     """C10 (view 3): every signed seller, inactive ones kept with NULL sums; canceled included."""
     items = wh["fact_order_item"].filter(F.col("days_after_won") >= 0)   # J4: predicate in the ON
-    per = seller_item_totals(items)
-    orders = seller_orders(items).groupBy("seller_key").agg(F.count(F.lit(1)).alias("s_orders"))
+    per = seller_totals_with_orders(items)
     sel = wh["dim_seller"].select("seller_key", "seller_id", "lead_type", "lead_behaviour_profile",
                                   "declared_monthly_revenue")
     b = (wh["seller_lead"].join(wh.dim("dim_origin"), "origin_key").join(wh.dim("dim_segment"), "segment_key")
          .groupBy("seller_key", F.col("origin_name").alias("lead_origin"),
                   F.col("segment_name").alias("business_segment"))
          .agg(F.count(F.lit(1)).alias("mult")))
-    j = b.join(sel, "seller_key").join(per, "seller_key", "left").join(orders, "seller_key", "left")
+    j = b.join(sel, "seller_key").join(per, "seller_key", "left")
     m = F.col("mult")
     return j.select(
         "seller_id", "seller_key", "lead_origin", "business_segment", "lead_type",
@@ -260,17 +269,16 @@ def segment_performance(wh: Warehouse) -> DataFrame:
              .join(wh.dim("dim_segment"), "segment_key")
              .select("segment_name", F.col("sel_key").alias("seller_key"), "mult"))
     items = wh["fact_order_item"].filter(F.col("days_after_won") >= 0)
-    per = seller_item_totals(items)
     m = F.col("mult")
-    sums = pairs.join(per, "seller_key", "left").groupBy("segment_name").agg(
+    # one scan: (segment, seller) pairs LEFT JOIN per-(seller, order) partials;
+    # sellers without items keep one row with NULL order and sums
+    sums = pairs.join(seller_order_totals(items), "seller_key", "left").groupBy("segment_name").agg(
         F.countDistinct("seller_key").alias("closed_sellers"),
-        F.sum(F.col("s_revenue") * m).alias("rev"),
-        F.sum(F.col("s_review_sum") * m).alias("review_sum"),
-        F.sum(F.col("s_review_n") * m).alias("review_n"))
-    orders = (seller_orders(items).join(pairs.filter(F.col("seller_key").isNotNull())
-                                        .select("seller_key", "segment_name").distinct(), "seller_key")
-              .groupBy("segment_name").agg(F.countDistinct("order_id").alias("orders")))
-    return (sums.join(orders, "segment_name", "left").select(
+        F.countDistinct("order_id").alias("orders"),
+        F.sum(F.col("o_revenue") * m).alias("rev"),
+        F.sum(F.col("o_review_sum") * m).alias("review_sum"),
+        F.sum(F.col("o_review_n") * m).alias("review_n"))
+    return (sums.select(
         "segment_name", "closed_sellers",
         F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("total_revenue"),
         F.coalesce("orders", F.lit(0)).cast("long").alias("total_orders"),
