@@ -33,16 +33,18 @@ def pick(values: list[str | None], key_col: str) -> str:
     return f"CASE {arms} END"
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Scan a driver table in place.  ``spread``: a fact-sized table stored as
-    fewer splits than the cluster has cores (one file, one row group) is
-    round-robin repartitioned on the way in, so the map side of the joins
-    that follow runs on every core; a many-file input is left as it is."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    target = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
-    return df
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan a driver table in place (never copied)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A fact-sized input stored as fewer splits than the cluster has cores (one
+    file, one row group) is round-robin repartitioned, so the joins that
+    follow run on every core; a many-file input is left as it is.  Applied to
+    the projected columns of one consumer, not to the whole table."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def _id(prefix: str, c: str):
@@ -53,7 +55,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw inputs keyed like ``sources.raw.RAW_FILES`` (FIXTURES §3)."""
     customer = _read(spark, sf_dir, "customer")
     orders = _read(spark, sf_dir, "orders")
-    lineitem = _read(spark, sf_dir, "lineitem", spread=True)
+    lineitem = _read(spark, sf_dir, "lineitem")
     part = _read(spark, sf_dir, "part")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
@@ -107,8 +109,11 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
          + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))).alias("order_purchase_timestamp"))
 
     price = F.col("l_extendedprice").cast("decimal(10,2)")
-    items = (lineitem.join(orders.select("o_orderkey", "o_custkey"),
-                           lineitem.l_orderkey == orders.o_orderkey)
+    # items carry the fact's volume: spread them; reviews only feed a per-order
+    # mean, which combines map-side, so they stay unspread
+    li = _spread(lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate",
+                                 "l_extendedprice", "l_tax"))
+    items = (li.join(orders.select("o_orderkey", "o_custkey"), li.l_orderkey == orders.o_orderkey)
              .select(_id("o", "l_orderkey").alias("order_id"),
                      F.col("l_linenumber").alias("order_item_id"),
                      _id("p", "l_partkey").alias("product_id"),
