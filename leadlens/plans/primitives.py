@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import month_bucket, pretty_label, ratio_or, short_id
 from ..operators.joins import anti, left_join_on_predicate, or_join, semi
 from .channel import cac_column
-from .revenue import channel_matrix
+from .revenue import shared_channel_matrix
 from .warehouse import Warehouse
 
 
@@ -48,7 +48,7 @@ def sellers_without_sales(wh: Warehouse) -> DataFrame:
 
 def default_lookup(wh: Warehouse) -> DataFrame:
     """Acquisition cost per channel, default when the channel is not listed."""
-    return channel_matrix(wh).select("lead_origin", cac_column("lead_origin").alias("est_cac"))
+    return shared_channel_matrix(wh).select("lead_origin", cac_column("lead_origin").alias("est_cac"))
 
 
 def count_distinct(wh: Warehouse) -> DataFrame:
@@ -103,7 +103,7 @@ def dense_rank(wh: Warehouse) -> DataFrame:
 
 def top_k(wh: Warehouse, k: int = 3) -> DataFrame:
     """The k channels with the most post-signing revenue (the report is a top-k)."""
-    return (channel_matrix(wh).select("lead_origin", "total_post_signing_revenue")
+    return (shared_channel_matrix(wh).select("lead_origin", "total_post_signing_revenue")
             .orderBy(F.desc("total_post_signing_revenue"), "lead_origin").limit(k))
 
 

@@ -117,6 +117,12 @@ def channel_matrix(wh: Warehouse) -> DataFrame:
         F.coalesce(safe_ratio("review_sum", "review_n"), F.lit(0.0)).alias("avg_review_score"))
 
 
+def shared_channel_matrix(wh: Warehouse) -> DataFrame:
+    """C12 as the shared input of ROI, recommendations, anomalies, scenarios and KPIs:
+    one row per channel, computed once per warehouse."""
+    return wh.derived("channel_matrix", lambda: channel_matrix(wh))
+
+
 def cohort_matrix(wh: Warehouse) -> DataFrame:
     """C11 (view 4): channel x 30-day month since signing, no month cap."""
     items = post_signing_items(wh, exclude_canceled=True).withColumn(

@@ -188,7 +188,12 @@ def deals_with_revenue(wh: Warehouse) -> DataFrame:
     """Won leads with channel, segment and post-signing revenue of their seller (0 if none).
 
     Canceled items are kept, as in the reference's bootstrap and heat map.
+    Shared by the bootstraps and the heat map: written once per warehouse.
     """
+    return wh.derived("deals_with_revenue", lambda: _deals_with_revenue(wh))
+
+
+def _deals_with_revenue(wh: Warehouse) -> DataFrame:
     rev = (wh["fact_order_item"].filter(F.col("days_after_won") >= 0)
            .groupBy("seller_key").agg(F.sum("price").alias("rev")))
     return (wh["fact_lead"].filter(F.col("is_won") == 1)

@@ -9,6 +9,7 @@ files, so a lost executor never renumbers keys.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -35,10 +36,24 @@ class Warehouse:
     raw: dict[str, DataFrame] = field(default_factory=dict)
     unknown_segment_key: int = 0
     scalars: dict[str, object] = field(default_factory=dict)
+    derived_tables: dict[str, DataFrame] = field(default_factory=dict)
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from the (immutable) warehouse and shared by several
+        analyses: written once under the warehouse folder on first use and read
+        back, so later analyses neither recompute it nor depend on executor
+        memory."""
+        with self._lock:
+            if name not in self.derived_tables:
+                path = f"{self.path}/derived/{name}"
+                write_table(build(), path)
+                self.derived_tables[name] = self.spark.read.parquet(path)
+            return self.derived_tables[name]
+
     def scalar(self, name: str, compute: Callable[[], object]) -> object:
         """A one-value aggregate over the written tables, computed once per warehouse."""
         if name not in self.scalars:

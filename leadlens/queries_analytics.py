@@ -60,13 +60,13 @@ cm AS (
 
 
 def _matrix(wh: Warehouse) -> DataFrame:
-    return revenue.channel_matrix(wh)
+    return revenue.shared_channel_matrix(wh)
 
 
 @register("v_channel_matrix", O.q("SELECT * FROM cm", CHANNEL_MATRIX_CTE))
 def q_channel_matrix(wh: Warehouse) -> DataFrame:
-    """C12 (flagship) master channel efficiency matrix."""
-    return _matrix(wh)
+    """C12 (flagship) master channel efficiency matrix, computed from the facts."""
+    return revenue.channel_matrix(wh)
 
 
 _W2 = O.wilson("SUM(f.is_won)", "COUNT(f.lead_key)", 1.96)
