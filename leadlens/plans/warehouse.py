@@ -37,7 +37,7 @@ class Warehouse:
     unknown_segment_key: int = 0
     scalars: dict[str, object] = field(default_factory=dict)
     derived_tables: dict[str, DataFrame] = field(default_factory=dict)
-    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+    _lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
