@@ -103,9 +103,8 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                      ("seller_key", "seller_key"), ("seller_id", "mql_id"),
                      select=[F.col("l.seller_key").alias("seller_key"), F.col("l.seller_id").alias("seller_id"),
                              *[F.col(f"r.{c}") for c in ("lead_key", "mql_id", "origin_key", "segment_key", "is_won")]])
-    write_table(bridge, f"{path}/seller_lead")
+    wh.rows["seller_lead"] = write_table(bridge, f"{path}/seller_lead", count_rows=True)
     wh.tables["seller_lead"] = spark.read.parquet(f"{path}/seller_lead")
-    wh.rows["seller_lead"] = wh.tables["seller_lead"].count()
     return wh
 
 

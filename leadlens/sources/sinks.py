@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,12 +10,21 @@ from ..functions.exprs import nan_to_null
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                fmt: str = "parquet") -> None:
-    """Full refresh; rerunning replaces the table instead of appending twice."""
+                fmt: str = "parquet", count_rows: bool = False) -> int | None:
+    """Full refresh; rerunning replaces the table instead of appending twice.
+
+    ``count_rows`` (S9): the rows written, observed during the write itself
+    (no second pass over the table).
+    """
+    obs = None
+    if count_rows:
+        obs = Observation("rows_written")
+        df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.format(fmt).save(path)
+    return int(obs.get["rows"]) if obs is not None else None
 
 
 def write_csv(df: DataFrame, path: str) -> None:

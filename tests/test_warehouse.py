@@ -61,3 +61,8 @@ def test_or_join_bridge(tiny_wh):
     b = rows(tiny_wh["seller_lead"], "seller_id", "mql_id")
     # s2 is mapped from m2 (its lead); m4's deal reuses s2 but fact_lead.seller_key links it too
     assert ("s1", "m1") in b and ("s2", "m2") in b and ("s2", "m4") in b and ("s6", "m6") in b
+
+
+def test_observed_row_counts_match_tables(tiny_wh):
+    for name in ("seller_lead", "fact_lead", "fact_order_item", "dim_seller"):
+        assert tiny_wh.rows[name] == tiny_wh[name].count(), name
