@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf, chi2_sf_col
+from ..operators.joins import broadcast_if
 from ..operators.keys import dense_key
 from .warehouse import Warehouse
 
@@ -213,7 +214,7 @@ def bootstrap_ci(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float =
     and resolved by an equi-join; n <= 2 gives a degenerate interval.
     """
     deals = deals_with_revenue(wh)
-    keyed, _ = dense_key(deals, ["origin", "lead_key"], "_gk", name="bootstrap")
+    keyed, n_deals = dense_key(deals, ["origin", "lead_key"], "_gk", name="bootstrap")
     first = keyed.groupBy("origin").agg(F.min("_gk").alias("_g0"), F.count(F.lit(1)).alias("n"),
                                         F.avg("total_revenue").alias("mean"))
     numbered = keyed.join(first.select("origin", "_g0"), "origin").select(
@@ -233,7 +234,9 @@ def bootstrap_ci(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float =
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("origin"), F.col("rep").cast("string"),
                                              F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
     draws = draws.select("origin", "rep", (F.lit(1) + h % F.col("n")).alias("idx"))
-    means = (draws.join(numbered, ["origin", "idx"])
+    # deals are few enough (checked count) to ship to every task: draws are then
+    # resolved where they are generated and only (channel, replicate) partials shuffle
+    means = (draws.join(broadcast_if(numbered, n_deals), ["origin", "idx"])
              .groupBy("origin", "rep").agg(F.avg("total_revenue").alias("m")))
     ci = means.groupBy("origin").agg(
         F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
