@@ -120,7 +120,7 @@ def channel_matrix(wh: Warehouse) -> DataFrame:
 def shared_channel_matrix(wh: Warehouse) -> DataFrame:
     """C12 as the shared input of ROI, recommendations, anomalies, scenarios and KPIs:
     one row per channel, computed once per warehouse."""
-    return wh.derived("channel_matrix", lambda: channel_matrix(wh))
+    return wh.derived("channel_matrix", lambda: channel_matrix(wh), aggregated=True)
 
 
 def cohort_matrix(wh: Warehouse) -> DataFrame:

@@ -191,7 +191,7 @@ def deals_with_revenue(wh: Warehouse) -> DataFrame:
     Canceled items are kept, as in the reference's bootstrap and heat map.
     Shared by the bootstraps and the heat map: written once per warehouse.
     """
-    return wh.derived("deals_with_revenue", lambda: _deals_with_revenue(wh))
+    return wh.derived("deals_with_revenue", lambda: _deals_with_revenue(wh), aggregated=False)
 
 
 def _deals_with_revenue(wh: Warehouse) -> DataFrame:

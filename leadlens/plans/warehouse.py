@@ -42,14 +42,15 @@ class Warehouse:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
-    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def derived(self, name: str, build: Callable[[], DataFrame], aggregated: bool) -> DataFrame:
         """A table derived from the (immutable) warehouse and shared by several
         analyses: written once under the warehouse folder on first use and read
         back, so later analyses neither recompute it nor depend on executor
-        memory."""
+        memory.  ``aggregated``: one row per group (e.g. per channel), kept
+        apart from row-level tables so plan checks can tell them apart."""
         with self._lock:
             if name not in self.derived_tables:
-                path = f"{self.path}/derived/{name}"
+                path = f"{self.path}/derived/{'aggregate' if aggregated else 'rows'}/{name}"
                 write_table(build(), path)
                 self.derived_tables[name] = self.spark.read.parquet(path)
             return self.derived_tables[name]
