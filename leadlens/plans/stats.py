@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import chi2_sf, chi2_sf_col
 from ..operators.joins import broadcast_if
 from ..operators.keys import dense_key
+from ..operators.partitioning import spread
 from .warehouse import Warehouse
 
 MAX_GROUPS = 200   # channels handled by the k-sample log-rank solve on the driver
@@ -113,12 +114,12 @@ def _risk_grid(wh: Warehouse) -> DataFrame:
     prev = Window.partitionBy("origin").orderBy("t")
     h = (h.withColumn("n_g", F.sum("m").over(back))
           .withColumn("prev", F.coalesce(F.lag("t").over(prev), F.lit(lo - 1))))
-    spread = h.select("origin", "n_g", "t", "d",
-                      F.explode(F.sequence(F.col("prev") + 1, F.col("t"))).alias("u"))
-    spread = spread.select("origin", F.col("u").alias("t"), "n_g",
-                           F.when(F.col("u") == F.col("t"), F.col("d")).otherwise(F.lit(0)).alias("d_g"))
+    daily = h.select("origin", "n_g", "t", "d",
+                     F.explode(F.sequence(F.col("prev") + 1, F.col("t"))).alias("u"))
+    daily = daily.select("origin", F.col("u").alias("t"), "n_g",
+                         F.when(F.col("u") == F.col("t"), F.col("d")).otherwise(F.lit(0)).alias("d_g"))
     events = h.groupBy("t").agg(F.sum("d").alias("_d")).filter(F.col("_d") > 0).select("t")
-    return spread.join(events, "t")
+    return daily.join(events, "t")
 
 
 def logrank_pairwise(wh: Warehouse) -> DataFrame:
@@ -260,7 +261,7 @@ def bootstrap_ci_poisson(wh: Warehouse, reps: int = 200, seed: int = 42, alpha:
     comes from a hash of (seed, deal, replicate), and weighted sums are
     partially aggregated, so only reps x channels rows are shuffled.
     """
-    deals = deals_with_revenue(wh)
+    deals = spread(deals_with_revenue(wh))          # each row becomes `reps` rows below
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("lead_key").cast("string"),
                                                 F.col("rep").cast("string"))), 1, 8), 16, 10).cast("double")
          / F.lit(4294967296.0))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import spread
+
 # Domains used for categorical seller attributes, picked by
 # account key modulo the list length (a None member exercises defaults).
 LEAD_TYPES = ["online_store", "offline", "industry", "manufacturer", "reseller", None]
@@ -38,15 +40,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A fact-sized input stored as fewer splits than the cluster has cores (one
-    file, one row group) is round-robin repartitioned, so the joins that
-    follow run on every core; a many-file input is left as it is.  Applied to
-    the projected columns of one consumer, not to the whole table."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def _id(prefix: str, c: str):
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
@@ -111,7 +104,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     price = F.col("l_extendedprice").cast("decimal(10,2)")
     # items carry the fact's volume: spread them; reviews only feed a per-order
     # mean, which combines map-side, so they stay unspread
-    li = _spread(lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate",
+    li = spread(lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate",
                                  "l_extendedprice", "l_tax"))
     items = (li.join(orders.select("o_orderkey", "o_custkey"), li.l_orderkey == orders.o_orderkey)
              .select(_id("o", "l_orderkey").alias("order_id"),
