@@ -10,7 +10,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,9 +27,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from leadlens.session import get_session
-    ckpt = tempfile.mkdtemp(prefix="leadlens-bench-", dir="/tmp")
+    # the shared folder comes from spark.checkpoint.dir when configured; only an
+    # unset local run gets a fresh folder under /tmp (leadlens.session)
     spark = get_session(f"local[{cpus}]", app_name="leadlens-bench", shuffle_partitions=max(8, 2 * cpus),
-                        extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "8g"})
+                        extra={"spark.driver.memory": "8g"})
     from leadlens.plans.context import warehouse_for
     from leadlens.registry import QUERIES
 
