@@ -60,6 +60,17 @@ def test_dense_key_broadcast_offsets_match_inline(spark, monkeypatch):
     assert a == b and [k for _, k in a] == list(range(1, 5001))
 
 
+def test_spread_only_when_partitions_are_few(spark):
+    from leadlens.operators.partitioning import spread
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, cores * 2)
+    assert spread(many) is many                                   # enough splits: untouched
+    one = spark.range(0, 1000, 1, 1)
+    spread_one = spread(one)
+    assert spread_one.rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in spread_one.collect()) == list(range(1000))
+
+
 def test_or_join_matches_cartesian_definition(spark):
     from leadlens.operators.joins import or_join
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, s string")
