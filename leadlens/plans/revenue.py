@@ -54,7 +54,15 @@ def seller_totals_with_orders(items: DataFrame) -> DataFrame:
 
 
 def bridge(wh: Warehouse, *group: str) -> DataFrame:
-    """Seller -> group (e.g. lead_origin) with the number of bridge rows per pair."""
+    """Seller -> group (e.g. lead_origin) with the number of bridge rows per pair.
+
+    Shared by most revenue analyses, so each grouping is written once per
+    warehouse (one row per seller and group: row-level, not per-group)."""
+    name = "bridge_" + "_".join(group)
+    return wh.derived(name, lambda: _bridge(wh, *group), aggregated=False)
+
+
+def _bridge(wh: Warehouse, *group: str) -> DataFrame:
     b = wh["seller_lead"]
     cols = []
     for g in group:
