@@ -250,7 +250,14 @@ def lead_time_to_close(wh: Warehouse) -> DataFrame:
 
 
 def seller_post_signing(wh: Warehouse) -> DataFrame:
-    """C10 (view 3): every signed seller, inactive ones kept with NULL sums; canceled included."""
+    """C10 (view 3): every signed seller, inactive ones kept with NULL sums; canceled included.
+
+    Read by the view query and the measures (M10): written once per warehouse
+    (one row per seller, channel and segment: row-level)."""
+    return wh.derived("seller_post_signing", lambda: _seller_post_signing(wh), aggregated=False)
+
+
+def _seller_post_signing(wh: Warehouse) -> DataFrame:
     items = wh["fact_order_item"].filter(F.col("days_after_won") >= 0)   # J4: predicate in the ON
     per = seller_totals_with_orders(items)
     sel = wh["dim_seller"].select("seller_key", "seller_id", "lead_type", "lead_behaviour_profile",
