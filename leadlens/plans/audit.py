@@ -109,16 +109,22 @@ def _table_checks(wh: Warehouse, table: str) -> DataFrame:
 
     UNIQUE: rows - COUNT(DISTINCT struct(key)) (a struct keeps NULL keys as one
     group, as GROUP BY does).  NOT NULL / CHECK: conditional counts.  FOREIGN
-    KEY: each parent's distinct keys are left-joined (broadcast when the
-    parent's checked size allows; distinct, so no child row is repeated) and
-    a miss is a non-NULL child key without a parent row.
+    KEY: an ``EXISTS`` flag per key, which Spark plans as an existence join
+    (broadcast when the parent's checked size allows): it never repeats a
+    child row, even if a parent key were duplicated, so no DISTINCT pass over
+    the parent is needed; a miss is a non-NULL child key without a parent row.
     """
+    fks = [(c, d, k) for t, c, d, k in _FK if t == table]
     df = wh[table]
-    checks: list[tuple[str, Column]] = []
-    for i, (c, parent, k) in enumerate((c, d, k) for t, c, d, k in _FK if t == table):
-        keys = wh[parent].select(F.col(k).alias(f"_p{i}")).distinct().withColumn(f"_hit{i}", F.lit(True))
-        df = df.join(broadcast_if(keys, wh.rows.get(parent)), F.col(c) == F.col(f"_p{i}"), "left")
-        checks.append((f"fk:{c}->{parent}", F.count(F.when(F.col(c).isNotNull() & F.col(f"_hit{i}").isNull(), 1))))
+    if fks:
+        parents = {f"p{i}": broadcast_if(wh[d].select(F.col(k).alias("_k")), wh.rows.get(d))
+                   for i, (_, d, k) in enumerate(fks)}
+        flags = ", ".join(f"EXISTS (SELECT 1 FROM {{p{i}}} WHERE {{p{i}}}._k = t.{c}) AS _hit{i}"
+                          for i, (c, _, _) in enumerate(fks))
+        df = wh.spark.sql(f"SELECT t.*, {flags} FROM {{t}} t", t=df, **parents)
+    checks: list[tuple[str, Column]] = [
+        (f"fk:{c}->{d}", F.count(F.when(F.col(c).isNotNull() & ~F.col(f"_hit{i}"), 1)))
+        for i, (c, d, _) in enumerate(fks)]
     for cols in (cols for t, cols in _UNIQUE if t == table):
         checks.append(("unique:" + ",".join(cols), F.count(F.lit(1)) - F.count_distinct(F.struct(*cols))))
     checks += [(f"not_null:{c}", F.count(F.when(F.col(c).isNull(), 1))) for t, c in _NOT_NULL if t == table]
