@@ -125,7 +125,7 @@ def union_member(wh: Warehouse) -> DataFrame:
     """Cleaned deal segments plus the 'unknown' member, distinct."""
     from ..functions.exprs import clean_label
     segs = wh.raw["closed_deals"].select(clean_label("business_segment").alias("segment_name"))
-    member = wh.spark.createDataFrame([("unknown",)], "segment_name string")
+    member = wh.spark.range(0, 1, 1, 1).select(F.lit("unknown").alias("segment_name"))   # one row, one partition
     return segs.unionByName(member).distinct()
 
 
