@@ -8,7 +8,11 @@ hashed by a handful of NumPy passes, whatever the length of its texts.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's sources, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="leadlens-src-"), "leadlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("leadlens", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package importable on every executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def byte_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts one after the other, offsets); a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

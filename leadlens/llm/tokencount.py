@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leadlens.llm.common import map_batches
+
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 MEMO_UNITS = 400_000
@@ -139,4 +141,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 [b.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                  pa.array([c.count(t) for t in texts], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
-    return fields.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")
+    return map_batches(fields, run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")

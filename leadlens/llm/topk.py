@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import written
+from leadlens.llm.common import map_batches, ship, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 EXACT_FLOAT = float(1 << 53)
@@ -52,6 +52,7 @@ def quantised(vec: Column, scale: int = 64) -> Column:
 def _blocks(rows: DataFrame, block: Column, nodes: int, width: int, name: str) -> DataFrame:
     """(block, node, ids, part) with the components of that node as one matrix per block."""
     step = max(1, -(-width // nodes))
+    ship(rows.sparkSession)
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["rep"].to_numpy(np.int64)
@@ -127,7 +128,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 yield entries(q, c, r["node"], s, i, best.ravel())
 
     kind = "q long, node int, c long, partial long"
-    lists = written(cells.mapInArrow(local_lists, kind), "topk-lists")
+    lists = written(map_batches(cells, local_lists, kind), "topk-lists")
     lows = lists.filter("c is null").groupBy("q", "node").agg(F.min("partial").alias("low"))
     best = Window.partitionBy("q").orderBy(F.desc("bound"), "c")
 
@@ -156,7 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 for at in range(0, len(i), 1 << 18):
                     yield entries(q, c, r["node"], s, i[at:at + (1 << 18)], j[at:at + (1 << 18)])
 
-    entered = written(cells.join(per_block, ["qb", "node"]).mapInArrow(sufficient, kind), "topk-entries")
+    entered = written(map_batches(cells.join(per_block, ["qb", "node"]), sufficient, kind), "topk-entries")
     bounded = written(bounds(entered), "topk-bounds")
     alive = (bounded.join(first, "q").join(kth(bounded, "reached"), "q")
              # an unseen node adds less than cutoff / nodes

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import table_path, written
+from leadlens.llm.common import map_batches, table_path, written
 from leadlens.operators.joins import broadcast_if
 
 MIN_REVISIT_BYTES = 1000
@@ -130,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             system.move(part, f"{base}/{name}")
         yield flush()
 
-    return written(todo.mapInArrow(write, INDEX), "warc-index")
+    return written(map_batches(todo, write, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -171,4 +171,4 @@ def read_records(index: DataFrame) -> DataFrame:
                     ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]))
                 i = j
 
-    return todo.mapInArrow(read, RECORD)
+    return map_batches(todo, read, RECORD)
