@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import neardup, tokencount, topk, urls, warc
+from leadlens.llm import neardup, suffixes, tokencount, topk, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(_read(spark, sf_dir, "pages"))
     return warc.read_records(index).select(
@@ -49,7 +53,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op4_warc, op7_token_counts, op8_url_filter, op10_near_dedup)
+    f.__name__: f for f in (op1_topk, op3_suffix_dedup, op4_warc, op7_token_counts, op8_url_filter, op10_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
