@@ -1,18 +1,21 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 The vectors are cut into ``nodes`` groups of components; the score of a pair
-is the sum of its nodes' partial products, each shifted by that node's
-smallest partial for the query so that no partial is negative.
-
-1. Every node sends each query's k largest local partials.  Their sums (absent
-   nodes count nothing) are lower bounds; the k-th largest is a safe cutoff.
-2. The cutoff is sent to the nodes, and each returns all entries of at least
-   cutoff / nodes: a pair that reaches the cutoff has such an entry somewhere.
-3. Pairs whose upper bound falls short of the new k-th lower bound go; pairs
-   seen at every node are exact, and the rest are resolved exactly.
-
-Work is laid out in cells of (node, query block, candidate block), one matrix
-product each, so no task holds more than one cell and nothing is collected.
+is the sum of its nodes' partial products.
+
+1. Every node gives each query's k best local partials; the scores of the pairs
+   gathered that way are summed, and the k-th best of them over all cells is a
+   safe cutoff: the true k-th score is no smaller.
+2. The cutoff goes back to all cells, and each node collects the entries of at
+   least cutoff / nodes: a pair that reaches the cutoff has one somewhere.
+3. Pairs whose upper bound (cutoff / nodes for each node without an entry) falls
+   short of the cutoff go; pairs with an entry at every node are exact, and the
+   rest are resolved exactly from their components.
+
+Work is laid out in cells of (query block, candidate block), so no task holds
+more than one cell, nothing is collected, and only pairs that reach the cutoff
+leave a cell.
+
 Equal vectors are one class, so a vector that a third of all rows share is
 scored once; a class keeps its k + 1 smallest ids, which is all that a top-k
 with ties to the smaller id can use.
@@ -38,6 +41,7 @@ from leadlens.llm.common import map_batches, ship, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 EXACT_FLOAT = float(1 << 53)
+LOWEST = -(1 << 62)
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -50,7 +54,7 @@ def quantised(vec: Column, scale: int = 64) -> Column:
 
 
 def _blocks(rows: DataFrame, block: Column, nodes: int, width: int, name: str) -> DataFrame:
-    """(block, node, ids, part) with the components of that node as one matrix per block."""
+    """(block, ids, parts): the ids of a block and one matrix of components per node."""
     step = max(1, -(-width // nodes))
     ship(rows.sparkSession)
 
@@ -59,18 +63,27 @@ def _blocks(rows: DataFrame, block: Column, nodes: int, width: int, name: str) -
         m = np.zeros((len(ids), step * nodes), np.int64)
         for i, v in enumerate(frame["vec"]):
             m[i, :len(v)] = v
-        return pd.DataFrame([{"block": int(key[0]), "node": j, "ids": ids.tobytes(),
-                              "part": np.ascontiguousarray(m[:, j * step:(j + 1) * step]).tobytes()} for j in range(nodes)])
+        parts = [np.ascontiguousarray(m[:, j * step:(j + 1) * step]).tobytes() for j in range(nodes)]
+        return pd.DataFrame([{"block": int(key[0]), "ids": ids.tobytes(), "parts": parts}])
 
     return written(rows.select("rep", "vec", block.alias("block")).groupBy("block")
-                   .applyInPandas(pack, "block int, node int, ids binary, part binary"), name)
+                   .applyInPandas(pack, "block int, ids binary, parts array<binary>"), name)
 
 
-def _partials(q: bytes, c: bytes, nq: int, nc: int, exact_float: bool) -> np.ndarray:
-    a, b = np.frombuffer(q, np.int64).reshape(nq, -1), np.frombuffer(c, np.int64).reshape(nc, -1)
+def _cell(row: dict, exact_float: bool):
+    """Ids of both sides, their components and partial products per node."""
+    q, c = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
+    a = [np.frombuffer(x, np.int64).reshape(len(q), -1) for x in row["q_parts"]]
+    b = [np.frombuffer(x, np.int64).reshape(len(c), -1) for x in row["c_parts"]]
     if exact_float:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+        partials = [(x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64) for x, y in zip(a, b)]
+    else:
+        partials = [x @ y.T for x, y in zip(a, b)]
+    return q, c, a, b, partials
+
+
+def _scored(q: np.ndarray, c: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(score)], names=["q", "c", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "vec",
@@ -96,88 +109,69 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     exact_float = float(top or 0) ** 2 * width < EXACT_FLOAT
     nqb, ncb = -(-asking // query_block), -(-n // candidate_block)
     place = lambda m: F.pmod(F.xxhash64("key"), F.lit(m)).cast("int")
-    qs = _blocks(reps.filter("asks").withColumn("rep", F.col("rep")), place(nqb), nodes, width, "topk-queries")
+    qs = _blocks(reps.filter("asks"), place(nqb), nodes, width, "topk-queries")
     cs = _blocks(reps, place(ncb), nodes, width, "topk-candidates")
-    cells = (qs.select(F.col("block").alias("qb"), "node", F.col("ids").alias("q_ids"), F.col("part").alias("q_part"),
+    cells = (qs.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"),
                        F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))).alias("cb"))
-             .join(cs.select(F.col("block").alias("cb"), "node", F.col("ids").alias("c_ids"), F.col("part").alias("c_part"),
-                             F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))).alias("qb")), ["qb", "cb", "node"]))
+             .join(cs.select(F.col("block").alias("cb"), F.col("ids").alias("c_ids"), F.col("parts").alias("c_parts"),
+                             F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))).alias("qb")), ["qb", "cb"]))
     keep = k + 1
-
-    def entries(q_ids, c_ids, node, s, i, j):
-        return pa.RecordBatch.from_arrays([
-            pa.array(q_ids[i]), pa.array(np.full(len(i), node, np.int32)), pa.array(c_ids[j]), pa.array(s[i, j])],
-            names=["q", "node", "c", "partial"])
-
-    def each(batch):
-        for r in batch.to_pylist():
-            q, c = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-            yield r, q, c, _partials(r["q_part"], r["c_part"], len(q), len(c), exact_float)
+    kind = "q long, c long, score long"
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, q, c, s in each(b):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, c, _, _, partials = _cell(r, exact_float)
                 m = min(keep, len(c))
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                # the smallest partial travels as an entry of its own (c is null)
-                low = pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), r["node"], np.int32)),
-                                                  pa.nulls(len(q), pa.int64()), pa.array(s.min(axis=1))],
-                                                 names=["q", "node", "c", "partial"])
-                yield low
-                i = np.repeat(np.arange(len(q)), m)
-                yield entries(q, c, r["node"], s, i, best.ravel())
-
-    kind = "q long, node int, c long, partial long"
+                gathered = np.concatenate([np.argpartition(-p, m - 1, axis=1)[:, :m] for p in partials], axis=1)
+                gathered.sort(axis=1)
+                at = np.arange(len(q))[:, None]
+                score = sum(p[at, gathered] for p in partials)
+                # a pair listed by several nodes counts once
+                score[:, 1:][gathered[:, 1:] == gathered[:, :-1]] = LOWEST
+                best = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                yield _scored(np.repeat(q, m), c[gathered[at, best].ravel()], score[at, best].ravel())
+
+    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     lists = written(map_batches(cells, local_lists, kind), "topk-lists")
-    lows = lists.filter("c is null").groupBy("q", "node").agg(F.min("partial").alias("low"))
-    best = Window.partitionBy("q").orderBy(F.desc("bound"), "c")
-
-    def bounds(entered: DataFrame) -> DataFrame:
-        return (entered.join(lows, ["q", "node"]).groupBy("q", "c")
-                .agg(F.sum(F.col("partial") - F.col("low")).alias("bound"), F.sum("partial").alias("score"),
-                     F.count("*").alias("seen")))
-
-    def kth(bounded: DataFrame, name: str) -> DataFrame:
-        """Per query the k-th largest lower bound (0 with fewer pairs: then nothing can go)."""
-        return (bounded.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep)
-                .groupBy("q").agg(F.max(F.when(F.col("n") == keep, F.col("bound")).otherwise(0)).alias(name)))
-
-    first = kth(bounds(lists.filter("c is not null")), "cutoff")
-    cut = written(lows.join(first, "q").select("q", "node", "low", "cutoff"), "topk-cutoffs")
+    # with fewer than k + 1 candidates nothing may go
+    cut = (lists.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= keep)
+           .groupBy("q").agg(F.max(F.when(F.col("n") == keep, F.col("score"))).alias("cutoff")))
     placed = reps.filter("asks").select(F.col("rep").alias("q"), place(nqb).alias("qb"))
-    per_block = (cut.join(placed, "q").groupBy("qb", "node")
-                 .agg(F.collect_list(F.struct("q", "low", "cutoff")).alias("cuts")))
+    cuts = written(cut.join(placed, "q").groupBy("qb").agg(F.collect_list(F.struct("q", "cutoff")).alias("cuts")), "topk-cutoffs")
 
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, q, c, s in each(b):
-                limit = {x["q"]: -(-(x["low"] * nodes + x["cutoff"]) // nodes) for x in r["cuts"]}
-                floor = np.array([limit[x] for x in q.tolist()], np.int64)
-                i, j = np.nonzero(s >= floor[:, None])
-                for at in range(0, len(i), 1 << 18):
-                    yield entries(q, c, r["node"], s, i[at:at + (1 << 18)], j[at:at + (1 << 18)])
-
-    entered = written(map_batches(cells.join(per_block, ["qb", "node"]), sufficient, kind), "topk-entries")
-    bounded = written(bounds(entered), "topk-bounds")
-    alive = (bounded.join(first, "q").join(kth(bounded, "reached"), "q")
-             # an unseen node adds less than cutoff / nodes
-             .filter(F.col("bound") + (nodes - F.col("seen")) * F.col("cutoff") / nodes >= F.col("reached")))
-    complete = alive.filter(F.col("seen") == nodes).select("q", "c", "score")
-    vec = reps.select("rep", "vec")
-    resolved = (alive.filter(F.col("seen") < nodes).select("q", "c")
-                .join(vec.select(F.col("rep").alias("q"), F.col("vec").alias("a")), "q")
-                .join(vec.select(F.col("rep").alias("c"), F.col("vec").alias("b")), "c")
-                .select("q", "c", F.aggregate(F.zip_with("a", "b", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))),
-                                              F.lit(0).cast("long"), lambda t, x: t + x).alias("score")))
-    classes = (complete.unionByName(resolved)
-               .withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c")))
-               .filter(F.col("n") <= keep).select("q", "c", "score"))
-    by_rep = members.join(reps.select("key", "rep"), "key").select("rep", "id")
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, c, a, b, partials = _cell(r, exact_float)
+                limit = {x["q"]: x["cutoff"] for x in r["cuts"]}
+                if any(limit[x] is None for x in q.tolist()):
+                    i, j = (x.ravel() for x in np.indices((len(q), len(c))))
+                    yield _scored(q[i], c[j], sum(p[i, j] for p in partials))
+                    continue
+                cutoff = np.array([limit[x] for x in q.tolist()], np.int64)[:, None]
+                share = -(-cutoff // nodes)
+                entered = [p >= share for p in partials]
+                bound = sum(np.where(e, p, share) for e, p in zip(entered, partials))
+                i, j = np.nonzero(np.logical_or.reduce(entered) & (bound >= cutoff))
+                score = np.zeros(len(i), np.int64)
+                for e, p, x, y in zip(entered, partials, a, b):
+                    seen = e[i, j]
+                    score[seen] += p[i[seen], j[seen]]
+                    score[~seen] += (x[i[~seen]] * y[j[~seen]]).sum(axis=1)
+                reached = score >= cutoff[i, 0]
+                yield _scored(q[i[reached]], c[j[reached]], score[reached])
+
+    classes = written(map_batches(cells.join(cuts, "qb"), sufficient, kind)
+                      .withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= keep)
+                      .select("q", "c", "score"), "topk-classes-ranked")
+    by_rep = members.join(reps.select("key", "rep"), "key").select(F.col("rep").alias("c"), F.col("id").alias("vec_id"))
     # rows of the winning classes, then the k + 1 best rows per query class
-    listed = (classes.join(by_rep.select(F.col("rep").alias("c"), F.col("id").alias("vec_id")), "c")
+    listed = (classes.join(by_rep, "c")
               .withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
               .filter(F.col("n") <= keep).select("q", "vec_id", "score"))
-    asks = rows.filter("asks").select("key", F.col("id").alias("query_id")).join(reps.select("key", F.col("rep").alias("q")), "key")
+    asks = (rows.filter("asks").select("key", F.col("id").alias("query_id"))
+            .join(reps.select("key", F.col("rep").alias("q")), "key").select("q", "query_id"))
     own = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (asks.select("q", "query_id").join(listed, "q").filter("query_id <> vec_id")
+    return (asks.join(listed, "q").filter("query_id <> vec_id")
             .withColumn("rank", own).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
