@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import neardup, suffixes, tokencount, topk, urls, warc
+from leadlens.llm import neardup, quality, suffixes, tokencount, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -48,12 +52,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_read(spark, sf_dir, "pages"), rules)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op3_suffix_dedup, op4_warc, op7_token_counts, op8_url_filter, op10_near_dedup)
+    f.__name__: f for f in (op1_topk, op3_suffix_dedup, op4_warc, op6_quality, op7_token_counts,
+                          op8_url_filter, op9_toxicity, op10_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
