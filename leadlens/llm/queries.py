@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import neardup, quality, suffixes, tokencount, topk, toxicity, urls, warc
+from leadlens.llm import neardup, pieces, quality, suffixes, tokencount, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_report(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(_read(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op3_suffix_dedup, op4_warc, op6_quality, op7_token_counts,
+    f.__name__: f for f in (op1_topk, op2_sentencepiece, op3_suffix_dedup, op4_warc, op6_quality, op7_token_counts,
                           op8_url_filter, op9_toxicity, op10_near_dedup)
 }
 
