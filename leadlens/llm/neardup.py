@@ -147,61 +147,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     about = written(map_batches(rows, _describe, "id long, n long, p1 long, p2 long, sig array<int>"), "nd-about")
-    sets = about.filter("n > 0 and id is not null")
-    classes = written(sets.groupBy("p1", "p2").agg(F.min("id").alias("rep")), "nd-classes")
-    reps = sets.select("id", "n", "p1", "p2", "sig").join(classes, ["p1", "p2"]).filter("id = rep").dropDuplicates(["rep"])
+    reps = written(about.filter("n > 0 and id is not null").groupBy("p1", "p2")
+                   .agg(F.min(F.struct("id", "sig")).alias("one"))
+                   .select("p1", "p2", F.col("one.id").alias("rep"), F.col("one.sig").alias("sig")), "nd-reps")
 
     def postings(frame: DataFrame, count: int) -> DataFrame:
         return (frame.select("rep", F.posexplode(F.slice("sig", 1, count)).alias("c", "v"))
                 .select("rep", F.xxhash64("c", "v").alias("key")))
 
     # skip merging: classes whose probed coordinates mostly occur nowhere else are out
-    reps = written(reps.select("rep", "n", "sig"), "nd-reps")
     probes = postings(reps, PROBED)
-    shared = written(probes.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1").select("key"), "nd-probed")
+    shared = probes.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1").select("key")
     alive = written(probes.join(shared, "key").groupBy("rep").agg(F.count("*").alias("hits"))
                     .filter(F.col("hits") >= PROBED_SHARED).select("rep"), "nd-alive")
-    n_alive = alive.count()
-    few = broadcast_if(alive, n_alive, BROADCAST_IDS)
-    active = written(reps.join(few, "rep"), "nd-active")
+    few = broadcast_if(alive, alive.count(), BROADCAST_IDS)
+    active = written(reps.select("rep", "sig").join(few, "rep"), "nd-active")
     texts = written(rows.join(few.withColumnRenamed("rep", "id"), "id").dropDuplicates(["id"]), "nd-texts")
 
     # rare-first prefix of every active signature
     posted = postings(active, COORDINATES)
-    lists = written(posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "nd-lists")
-    members = written(posted.join(lists, "key"), "nd-members")
-    popular = members.groupBy("rep").agg(F.sum(F.col("df") - 1).alias("score"), F.count("*").alias("shared"))
-    rare = Window.partitionBy("rep").orderBy("df", "key")
-    prefix = written(members.withColumn("r", F.row_number().over(rare)).join(popular, "rep")
-                     .filter(F.col("r") <= F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.col("shared")))
-                     .select("key", "rep", "score"), "nd-prefix")
-    hubs = written(prefix.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("n"))
-                   .filter("n > 1").select("key", F.col("top.rep").alias("hub")), "nd-hubs")
+    lists = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("rep")
+    prefix = written(posted.join(lists, "key")
+                     .select("rep", "key", F.row_number().over(own.orderBy("df", "key")).alias("r"),
+                             F.sum(F.col("df") - 1).over(own).alias("score"), F.count("*").over(own).alias("shared"))
+                     .filter(F.col("r") <= F.col("shared") - (MATCHES - 1)).select("key", "rep", "score"), "nd-prefix")
+    hubs = (prefix.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("top"), F.count("*").alias("n"))
+            .filter("n > 1").select("key", F.col("top.rep").alias("hub")))
     stars = prefix.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = written(compare_sets(written(stars, "nd-stars"), texts), "nd-tested")
-    links = tested.filter(_linked()).select("a", "b")
-    labels = written(components(links), "nd-star-labels")
-
-    # hub families: members that no other member's size and reach admit are closed
-    family = (tested.select("b", F.col("a").alias("x"), "n_a", "common", "extras")
-              .unionByName(tested.groupBy("b").agg(F.first("n_b").alias("n_a")).select(
-                  "b", F.col("b").alias("x"), "n_a", F.col("n_a").alias("common"), F.array().cast("array<long>").alias("extras"))))
-    family = (family.join(labels.select(F.col("node").alias("x"), "label"), "x", "left")
-              .withColumn("label", F.coalesce("label", "x")))
-    torn = family.groupBy("b").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m"))
-    torn = written(torn.filter("l1 <> l2 and m > 2").select("b"), "nd-torn")
-    family = written(family.join(torn, "b"), "nd-family")
+    tested = written(compare_sets(stars, texts).withColumn("linked", _linked()), "nd-tested")
+
+    # hub families with open members; a member linked to its hub bears the hub's label
+    label = F.when(F.col("linked"), F.col("b")).otherwise(F.col("a"))
+    family = (tested.select("b", F.col("a").alias("x"), label.alias("label"), F.col("n_a").alias("n"), "common", "extras")
+              .unionByName(tested.select("b", F.col("b").alias("x"), F.col("b").alias("label"), F.col("n_b").alias("n"),
+                                         F.col("n_b").alias("common"), F.array().cast("array<long>").alias("extras")).dropDuplicates(["b"])))
+    torn = tested.groupBy("b").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("loose"))
+    family = written(family.join(torn.filter("m > 1 and loose > 0").select("b"), "b"), "nd-family")
     spare = family.select("b", "x", F.explode("extras").alias("s"))
     again = spare.groupBy("b", "s").agg(F.count("*").alias("m")).filter("m > 1").select("b", "s")
     extra = spare.join(again, ["b", "s"]).groupBy("b", "x").agg(F.count("*").alias("e"))
-    bounded = written(
-        family.join(extra, ["b", "x"], "left")
-        .select("b", "x", "label", F.col("n_a").alias("n"), "common", F.coalesce("e", F.lit(0)).alias("e"))
-        # the largest partner a member can reach: common >= 3/7 of both sizes
-        .withColumn("reach", F.floor((F.col("common") + F.col("e")) * (DENOMINATOR + NUMERATOR) / NUMERATOR) - F.col("n")),
-        "nd-bounded")
-    sizes = written(bounded.groupBy("b", F.col("n").alias("n2")).agg(F.max("reach").alias("far"), F.min("label").alias("l1"),
-                                                                    F.max("label").alias("l2")), "nd-sizes")
+    # the largest partner a member can reach: common >= 3/7 of both sizes
+    reach = F.floor((F.col("common") + F.col("e")) * (DENOMINATOR + NUMERATOR) / NUMERATOR) - F.col("n")
+    bounded = written(family.join(extra, ["b", "x"], "left")
+                      .select("b", "x", "label", "n", "common", F.coalesce("e", F.lit(0)).alias("e"))
+                      .withColumn("reach", reach), "nd-bounded")
+    sizes = bounded.groupBy("b", F.col("n").alias("n2")).agg(
+        F.max("reach").alias("far"), F.min("label").alias("l1"), F.max("label").alias("l2"))
     opened = written(bounded.join(sizes, "b")
                      .filter("n2 <= reach and n <= far and not (l1 = l2 and l1 = label)")
                      .select("b", "x", "label", "n", "common", "e", "reach").distinct(), "nd-open")
@@ -210,17 +202,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = (opened.join(y, "b").filter("label < label2 and n2 <= reach and n <= reach2")
                   .filter((F.least("common", "common2") + F.least("e", "e2")) * (DENOMINATOR + NUMERATOR)
                           >= (F.col("n") + F.col("n2")) * NUMERATOR)
-                  .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     sig_a = active.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     sig_b = active.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     collisions = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v)
-    matched = written(open_pairs.join(sig_a, "a").join(sig_b, "b").filter(collisions >= MATCHES).select("a", "b"), "nd-matched")
+    matched = open_pairs.join(sig_a, "a").join(sig_b, "b").filter(collisions >= MATCHES).select("a", "b")
     more = compare_sets(matched, texts).filter(_linked()).select("a", "b")
-    # links so far are already stars around their labels
-    all_links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
-    named = written(components(all_links), "nd-labels")
+    named = components(tested.filter("linked").select("a", "b").unionByName(more))
 
-    by_class = written(classes.join(named.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = written(reps.select("p1", "p2", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left")
                        .select("p1", "p2", F.coalesce("label", "rep").alias("label")), "nd-class-labels")
     out = about.select("id", "n", "p1", "p2")
     placed = (out.filter("n > 0").join(by_class, ["p1", "p2"], "left")
