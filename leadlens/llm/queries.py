@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import neardup, pieces, quality, suffixes, tokencount, topk, toxicity, urls, warc
+from leadlens.llm import neardup, pieces, quality, suffixes, templates, tokencount, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -65,7 +69,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_sentencepiece, op3_suffix_dedup, op4_warc, op6_quality, op7_token_counts,
+    f.__name__: f for f in (op1_topk, op2_sentencepiece, op3_suffix_dedup, op4_warc, op5_decontam, op6_quality, op7_token_counts,
                           op8_url_filter, op9_toxicity, op10_near_dedup)
 }
 
