@@ -219,3 +219,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (placed.unionByName(alone)
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
                     F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that name their component; of rows that
+    repeat an id and a text one stays, and rows with a null id stay."""
+    report = written(near_duplicates(docs, id_col, text_col), "nd-report")
+    ids = F.col(f"`{id_col}`").cast("long")
+    gone = written(report.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "nd-gone")
+    twice = written(report.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("again")).count()
+                    .filter("count > 1").select("again"), "nd-again")
+    gone, twice = (broadcast_if(x, x.count(), BROADCAST_IDS) for x in (gone, twice))
+    kept = docs.join(gone, ids == F.col("gone"), "left_anti")
+    once = kept.join(twice, ids == F.col("again"), "left_anti")
+    again = kept.join(twice, ids == F.col("again"), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
