@@ -47,26 +47,30 @@ def text_name(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters or digits; a number with separators is one token."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](?=\d)", "$1")
-    parted = F.regexp_replace(joined, r"(\d)(?=\p{L})", "$1 ")
-    return F.filter(F.split(parted, r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
+MARK = "\ue000"
 
 
-def _is_number(x: Column) -> Column:
-    return F.substring(x, 1, 1).between("0", "9") & x.rlike(r"^\d+$")
+def tokens(text: Column) -> Column:
+    """Runs of letters or digits; a number with separators is one token, and a unit behind a
+    number bears a mark (a private-use character, which texts lose first)."""
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    bare = F.translate(F.coalesce(text, F.lit("")), MARK, "")
+    joined = F.regexp_replace(bare, r"(\d)[.,](?=\d)", "$1")
+    marked = F.regexp_replace(joined, rf"(\d)\s*((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1 {MARK}$2")
+    parted = F.regexp_replace(marked, r"(\d)(?=\p{L})", "$1 ")
+    return F.filter(F.split(parted, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+"), lambda x: x != "")
 
 
 def template(words: Column) -> Column:
-    """The template token of each token."""
-    units = F.array(*[F.lit(u) for u in UNITS])
+    """The template token of each token.  Lambdas name nothing but their own element, so that
+    no whole array is computed again for each element."""
 
-    def of(x: Column, i: Column) -> Column:
+    def of(x: Column) -> Column:
         low = F.lower(x)
         name = (low != x) & (F.length(x) > 1) & (F.initcap(x) == x)
-        unit = (F.length(x) <= 7) & (i > 0) & F.array_contains(units, low) & _is_number(F.get(words, i - 1))
-        return F.when(_is_number(x), NUMBER).when(unit, UNIT).when(name, NAME).otherwise(low)
+        first = F.substring(x, 1, 1)
+        number = first.between("0", "9") & x.rlike(r"^\d+$")
+        return F.when(name, NAME).when(number, NUMBER).when(first == MARK, UNIT).otherwise(low)
 
     return F.transform(words, of)
 
