@@ -70,7 +70,8 @@ def template(words: Column) -> Column:
         name = (low != x) & (F.length(x) > 1) & (F.initcap(x) == x)
         first = F.substring(x, 1, 1)
         number = first.between("0", "9") & x.rlike(r"^\d+$")
-        return F.when(name, NAME).when(number, NUMBER).when(first == MARK, UNIT).otherwise(low)
+        # most tokens begin with a small letter and need no further look
+        return F.when(first.between("a", "z"), low).when(name, NAME).when(number, NUMBER).when(first == MARK, UNIT).otherwise(low)
 
     return F.transform(words, of)
 
