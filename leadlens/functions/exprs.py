@@ -58,11 +58,6 @@ def ratio_or(num: str | Column, den: str | Column, default: float = 0.0) -> Colu
     return F.coalesce(safe_ratio(num, den), F.lit(default))
 
 
-def clamp01(c: Column) -> Column:
-    """clamp to [0, 1]; NULL stays NULL (greatest/least skip NULLs)."""
-    return F.when(c.isNull(), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
-
-
 def z_for(confidence: float) -> float:
     """F8: two-sided normal quantile, computed once on the driver."""
     return NormalDist().inv_cdf(1 - (1 - confidence) / 2)

@@ -52,11 +52,3 @@ def semi(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
 def anti(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of left whose key is absent from right (NOT EXISTS)."""
     return left.join(right, on=on, how="left_anti")
-
-
-def lookup_with_default(df: DataFrame, table: DataFrame, on: str, value: str,
-                        default, rows: int | None = None, out: str | None = None) -> DataFrame:
-    """Left lookup with a default on a miss (``dict.get(k, default)``)."""
-    tbl = broadcast_if(table.select(on, value), rows)
-    joined = df.join(tbl, on=on, how="left")
-    return joined.withColumn(out or value, F.coalesce(F.col(value), F.lit(default)))

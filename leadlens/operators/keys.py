@@ -83,12 +83,6 @@ def dense_key(df: DataFrame, order_by: list[str | Column], key: str,
     return keyed.drop(_PID, _POS), offsets[-1] + sizes[-1]
 
 
-def with_unknown_member(dim: DataFrame, key: str, label: str, value: str = "unknown",
-                        unknown_key: int = 0) -> DataFrame:
-    """W3/U2 variant: append the unknown member at key 0."""
-    return dim.select(key, label).unionByName(member_row(dim.sparkSession, key, label, unknown_key, value))
-
-
 def member_row(spark: SparkSession, key: str, label: str, key_value: int, label_value: str) -> DataFrame:
     """One (key, label) row in a single partition, to append to a dimension."""
     return spark.range(0, 1, 1, 1).select(F.lit(key_value).cast("long").alias(key),

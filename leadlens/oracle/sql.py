@@ -9,7 +9,7 @@ HALF_UP-on-decimal-text rounding of a DOUBLE.
 from __future__ import annotations
 
 from ..sources.testdata import (AVERAGE_STOCK, BEHAVIOUR_PROFILES, BUSINESS_TYPES, CANCELED_STATUS,
-                                FIXTURE_DATE_RANGE, LEAD_TYPES, UNKNOWN_ORIGIN_SEGMENT,
+                                LEAD_TYPES, UNKNOWN_ORIGIN_SEGMENT,
                                 UNTRANSLATED_CATEGORY, WON_PRIORITY, WON_STATUS, pick)
 
 
@@ -53,8 +53,6 @@ def _s(c: str) -> str:
     return f"CAST({c} AS VARCHAR)"
 
 
-D0, D1 = FIXTURE_DATE_RANGE
-
 ADAPTER = f"""
 raw_mql AS (
   SELECT 'm' || {_s('c.c_custkey')} AS mql_id, f.first_contact_date,
@@ -133,7 +131,9 @@ dim_date AS (
          CAST(month(d) AS INTEGER) AS month, strftime(d, '%B') AS month_name,
          CAST(day(d) AS INTEGER) AS day_of_month, CAST(isodow(d) AS INTEGER) AS day_of_week,
          CAST(weekofyear(d) AS INTEGER) AS week_of_year
-  FROM generate_series(TIMESTAMP '{D0}', TIMESTAMP '{D1}', INTERVAL 1 DAY) t(d)),
+  FROM (SELECT unnest(generate_series(date_trunc('day', MIN(x)), date_trunc('day', MAX(x)), INTERVAL 1 DAY)) AS d
+        FROM (SELECT first_contact_date AS x FROM raw_mql UNION ALL SELECT won_date FROM raw_deals
+              UNION ALL SELECT order_purchase_timestamp FROM raw_orders) all_dates) t),
 dim_customer AS (
   SELECT CAST(ROW_NUMBER() OVER (ORDER BY customer_id) AS BIGINT) AS customer_key, customer_id,
          customer_unique_id, customer_city AS city, customer_state AS state

@@ -189,29 +189,29 @@ def scenario_projection(matrix: DataFrame, scenarios: DataFrame,
                         cac: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Projected MQLs, deals and revenue per (scenario, channel), and scenario totals.
 
-    ``scenarios`` lists (scenario_id, origin, change_pct).  A channel a
-    scenario does not list stays at 0%; it enters the totals through two
-    scalars (all-channel baseline and 0%-projection sums) taken from a
-    one-row aggregate of the channel matrix.  Truncation follows the
-    reference, so a 0% change may move revenue by a deal (D14).
+    ``scenarios`` lists (scenario_id, origin, change_pct).  Every scenario has a
+    row for every channel: one that it does not list stays at 0 %, a listed name
+    that is no channel is ignored, and of a channel listed twice the larger change
+    counts.  Truncation follows the reference, so a 0 % change may move revenue
+    by a deal (D14).
     """
     ch = matrix.select(F.col("lead_origin").alias("origin"), "total_mqls", "closed_deals", "conversion_rate",
                        "revenue_per_closed_deal", cac_column("lead_origin", cac).alias("cac"))
+    # all channels ride with each scenario as one array (a one-row side, joined on a constant)
+    channels = ch.agg(F.collect_list(F.struct(*ch.columns)).alias("channels")).withColumn("_one", F.lit(1))
+    listed = (scenarios.groupBy("scenario_id", "origin").agg(F.max("change_pct").alias("change_pct"))
+              .groupBy("scenario_id").agg(F.map_from_entries(F.collect_list(F.struct("origin", "change_pct"))).alias("changes")))
+    grid = (listed.withColumn("_one", F.lit(1)).join(F.broadcast(channels), "_one")
+            .select("scenario_id", "changes", F.explode("channels").alias("c")).select("scenario_id", "changes", "c.*")
+            .withColumn("change_pct", F.coalesce(F.try_element_at("changes", F.col("origin")), F.lit(0.0))))
     rd = F.coalesce(F.col("revenue_per_closed_deal"), F.lit(0.0))
-    mq0, dl0 = _project(ch, F.lit(0.0))
-    every = Window.partitionBy()   # the matrix holds one row per channel
-    ch = (ch.withColumn("_base_rev", F.col("closed_deals") * rd).withColumn("_sim0_rev", dl0 * rd)
-            .withColumn("_all_base", F.sum("_base_rev").over(every))
-            .withColumn("_all_sim0", F.sum("_sim0_rev").over(every)))
-    mq, dl = _project(ch, F.col("change_pct"))
-    rows = (scenarios.join(ch, "origin")
-            .select("scenario_id", "origin", F.col("change_pct").alias("budget_change_pct"),
-                    F.col("total_mqls").alias("baseline_mqls"), mq.alias("simulated_mqls"),
-                    F.col("closed_deals").alias("baseline_deals"), dl.alias("simulated_deals"),
-                    F.col("_base_rev").alias("_b"), (dl * rd).alias("_s"), "_sim0_rev", "_all_base", "_all_sim0"))
-    totals = rows.groupBy("scenario_id").agg(
-        F.coalesce(F.max("_all_base"), F.lit(0.0)).alias("_all_b"),
-        (F.sum("_s") + F.coalesce(F.max("_all_sim0"), F.lit(0.0)) - F.sum("_sim0_rev")).alias("_all_s"))
+    mq, dl = _project(grid, F.col("change_pct"))
+    rows = grid.select("scenario_id", "origin", F.col("change_pct").alias("budget_change_pct"),
+                       F.col("total_mqls").alias("baseline_mqls"), mq.alias("simulated_mqls"),
+                       F.col("closed_deals").alias("baseline_deals"), dl.alias("simulated_deals"),
+                       (F.col("closed_deals") * rd).alias("_b"), (dl * rd).alias("_s"))
+    totals = rows.groupBy("scenario_id").agg(F.coalesce(F.sum("_b"), F.lit(0.0)).alias("_all_b"),
+                                             F.coalesce(F.sum("_s"), F.lit(0.0)).alias("_all_s"))
     totals = totals.select(
         "scenario_id",
         F.round("_all_b", 2).alias("total_baseline_revenue"),

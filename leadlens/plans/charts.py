@@ -29,7 +29,7 @@ def km_top_channels(wh: Warehouse, k: int = 6) -> DataFrame:
     return pts.select("origin", (F.row_number().over(w) - 1).cast("int").alias("point"), "time", "survival")
 
 
-def bootstrap_error_bars(wh: Warehouse, reps: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_error_bars(wh: Warehouse, reps: int = 1000, seed: int = 42) -> DataFrame:
     """Mean revenue per deal with bootstrap error bars."""
     b = stats.bootstrap_ci(wh, reps=reps, seed=seed)
     return b.select("origin", "mean_revenue_per_deal",

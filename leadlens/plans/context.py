@@ -6,16 +6,17 @@ import threading
 
 from pyspark.sql import SparkSession
 
-from ..sources.testdata import FIXTURE_DATE_RANGE, raw_tables
+from ..sources.testdata import raw_tables
 from .warehouse import Warehouse, build_warehouse
 
 _LOCK = threading.Lock()
-_CACHE: dict[tuple[str, str], Warehouse] = {}
+_CACHE: dict[tuple, Warehouse] = {}
 
 
 def warehouse_for(spark: SparkSession, sf_dir: str,
-                  date_range: tuple[str, str] = FIXTURE_DATE_RANGE) -> Warehouse:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+                  date_range: tuple[str, str] | None = None) -> Warehouse:
+    """``date_range``: the calendar's first and last day; by default those of the input dates."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), date_range)
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:

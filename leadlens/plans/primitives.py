@@ -19,9 +19,9 @@ from .warehouse import Warehouse
 def left_on_predicate(wh: Warehouse) -> DataFrame:
     """Every seller, with post-signing item count/revenue (0 when none): the day
     predicate sits in the ON clause, so sellers without such items stay."""
-    per = (wh["fact_order_item"].filter(F.col("days_after_won") >= 0).groupBy("seller_key")
+    per = (wh["fact_order_item"].groupBy("seller_key", (F.col("days_after_won") >= 0).alias("post"))
            .agg(F.count(F.lit(1)).alias("n_items"), F.sum("price").alias("rev")))
-    j = left_join_on_predicate(wh["dim_seller"].select("seller_key", "seller_id"), per, "seller_key", F.lit(True))
+    j = left_join_on_predicate(wh["dim_seller"].select("seller_key", "seller_id"), per, "seller_key", F.col("post"))
     return j.select("seller_key", "seller_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("revenue"))
 
@@ -34,16 +34,20 @@ def or_join_pairs(wh: Warehouse) -> DataFrame:
                    select=[F.col("l.seller_id").alias("seller_id"), F.col("r.mql_id").alias("mql_id")])
 
 
+def _active_sellers(wh: Warehouse) -> DataFrame:
+    """Distinct sellers with a post-signing item; a hot seller's items combine before the shuffle,
+    so the right side of a semi or anti join holds one row per key."""
+    return wh["fact_order_item"].filter(F.col("days_after_won") >= 0).select("seller_key").distinct()
+
+
 def sellers_with_sales(wh: Warehouse) -> DataFrame:
     """Sellers with at least one post-signing item (semi join)."""
-    items = wh["fact_order_item"].filter(F.col("days_after_won") >= 0).select("seller_key")
-    return semi(wh["dim_seller"].select("seller_key", "seller_id"), items, "seller_key")
+    return semi(wh["dim_seller"].select("seller_key", "seller_id"), _active_sellers(wh), "seller_key")
 
 
 def sellers_without_sales(wh: Warehouse) -> DataFrame:
     """Sellers with no post-signing order item (anti join)."""
-    items = wh["fact_order_item"].filter(F.col("days_after_won") >= 0).select("seller_key")
-    return anti(wh["dim_seller"].select("seller_key", "seller_id"), items, "seller_key")
+    return anti(wh["dim_seller"].select("seller_key", "seller_id"), _active_sellers(wh), "seller_key")
 
 
 def default_lookup(wh: Warehouse) -> DataFrame:
@@ -110,15 +114,14 @@ def top_k(wh: Warehouse, k: int = 3) -> DataFrame:
 def set_difference(wh: Warehouse) -> DataFrame:
     """Signed sellers never activated after signing (EXCEPT on distinct keys)."""
     signed = wh["fact_lead"].select("seller_key").filter(F.col("seller_key").isNotNull())
-    active = wh["fact_order_item"].filter(F.col("days_after_won") >= 0).select("seller_key")
-    return signed.subtract(active)
+    return signed.distinct().subtract(_active_sellers(wh))
 
 
 def set_intersection(wh: Warehouse) -> DataFrame:
     """Raw signed-seller ids that also appear in order items (INTERSECT)."""
     r = wh.raw
     return (r["closed_deals"].select("seller_id").filter(F.col("seller_id").isNotNull())
-            .intersect(r["order_items"].select("seller_id")))
+            .distinct().intersect(r["order_items"].select("seller_id").distinct()))
 
 
 def union_member(wh: Warehouse) -> DataFrame:

@@ -233,12 +233,6 @@ def first_order_by_origin(wh: Warehouse) -> DataFrame:
                     "median_days_to_first_order"))
 
 
-def seller_first_order(wh: Warehouse) -> DataFrame:
-    """C6 detail: min(days_after_won) per seller, post-signing, canceled excluded."""
-    return (post_signing_items(wh, exclude_canceled=True)
-            .groupBy("seller_key").agg(F.min("days_after_won").alias("days_to_first_order")))
-
-
 # ----------------------------------------------------------------- view 2, view 3
 def lead_time_to_close(wh: Warehouse) -> DataFrame:
     """C9 (view 2): one row per lead with channel and segment."""

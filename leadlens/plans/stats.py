@@ -7,19 +7,18 @@ day values, and those small tables carry the running sums.
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_sf, chi2_sf_col
+from ..functions.stats import chi2_sf_col
 from ..operators.joins import broadcast_if
 from ..operators.keys import dense_key
 from ..operators.partitioning import spread
 from .warehouse import Warehouse
 
-MAX_GROUPS = 200   # channels handled by the k-sample log-rank solve on the driver
+HASH_BITS = 60         # of an md5 that a draw or weight uses (15 hex digits)
 DRAW_CHUNK = 100_000   # bootstrap draws generated from one row
 
 
@@ -51,7 +50,7 @@ def chi_square(wh: Warehouse, with_p: bool = False) -> DataFrame:
         F.col("chi2").alias("_chi2"))
     if with_p:
         p = chi2_sf_col(F.col("_chi2"), F.col("degrees_of_freedom"))
-        out = out.withColumn("p_value", p).withColumn("is_statistically_significant", F.col("p_value") < 0.05)
+        out = out.withColumn("p_value", F.round(p, 9)).withColumn("is_statistically_significant", F.col("p_value") < 0.05)
     return out.drop("_chi2")
 
 
@@ -72,10 +71,14 @@ def _hist(durations: DataFrame) -> DataFrame:
                                                 F.count(F.lit(1)).alias("m"))
 
 
+def _shared_hist(wh: Warehouse) -> DataFrame:
+    """The (channel, day) histogram of all survival analyses, written once per warehouse."""
+    return wh.derived("survival_histogram", lambda: _hist(_durations(wh)[0]), aggregated=True)
+
+
 def km_curve(wh: Warehouse) -> DataFrame:
     """T4: textbook Kaplan-Meier per origin (fixes D1): at risk = durations >= t."""
-    d, _ = _durations(wh)
-    h = _hist(d)
+    h = _shared_hist(wh)
     back = Window.partitionBy("origin").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     fwd = Window.partitionBy("origin").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("n_at_risk", F.sum("m").over(back))
@@ -88,6 +91,15 @@ def km_curve_rounded(wh: Warehouse) -> DataFrame:
     return km_curve(wh).withColumn("survival", F.round("survival", 4))
 
 
+def km_curve_from_start(wh: Warehouse) -> DataFrame:
+    """T4: the rounded curve of each channel behind its start row, survival 1.0 at time 0."""
+    c = km_curve_rounded(wh)
+    start = c.groupBy("origin").agg(F.max("n_at_risk").alias("n_at_risk")).select(
+        "origin", F.lit(0).cast(c.schema["time"].dataType).alias("time"), "n_at_risk", F.lit(0).cast("long").alias("events"),
+        F.lit(0).cast("long").alias("censored"), F.lit(1.0).alias("survival"), F.lit(0).alias("step"))
+    return start.unionByName(c.withColumn("step", F.lit(1)))
+
+
 def km_median(wh: Warehouse) -> DataFrame:
     """T4: first time with S(t) <= 0.5, else the censoring horizon."""
     _, max_days = _durations(wh)
@@ -107,9 +119,8 @@ def _risk_grid(wh: Warehouse) -> DataFrame:
     group's previous duration (``sequence``), then an equi-join keeps only
     event times.  Rows are bounded by channels x day range, not by leads.
     """
-    d, _ = _durations(wh)
-    lo = wh.scalar("min_duration", lambda: d.agg(F.min("t")).first()[0])
-    h = _hist(d)
+    h = _shared_hist(wh)
+    lo = wh.scalar("min_duration", lambda: h.agg(F.min("t")).first()[0])
     back = Window.partitionBy("origin").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     prev = Window.partitionBy("origin").orderBy("t")
     h = (h.withColumn("n_g", F.sum("m").over(back))
@@ -140,49 +151,27 @@ def logrank_pairwise(wh: Warehouse) -> DataFrame:
                     .alias("chi2_stat"))
 
 
-def logrank_k(wh: Warehouse) -> DataFrame:
-    """T5 (fixes D2): k-sample log-rank, chi2 = Z' V^-1 Z over k-1 channels.
+def logrank_components(wh: Warehouse) -> DataFrame:
+    """T5 (fixes D2): the terms of the k-sample log-rank statistic in long form.
 
-    Z and V are aggregated by Spark on the event-time grid; only k numbers
-    and a k x k matrix reach the driver for the solve.
+    One row per pair of channels (origin_a <= origin_b): ``v`` is the covariance
+    of the two channels' observed minus expected events, ``z`` their own excess
+    (on the diagonal).  The statistic is z' V^-1 z over all channels but one; any
+    linear-algebra library solves it from these k(k+1)/2 rows.
     """
-    spark = wh.spark
     g = _risk_grid(wh)
     tot = g.groupBy("t").agg(F.sum("n_g").alias("n"), F.sum("d_g").alias("d"))
     g = g.join(tot, "t").withColumn("a", F.col("n_g") / F.col("n")).withColumn(
         "w", F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(F.lit(0.0)))
-    # per channel: Z_g = sum(d_g - d a_g) and s_g = sum(w a_g)  (k rows)
-    per = g.groupBy("origin").agg(F.sum(F.col("d_g") - F.col("d") * F.col("a")).alias("z"),
-                                  F.sum(F.col("w") * F.col("a")).alias("s")).collect()
-    if len(per) > MAX_GROUPS:
-        raise ValueError(f"{len(per)} channels exceed the k-sample solve bound {MAX_GROUPS}")
-    groups = sorted(r["origin"] for r in per)
-    k, at = len(groups), {gi: i for i, gi in enumerate(groups)}
-    # channel pairs at the same event time (long form: k^2 rows per time, bounded by days x k^2)
-    left = g.select("t", "w", F.col("origin").alias("gi"), F.col("a").alias("ai"))
-    right = g.select("t", F.col("origin").alias("gj"), F.col("a").alias("aj"))
-    pairs = (left.join(right, "t").filter(F.col("gi") <= F.col("gj"))
-             .groupBy("gi", "gj").agg(F.sum(F.col("w") * F.col("ai") * F.col("aj")).alias("p")).collect())
-    V = np.zeros((k, k))
-    for r in pairs:
-        i, j = at[r["gi"]], at[r["gj"]]
-        V[i, j] -= r["p"] or 0.0
-        if i != j:
-            V[j, i] = V[i, j]
-    for r in per:
-        V[at[r["origin"]], at[r["origin"]]] += r["s"] or 0.0
-    Z = np.array([0.0] * k)
-    for r in per:
-        Z[at[r["origin"]]] = r["z"] or 0.0
-    if k < 2:
-        chi2, dof = float("nan"), 0
-    else:
-        chi2 = float(Z[:-1] @ np.linalg.solve(V[:-1, :-1], Z[:-1]))
-        dof = k - 1
-    p = chi2_sf(chi2, dof)
-    return spark.createDataFrame(
-        [(round(chi2, 4) if not math.isnan(chi2) else None, dof, p, bool(p is not None and p < 0.05))],
-        "chi2_stat double, degrees_of_freedom int, p_value double, is_significant boolean")
+    g = wh.derived("logrank_grid", lambda: g.select("origin", "t", "a", "w", (F.col("d_g") - F.col("d") * F.col("a")).alias("x")),
+                   aggregated=True)
+    left = g.select("t", "w", "x", F.col("origin").alias("origin_a"), F.col("a").alias("ai"))
+    right = g.select("t", F.col("origin").alias("origin_b"), F.col("a").alias("aj"))
+    same = F.col("origin_a") == F.col("origin_b")
+    return (left.join(right, (left.t == right.t) & (F.col("origin_a") <= F.col("origin_b")))
+            .groupBy("origin_a", "origin_b")
+            .agg(F.round(F.sum(F.when(same, F.col("x"))), 6).alias("z"),
+                 F.round(F.sum(F.col("w") * F.col("ai") * (F.when(same, 1.0).otherwise(0.0) - F.col("aj"))), 6).alias("v")))
 
 
 # ---------------------------------------------------------------- T6/T7 deals with revenue
@@ -205,11 +194,11 @@ def _deals_with_revenue(wh: Warehouse) -> DataFrame:
                     F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("total_revenue")))
 
 
-def bootstrap_ci(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+def bootstrap_ci(wh: Warehouse, reps: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """T6 (fixes D13): seeded bootstrap CI of mean revenue per deal, by channel.
 
     Draw j of replicate r in channel o picks deal number
-    1 + (first 32 bits of md5('seed|o|r|j') mod n).  Deals are numbered 1..n
+    1 + (first 60 bits of md5('seed|o|r|j') mod n).  Deals are numbered 1..n
     inside each channel from a global dense key (no per-channel window over
     fact rows), draws are generated by ``sequence`` per (channel, replicate)
     and resolved by an equi-join; n <= 2 gives a degenerate interval.
@@ -233,7 +222,7 @@ def bootstrap_ci(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float =
     draws = work.select("origin", "rep", "n", F.explode(F.sequence(
         F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.col("n")))).alias("j"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("origin"), F.col("rep").cast("string"),
-                                             F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
+                                             F.col("j").cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long")
     draws = draws.select("origin", "rep", (F.lit(1) + h % F.col("n")).alias("idx"))
     # deals are few enough (checked count) to ship to every task: draws are then
     # resolved where they are generated and only (channel, replicate) partials shuffle
@@ -250,11 +239,26 @@ def bootstrap_ci(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float =
     ).orderBy(F.desc("mean_revenue_per_deal"))
 
 
-# Cumulative Poisson(1) probabilities P(W <= w), w = 0..11, from e^-1 / w!.
-_POISSON1_CDF = list(np.cumsum([math.exp(-1.0) / math.factorial(w) for w in range(12)]))
+def _poisson_thresholds() -> list[int]:
+    """floor(2^60 P(W <= w)) of Poisson(1) for all w below the hash's resolution: what lies
+    beyond the last has a probability of less than 2^-60, so no weight is cut."""
+    term = Fraction(1)
+    e = sum((term := term / k) if k else term for k in range(40))   # exact to far below 2^-60
+    out, term, total = [], Fraction(1), Fraction(0)
+    for w in range(40):
+        term = term / w if w else term
+        total += term
+        level = int(total / e * (1 << HASH_BITS))
+        if level >= (1 << HASH_BITS) - 1:
+            break
+        out.append(level)
+    return out
+
+
+POISSON1 = _poisson_thresholds()
 
 
-def bootstrap_ci_poisson(wh: Warehouse, reps: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+def bootstrap_ci_poisson(wh: Warehouse, reps: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """T6 at scale: Poisson(1) bootstrap; each deal row carries its own weight per replicate.
 
     No numbering and no join: every row explodes its replicates, the weight
@@ -262,10 +266,9 @@ def bootstrap_ci_poisson(wh: Warehouse, reps: int = 200, seed: int = 42, alpha:
     partially aggregated, so only reps x channels rows are shuffled.
     """
     deals = spread(deals_with_revenue(wh))          # each row becomes `reps` rows below
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("lead_key").cast("string"),
-                                                F.col("rep").cast("string"))), 1, 8), 16, 10).cast("double")
-         / F.lit(4294967296.0))
-    w = sum((F.when(u >= F.lit(float(c)), 1).otherwise(0) for c in _POISSON1_CDF[:-1]), F.lit(0))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("lead_key").cast("string"),
+                                                F.col("rep").cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    w = sum((F.when(h >= F.lit(level).cast("long"), 1).otherwise(0) for level in POISSON1), F.lit(0))
     x = deals.select("origin", "lead_key", "total_revenue", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     x = x.select("origin", "rep", "total_revenue", w.alias("w"))
     means = x.groupBy("origin", "rep").agg(

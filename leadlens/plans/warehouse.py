@@ -21,7 +21,7 @@ from ..functions.exprs import clean_label, date_key, day_floor
 from ..operators.joins import broadcast_if, or_join
 from ..operators.keys import dense_key, dense_keys_by_group, member_row
 from ..session import scratch_path, unique_name
-from ..sources.dates import date_dim
+from ..sources.dates import date_dim, input_range
 from ..sources.sinks import write_table
 
 UNKNOWN = "unknown"
@@ -74,7 +74,7 @@ def _earliest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> Dat
 
 
 def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
-                    date_range: tuple[str, str], out_path: str | None = None,
+                    date_range: tuple[str, str] | None = None, out_path: str | None = None,
                     land: bool = True) -> Warehouse:
     """``land``: write the raw inputs once as parquet first (right for CSV
     sources, which the build scans several times)."""
@@ -149,8 +149,9 @@ def _lookup_dims(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
         wh.tables[f"dim_{dim}"], wh.rows[f"dim_{dim}"] = t, n
 
 
-def _date_dim(wh: Warehouse, date_range: tuple[str, str]) -> None:
-    """Calendar rows of the date range, written once."""
+def _date_dim(wh: Warehouse, date_range: tuple[str, str] | None) -> None:
+    """Calendar rows of the date range (of the input dates, unless one is given), written once."""
+    date_range = date_range or input_range(wh.raw) or ("1970-01-01", "1970-01-01")
     write_table(date_dim(wh.spark, *date_range), f"{wh.path}/dim_date")
     wh.tables["dim_date"] = wh.spark.read.parquet(f"{wh.path}/dim_date")
     wh.rows["dim_date"] = _days(*date_range)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .oracle import sql as O
-from .oracle.sql import dbl, rnd
+from .oracle.sql import rnd
 from .plans import stats
 from .plans.warehouse import Warehouse
 from .registry import register
@@ -30,9 +30,17 @@ def q_chi_square(wh: Warehouse) -> DataFrame:
     return stats.chi_square(wh)
 
 
-@register("chi_square_p")
+@register("chi_square_p", O.q(f"""
+SELECT {rnd('chi2', 3)} AS chi2_stat, CAST(dof AS INTEGER) AS degrees_of_freedom, {rnd('cv', 4)} AS cramers_v,
+       {rnd('p', 9)} AS p_value, {rnd('p', 9)} < 0.05 AS is_statistically_significant
+FROM (SELECT chi2, dof, cv, CASE WHEN chi2 <= 0 THEN CAST(1.0 AS DOUBLE) WHEN h > 600 AND h > 4 * a THEN CAST(0.0 AS DOUBLE)
+             ELSE greatest(CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) - (
+               SELECT SUM(exp((a + i) * ln(h) - h - lgamma(a + i + 1))) FROM range(0, 3000) r(i))) END AS p
+      FROM (SELECT chi2, dof, cv, chi2 / 2 AS h, dof / CAST(2.0 AS DOUBLE) AS a
+            FROM (SELECT SUM(term) AS chi2, MAX(r) - 1 AS dof, sqrt(SUM(term) / (MAX(nn) * (least(MAX(r), 2) - 1))) AS cv
+                  FROM terms) x) y) z""", _CHI))
 def q_chi_square_p(wh: Warehouse) -> DataFrame:
-    """T3 with p-value and significance (p from the chi-square upper tail; rows-only check)."""
+    """T3 with p-value (chi-square upper tail by its series) and significance."""
     return stats.chi_square(wh, with_p=True)
 
 
@@ -49,11 +57,13 @@ h3 AS (SELECT *, PRODUCT(CAST(1.0 AS DOUBLE) - CAST(d AS DOUBLE) / CAST(n_at_ris
 
 
 @register("km_curve", O.q(f"""
-SELECT origin, t AS "time", CAST(n_at_risk AS BIGINT) AS n_at_risk, d AS events, m - d AS censored,
-       {rnd('survival', 4)} AS survival FROM h3""", _KM))
+SELECT origin, 1 AS step, t AS "time", CAST(n_at_risk AS BIGINT) AS n_at_risk, d AS events, m - d AS censored,
+       {rnd('survival', 4)} AS survival FROM h3
+UNION ALL
+SELECT origin, 0, 0, COUNT(*), 0, 0, CAST(1.0 AS DOUBLE) FROM dur GROUP BY origin""", _KM))
 def q_km_curve(wh: Warehouse) -> DataFrame:
-    """T4 Kaplan-Meier curve per origin (unwon leads censored)."""
-    return stats.km_curve_rounded(wh)
+    """T4 Kaplan-Meier curve per origin (unwon leads censored), each behind its start row."""
+    return stats.km_curve_from_start(wh)
 
 
 @register("km_median", O.q(f"""
@@ -83,10 +93,20 @@ def q_logrank_pairwise(wh: Warehouse) -> DataFrame:
     return stats.logrank_pairwise(wh)
 
 
-@register("logrank_k")
-def q_logrank_k(wh: Warehouse) -> DataFrame:
-    """T5 k-sample log-rank across all origins (driver-side (k-1)x(k-1) solve; rows-only check)."""
-    return stats.logrank_k(wh)
+@register("logrank_components", O.q(f"""
+SELECT a.origin AS origin_a, b.origin AS origin_b,
+       {rnd('SUM(CASE WHEN a.origin = b.origin THEN a.d_g - a.d * a.share END)', 6)} AS z,
+       {rnd('SUM(a.w * a.share * (CASE WHEN a.origin = b.origin THEN 1 ELSE 0 END - b.share))', 6)} AS v
+FROM grid a JOIN grid b ON a.t = b.t AND a.origin <= b.origin GROUP BY a.origin, b.origin""", _KM + """,
+times AS (SELECT DISTINCT t FROM dur WHERE e = 1),
+ar AS (SELECT dur.origin, times.t, COUNT(*) AS n_g, SUM(CASE WHEN dur.t = times.t AND dur.e = 1 THEN 1 ELSE 0 END) AS d_g
+       FROM dur JOIN times ON dur.t >= times.t GROUP BY dur.origin, times.t),
+grid AS (SELECT origin, t, d_g, CAST(d AS DOUBLE) AS d, CAST(n_g AS DOUBLE) / n AS share,
+                CASE WHEN n > 1 THEN CAST(d * (n - d) AS DOUBLE) / (n - 1) ELSE CAST(0.0 AS DOUBLE) END AS w
+         FROM (SELECT *, SUM(n_g) OVER (PARTITION BY t) AS n, SUM(d_g) OVER (PARTITION BY t) AS d FROM ar) q)"""))
+def q_logrank_components(wh: Warehouse) -> DataFrame:
+    """T5 terms of the k-sample log-rank statistic across all origins."""
+    return stats.logrank_components(wh)
 
 
 _DEALS = """
@@ -107,12 +127,12 @@ FROM g LEFT JOIN ci ON g.origin = ci.origin"""
 
 def _hash(*parts: str) -> str:
     text = " || '|' || ".join(parts)
-    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
 
 
 @register("bootstrap_ci", O.q(_CI_SELECT, _DEALS + f""",
 numbered AS (SELECT origin, ROW_NUMBER() OVER (PARTITION BY origin ORDER BY lead_key) AS idx, total_revenue FROM deals),
-reps AS (SELECT origin, n, unnest(generate_series(0, 199)) AS rep FROM g WHERE n > 2),
+reps AS (SELECT origin, n, unnest(generate_series(0, 999)) AS rep FROM g WHERE n > 2),
 draws AS (SELECT origin, rep, n, unnest(generate_series(1, n)) AS j FROM reps),
 drawn AS (SELECT origin, rep, 1 + ({_hash("'42'", 'origin', 'CAST(rep AS VARCHAR)', 'CAST(j AS VARCHAR)')} % n) AS idx
           FROM draws),
@@ -120,26 +140,23 @@ means AS (SELECT d.origin, d.rep, AVG(nb.total_revenue) AS m
           FROM drawn d JOIN numbered nb ON d.origin = nb.origin AND d.idx = nb.idx GROUP BY d.origin, d.rep),
 ci AS (SELECT origin, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY origin)"""))
 def q_bootstrap_ci(wh: Warehouse) -> DataFrame:
-    """T6 seeded bootstrap CI (B = 200) of revenue per closed deal by origin."""
-    return stats.bootstrap_ci(wh, reps=200, seed=42)
+    """T6 seeded bootstrap CI (B = 1,000) of revenue per closed deal by origin."""
+    return stats.bootstrap_ci(wh, reps=1000, seed=42)
 
 
-def _poisson_w(u: str) -> str:
-    return " + ".join(f"CASE WHEN {u} >= {dbl(float(c))} THEN 1 ELSE 0 END" for c in stats._POISSON1_CDF[:-1])
+def _poisson_w(h: str) -> str:
+    return " + ".join(f"CASE WHEN {h} >= {level} THEN 1 ELSE 0 END" for level in stats.POISSON1)
 
 
 @register("bootstrap_ci_poisson", O.q(_CI_SELECT, _DEALS + f""",
-x AS (SELECT lead_key, origin, total_revenue, unnest(generate_series(0, 199)) AS rep FROM deals),
-xu AS (SELECT origin, rep, total_revenue,
-              CAST({_hash("'42'", 'CAST(lead_key AS VARCHAR)', 'CAST(rep AS VARCHAR)')} AS DOUBLE)
-                / CAST(4294967296.0 AS DOUBLE) AS u
-       FROM x),
-xw AS (SELECT origin, rep, total_revenue, {_poisson_w('u')} AS w FROM xu),
+x AS (SELECT lead_key, origin, total_revenue, unnest(generate_series(0, 999)) AS rep FROM deals),
+xh AS (SELECT origin, rep, total_revenue, {_hash("'42'", 'CAST(lead_key AS VARCHAR)', 'CAST(rep AS VARCHAR)')} AS h FROM x),
+xw AS (SELECT origin, rep, total_revenue, {_poisson_w('h')} AS w FROM xh),
 means AS (SELECT origin, rep, SUM(w * total_revenue) / CAST(SUM(w) AS DOUBLE) AS m FROM xw GROUP BY origin, rep),
 ci AS (SELECT origin, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY origin)"""))
 def q_bootstrap_ci_poisson(wh: Warehouse) -> DataFrame:
-    """T6 Poisson(1) bootstrap CI (B = 200), the shuffle-light form for large channels."""
-    return stats.bootstrap_ci_poisson(wh, reps=200, seed=42)
+    """T6 Poisson(1) bootstrap CI (B = 1,000), the shuffle-light form for large channels."""
+    return stats.bootstrap_ci_poisson(wh, reps=1000, seed=42)
 
 
 @register("heatmap", O.q(f"""
@@ -153,11 +170,14 @@ def q_heatmap(wh: Warehouse) -> DataFrame:
     return stats.heatmap(wh)
 
 
-@register("heatmap_pivot", O.q(f"""
-SELECT * FROM (PIVOT heat ON origin_name USING first(display_avg_rev) GROUP BY segment_name) pv""", _DEALS + f""",
-heat AS (SELECT segment AS segment_name, origin AS origin_name,
-                CASE WHEN COUNT(*) >= 10 THEN {rnd('AVG(total_revenue)', 2)} END AS display_avg_rev
-         FROM deals GROUP BY segment, origin)"""))
+# The channel names of the driver's tables (cleaned market segments), each a column of the wide matrix.
+CHANNELS = ["automobile", "building", "furniture", "machinery", "unknown"]
+
+
+@register("heatmap_pivot", O.q("SELECT segment AS segment_name, " + ", ".join(f"""
+       {rnd(f"CASE WHEN COUNT(*) FILTER (WHERE origin = '{c}') >= 10 THEN AVG(total_revenue) FILTER (WHERE origin = '{c}') END", 2)}
+         AS "{c}\"""" for c in CHANNELS) + """
+FROM deals GROUP BY segment""", _DEALS))
 def q_heatmap_pivot(wh: Warehouse) -> DataFrame:
     """T7/A14 wide segment x origin matrix."""
     return stats.heatmap_pivot(wh)

@@ -100,7 +100,3 @@ def unique_name(*parts: str) -> str:
 
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", str(os.cpu_count() or 8)))

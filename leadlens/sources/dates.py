@@ -25,6 +25,18 @@ def date_dim(spark: SparkSession, start: str, end: str) -> DataFrame:
     )
 
 
+def input_range(raw: dict[str, DataFrame]) -> tuple[str, str] | None:
+    """First and last day of all dates that facts look up; None without any date."""
+    columns = [("mql", "first_contact_date"), ("closed_deals", "won_date"), ("orders", "order_purchase_timestamp")]
+    ends = None
+    for table, column in columns:
+        if table in raw:
+            days = raw[table].agg(F.min(F.to_date(column)).alias("lo"), F.max(F.to_date(column)).alias("hi"))
+            ends = days if ends is None else ends.unionByName(days)
+    lo, hi = ends.agg(F.min("lo"), F.max("hi")).first()
+    return None if lo is None else (lo.isoformat(), hi.isoformat())
+
+
 def _span(start: str, end: str) -> int:
     from datetime import date
     return (date.fromisoformat(end) - date.fromisoformat(start)).days + 1

@@ -23,7 +23,6 @@ UNKNOWN_ORIGIN_SEGMENT = "HOUSEHOLD"        # market segment that becomes a NULL
 UNTRANSLATED_CATEGORY = "ECONOMY"           # part type left out of the translation table
 WON_PRIORITY, WON_STATUS = "1-URGENT", "F"  # orders that count as the signed deal
 CANCELED_STATUS = "P"                       # order status mapped to 'canceled'
-FIXTURE_DATE_RANGE = ("1995-01-01", "2001-12-31")
 
 
 def pick(values: list[str | None], key_col: str) -> str:

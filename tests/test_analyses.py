@@ -107,10 +107,10 @@ def _logrank_brute(rows):
     return float(Z[:-1] @ np.linalg.solve(V[:-1, :-1], Z[:-1])), k - 1
 
 
-def test_logrank_k_matches_brute_force(spark):
+def test_logrank_components_match_brute_force(spark):
     import os
     from leadlens.plans.context import warehouse_for
-    from leadlens.plans.stats import _durations, logrank_k
+    from leadlens.plans.stats import _durations, logrank_components
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("driver test data not present")
@@ -118,6 +118,12 @@ def test_logrank_k_matches_brute_force(spark):
     d, _ = _durations(wh)
     rows = [(r.origin, r.t, r.e) for r in d.collect()]        # 150 leads at this scale
     chi2, dof = _logrank_brute(rows)
-    got = logrank_k(wh).first()
-    assert got.degrees_of_freedom == dof
-    assert got.chi2_stat == pytest.approx(round(chi2, 4), abs=1e-4)
+    got = logrank_components(wh).collect()
+    at = {g: i for i, g in enumerate(sorted({r.origin_a for r in got}))}
+    assert len(at) == dof + 1 and len(got) == len(at) * (len(at) + 1) // 2
+    z, v = np.zeros(len(at)), np.zeros((len(at), len(at)))
+    for r in got:
+        v[at[r.origin_a], at[r.origin_b]] = v[at[r.origin_b], at[r.origin_a]] = r.v
+        if r.origin_a == r.origin_b:
+            z[at[r.origin_a]] = r.z
+    assert float(z[:-1] @ np.linalg.solve(v[:-1, :-1], z[:-1])) == pytest.approx(chi2, abs=1e-3)

@@ -85,11 +85,14 @@ def test_or_join_matches_cartesian_definition(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_chi2_sf_known_values():
-    from leadlens.functions.stats import chi2_sf
-    assert abs(chi2_sf(3.841458820694124, 1) - 0.05) < 1e-9
-    assert abs(chi2_sf(9.487729036781154, 4) - 0.05) < 1e-9
-    assert abs(chi2_sf(0.0, 3) - 1.0) < 1e-12
+def test_chi2_sf_known_values(spark):
+    from leadlens.functions.stats import chi2_sf_col
+    known = [(3.841458820694124, 1, 0.05), (9.487729036781154, 4, 0.05), (0.0, 3, 1.0), (5000.0, 3, 0.0), (124.342113, 100, 0.05),
+             (None, 3, None), (1.0, 0, None), (11.070497693516351, 5, 0.05)]
+    df = spark.createDataFrame(known, "x double, dof int, p double").select("p", chi2_sf_col(F.col("x"), F.col("dof")).alias("q"))
+    for r in df.collect():
+        assert r.q is None if r.p is None else abs(r.q - r.p) < 1e-8
+
 
 
 def test_json_safe_nulls_non_finite(spark):
