@@ -175,8 +175,8 @@ fact_lead AS (
   LEFT JOIN dim_sr sr ON d.sr_id = sr.sr_id
   LEFT JOIN dim_seller sel ON d.seller_id = sel.seller_id),
 review_avg AS (SELECT order_id, AVG(review_score) AS review_mean FROM raw_reviews GROUP BY order_id),
-fact_order_item AS (
-  SELECT CAST(ROW_NUMBER() OVER (ORDER BY i.order_id, i.order_item_id) AS BIGINT) AS order_item_key, i.order_id, i.order_item_id, {date_key('o.order_purchase_timestamp')} AS date_key_purchase,
+item_rows AS (
+  SELECT i.order_id, i.order_item_id, {date_key('o.order_purchase_timestamp')} AS date_key_purchase,
          sel.seller_key, p.product_key, c.customer_key, i.price, i.freight_value, o.order_status,
          CAST(round_even(r.review_mean, 0) AS INTEGER) AS review_score,
          {day_floor('o.order_purchase_timestamp', 'sel.won_date')} AS days_after_won
@@ -186,6 +186,10 @@ fact_order_item AS (
   JOIN dim_seller sel ON i.seller_id = sel.seller_id
   JOIN dim_product p ON i.product_id = p.product_id
   JOIN dim_customer c ON o.customer_id = c.customer_id),
+fact_order_item AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY order_id, order_item_id, date_key_purchase, seller_key, product_key, customer_key,
+              price, freight_value, order_status, review_score NULLS FIRST, days_after_won NULLS FIRST) AS BIGINT) AS order_item_key, *
+  FROM item_rows),
 seller_lead AS (
   SELECT sel.seller_key, sel.seller_id, fl.lead_key, fl.mql_id, fl.origin_key, fl.segment_key, fl.is_won
   FROM dim_seller sel JOIN fact_lead fl ON sel.seller_key = fl.seller_key OR sel.seller_id = fl.mql_id)"""

@@ -285,14 +285,16 @@ def segment_performance(wh: Warehouse) -> DataFrame:
              .select("segment_name", F.col("sel_key").alias("seller_key"), "mult"))
     items = wh["fact_order_item"].filter(F.col("days_after_won") >= 0)
     m = F.col("mult")
-    # one scan: (segment, seller) pairs LEFT JOIN per-(seller, order) partials;
-    # sellers without items keep one row with NULL order and sums
-    sums = pairs.join(seller_order_totals(items), "seller_key", "left").groupBy("segment_name").agg(
-        F.countDistinct("seller_key").alias("closed_sellers"),
-        F.countDistinct("order_id").alias("orders"),
-        F.sum(F.col("o_revenue") * m).alias("rev"),
-        F.sum(F.col("o_review_sum") * m).alias("review_sum"),
-        F.sum(F.col("o_review_n") * m).alias("review_n"))
+    # sellers per segment need no items; the per-(seller, order) partials come in by an
+    # inner join, whose hot sellers AQE can split, and meet the segments afterwards
+    base = pairs.groupBy("segment_name").agg(F.countDistinct("seller_key").alias("closed_sellers"))
+    sold = (pairs.filter(F.col("seller_key").isNotNull()).join(seller_order_totals(items), "seller_key")
+            .groupBy("segment_name").agg(
+                F.countDistinct("order_id").alias("orders"),
+                F.sum(F.col("o_revenue") * m).alias("rev"),
+                F.sum(F.col("o_review_sum") * m).alias("review_sum"),
+                F.sum(F.col("o_review_n") * m).alias("review_n")))
+    sums = base.join(sold, "segment_name", "left")
     return (sums.select(
         "segment_name", "closed_sellers",
         F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("total_revenue"),

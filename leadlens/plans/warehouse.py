@@ -232,10 +232,12 @@ def _fact_lead(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
 
 
 def _fact_order_item(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
-    """One row per order item, numbered where it lies (its natural key has ties)."""
+    """One row per order item, numbered by its natural key; all other columns break
+    ties, so two builds number alike (rows equal in every column are interchangeable)."""
+    items, order = order_items_joined(raw, wh), ["order_id", "order_item_id"]
     wh.tables["fact_order_item"], wh.rows["fact_order_item"] = _keyed(
-        order_items_joined(raw, wh), ["order_id", "order_item_id"], "order_item_key", "fact_order_item",
-        ordered=False)
+        items, order, "order_item_key", "fact_order_item",
+        tiebreak=[c for c in items.columns if c not in order], stage_input=True)
 
 
 def land_raw(spark: SparkSession, raw: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .oracle import sql as O
 from .oracle.sql import rnd
 from .plans import charts, primitives as P
+from .plans.revenue import shared_channel_matrix
 from .plans.warehouse import Warehouse
 from .queries_analytics import CHANNEL_MATRIX_CTE, _cac_sql, _W3
 from .queries_stats import _CI_SELECT, _DEALS, _KM, _hash
 from .registry import ORACLE, register
+from .session import scratch_path, unique_name
+from .sources.raw import RAW_SCHEMAS, parsed_rows, read_csv, read_processed, rejected_rows
+from .sources.sinks import write_csv, write_json
 
 # ---------------------------------------------------------------- charts
 _WF = f"""wf AS (SELECT o.origin_name AS origin, {rnd(_W3[0], 4)} AS conversion_rate,
@@ -214,3 +219,48 @@ def q_sql_view_channel_matrix(wh: Warehouse) -> DataFrame:
 def q_sql_lead_explorer(wh: Warehouse) -> DataFrame:
     """The explorer page as a parameterised Spark SQL statement (:lim = 100)."""
     return catalog.explorer(wh.spark, wh, limit=100)
+
+
+# ---------------------------------------------------------------- sources and sinks
+@register("csv_roundtrip", O.q("""
+SELECT seller_key, seller_id, lead_type, CAST(declared_monthly_revenue AS DOUBLE) AS declared_monthly_revenue, has_company, city
+FROM dim_seller"""))
+def q_csv_roundtrip(wh: Warehouse) -> DataFrame:
+    """A dimension written as header CSV and read back with its declared schema."""
+    table = wh["dim_seller"].select("seller_key", "seller_id", "lead_type",
+                                    F.col("declared_monthly_revenue").cast("double").alias("declared_monthly_revenue"),
+                                    "has_company", "city")
+    folder = scratch_path(wh.spark, "csv", unique_name("dim_seller"))
+    write_csv(table, f"{folder}/dim_seller")
+    return read_processed(wh.spark, folder, "dim_seller", table.schema)
+
+
+@register("json_roundtrip", O.q("""
+SELECT lead_origin, total_mqls, closed_deals, conversion_rate, activation_rate FROM cm""", CHANNEL_MATRIX_CTE))
+def q_json_roundtrip(wh: Warehouse) -> DataFrame:
+    """The channel matrix written as JSON records (non-finite numbers as null) and read back."""
+    table = shared_channel_matrix(wh).select("lead_origin", "total_mqls", "closed_deals", "conversion_rate", "activation_rate")
+    path = scratch_path(wh.spark, "json", unique_name("matrix"))
+    write_json(table, path)
+    return wh.spark.read.schema(table.schema).json(path)
+
+
+@register("corrupt_rejects", O.q("""
+SELECT CASE WHEN k % 97 = 0 THEN 'rejected' ELSE 'read' END AS outcome, COUNT(*) AS n, COUNT(DISTINCT order_id) AS orders
+FROM (SELECT order_id, CAST(substr(order_id, 2) AS BIGINT) AS k FROM raw_orders) o GROUP BY k % 97 = 0"""))
+def q_corrupt_rejects(wh: Warehouse) -> DataFrame:
+    """Orders written as raw CSV, every 97th with an unreadable date; rows that do not parse
+    are counted as rejects instead of flowing on as nulls."""
+    k = F.substring("order_id", 2, 20).cast("long")
+    text = F.when(k % 97 == 0, "not a date").otherwise(F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss"))
+    nothing = F.lit(None).cast("string")
+    schema = RAW_SCHEMAS["orders"]
+    given = wh.raw["orders"].select("order_id", "customer_id", "order_status", text.alias("order_purchase_timestamp"))
+    given = given.select(*[F.col(f.name) if f.name in given.columns else nothing.alias(f.name)
+                           for f in schema.fields if f.name != "_corrupt_record"])
+    path = scratch_path(wh.spark, "csv", unique_name("orders"))
+    write_csv(given, path)
+    rows = read_csv(wh.spark, path, schema)
+    parts = (parsed_rows(rows).select(F.lit("read").alias("outcome"), "order_id")
+             .unionByName(rejected_rows(rows).select(F.lit("rejected").alias("outcome"), F.col("key").alias("order_id"))))
+    return parts.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("order_id").alias("orders"))

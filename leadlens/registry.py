@@ -72,9 +72,7 @@ _WH_TABLES = {
     "fact_lead": (["lead_key", "mql_id", "date_key_first_contact", "origin_key", "landing_page_key",
                    "is_won", "date_key_won", "days_to_close", "seller_key", "segment_key", "sdr_key",
                    "sr_key"], {}),
-    # order_item_key is left out: (order_id, order_item_id) has ties in the
-    # fixture, so which tied row gets which key is not comparable across engines.
-    "fact_order_item": (["order_id", "order_item_id", "date_key_purchase", "seller_key", "product_key",
+    "fact_order_item": (["order_item_key", "order_id", "order_item_id", "date_key_purchase", "seller_key", "product_key",
                          "customer_key", "price", "freight_value", "order_status", "review_score",
                          "days_after_won"], {"price": "DOUBLE", "freight_value": "DOUBLE"}),
     "seller_lead": (["seller_key", "seller_id", "lead_key", "mql_id", "origin_key", "segment_key",

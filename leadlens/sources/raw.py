@@ -6,7 +6,8 @@ PERMISSIVE mode and a ``_corrupt_record`` column for rows that do not parse.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S, TS, I, D = T.StringType(), T.TimestampNTZType(), T.IntegerType(), T.DoubleType()
@@ -76,17 +77,45 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, raw_dir: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """The ten raw datasets (or a subset) from a directory of CSVs."""
+    """The ten raw datasets (or a subset) from a directory of CSVs; the rows that do not
+    parse are left to ``read_rejects``."""
     out = {}
     for name in tables or list(RAW_FILES):
         df = read_csv(spark, f"{raw_dir.rstrip('/')}/{RAW_FILES[name]}", RAW_SCHEMAS[name])
-        out[name] = df.drop("_corrupt_record")
+        out[name] = parsed_rows(df)
     return out
 
 
-def read_processed(spark: SparkSession, processed_dir: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """A processed fact or dimension table (parquet by default, CSV kept as an option)."""
+def _all_parsed(df: DataFrame) -> Column:
+    """True for every row, but names all columns: a row is corrupt whichever columns a query
+    needs, and the reader only parses the columns that are named."""
+    return F.length(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns if c != "_corrupt_record"])) >= 0
+
+
+def parsed_rows(df: DataFrame) -> DataFrame:
+    """Rows of a raw CSV that parse, without the corrupt-record column."""
+    return df.filter(F.col("_corrupt_record").isNull() & _all_parsed(df)).drop("_corrupt_record")
+
+
+def rejected_rows(df: DataFrame) -> DataFrame:
+    """Key (first column, where it was readable) and text of each raw CSV row that does not parse."""
+    return (df.filter(F.col("_corrupt_record").isNotNull() & _all_parsed(df))
+            .select(F.col(df.columns[0]).cast("string").alias("key"), F.col("_corrupt_record").alias("record")))
+
+
+def read_rejects(spark: SparkSession, raw_dir: str, tables: list[str] | None = None) -> DataFrame:
+    """(table, key, record) of every row that does not parse, over all raw files."""
+    out = None
+    for name in tables or list(RAW_FILES):
+        df = read_csv(spark, f"{raw_dir.rstrip('/')}/{RAW_FILES[name]}", RAW_SCHEMAS[name])
+        rows = rejected_rows(df).select(F.lit(name).alias("table"), "key", "record")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def read_processed(spark: SparkSession, processed_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """A processed fact or dimension table: parquet, or header CSV with its declared schema."""
     path = f"{processed_dir.rstrip('/')}/{name}"
-    if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    if schema is not None:
+        return spark.read.schema(schema).option("header", True).csv(path)
     return spark.read.parquet(path)

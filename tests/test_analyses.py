@@ -1,5 +1,6 @@
 """Analyses on the hand-made warehouse (SURVEY C*, T*, R*, Q*)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
