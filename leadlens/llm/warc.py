@@ -40,6 +40,8 @@ BROADCAST_DIGESTS = 200_000
 FILE_BYTES = 256 << 20
 # Ranges closer than this are read in one go; a read never exceeds READ_BYTES.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+# compressed bytes that one reading task takes
+TASK_BYTES = 64 << 20
 INDEX = ("id long, url string, file string, offset long, length long, record_type string, digest string, "
          "refers_to long, payload_bytes long")
 RECORD = "id long, url string, record_type string, digest string, refers_to long, payload_bytes long, payload binary"
@@ -135,8 +137,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records that the index rows name, parsed from coalesced byte-range reads."""
-    todo = (index.select("file", "offset", "length")
-            .repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"))
+    todo = index.select("file", "offset", "length")
+    # index rows are small beside their records, so the number of tasks follows the bytes they name
+    total = todo.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    todo = todo.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
