@@ -149,21 +149,28 @@ def audit_constraints(wh: Warehouse) -> DataFrame:
 
 
 def rejects(wh: Warehouse) -> DataFrame:
-    """Order items left out of fact_order_item, by first failing reason
-    (semi / anti joins against the dimensions, broadcast when their checked size allows)."""
+    """Order items left out of fact_order_item, by first failing reason: one left join
+    per parent brings a flag (broadcast when the dimension's checked size allows; AQE can
+    split a hot key on the item side), and one aggregation counts every reason."""
     r = wh.raw
-    items = r["order_items"].select("order_id", "seller_id", "product_id")
-    no_order = items.join(r["orders"].select("order_id"), "order_id", "left_anti")
-    with_order = items.join(r["orders"].select("order_id", "customer_id"), "order_id")
-    no_seller = with_order.join(wh.dim("dim_seller").select("seller_id"), "seller_id", "left_anti")
-    ok1 = with_order.join(wh.dim("dim_seller").select("seller_id"), "seller_id", "left_semi")
-    no_product = ok1.join(wh.dim("dim_product").select("product_id"), "product_id", "left_anti")
-    ok2 = ok1.join(wh.dim("dim_product").select("product_id"), "product_id", "left_semi")
-    no_customer = ok2.join(wh.dim("dim_customer").select("customer_id"), "customer_id", "left_anti")
-    parts = [_count(no_order, "no_order", "order_items"), _count(no_seller, "unmapped_seller", "order_items"),
-             _count(no_product, "unmapped_product", "order_items"),
-             _count(no_customer, "unmapped_customer", "order_items")]
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("check_name", "reason")
+
+    def flagged(df: DataFrame, flag: str, *cols: str) -> DataFrame:
+        return df.select(*cols, F.lit(True).alias(flag))
+
+    rows = (r["order_items"].select("order_id", "seller_id", "product_id")
+            .join(flagged(r["orders"], "_order", "order_id", "customer_id"), "order_id", "left")
+            .join(flagged(wh.dim("dim_seller"), "_seller", "seller_id"), "seller_id", "left")
+            .join(flagged(wh.dim("dim_product"), "_product", "product_id"), "product_id", "left")
+            .join(flagged(wh.dim("dim_customer"), "_customer", "customer_id"), "customer_id", "left"))
+    first = F.lit(None).cast("string")
+    reasons = [("_order", "no_order"), ("_seller", "unmapped_seller"), ("_product", "unmapped_product"),
+               ("_customer", "unmapped_customer")]
+    for flag, reason in reversed(reasons):
+        first = F.when(F.col(flag).isNull(), reason).otherwise(first)
+    counts = rows.select(first.alias("reason")).agg(*[
+        F.count_if(F.coalesce(F.col("reason") == reason, F.lit(False))).alias(reason) for _, reason in reasons])
+    each = F.explode(F.array(*[F.struct(F.lit(reason).alias("reason"), F.col(reason).alias("violations")) for _, reason in reasons]))
+    return counts.select(each.alias("r")).select("r.reason", F.lit("order_items").alias("table_name"), "r.violations")
 
 
 def stage_counts(wh: Warehouse) -> DataFrame:

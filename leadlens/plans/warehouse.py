@@ -119,14 +119,13 @@ def _concurrently(*steps: Callable[[], None]) -> None:
 def _lookup_dims(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
     """The five small lookup dimensions in one dense-key pass."""
     spark = wh.spark
-    labels = (mql.select(F.lit("origin").alias("_dim"), F.col("origin_name").alias("_label"))
-              .unionByName(mql.filter(F.col("landing_page_id").isNotNull())
-                           .select(F.lit("landing_page").alias("_dim"), F.col("landing_page_id").alias("_label")))
-              .unionByName(closed.filter(F.col("sdr_id").isNotNull())
-                           .select(F.lit("sdr").alias("_dim"), F.col("sdr_id").alias("_label")))
-              .unionByName(closed.filter(F.col("sr_id").isNotNull())
-                           .select(F.lit("sr").alias("_dim"), F.col("sr_id").alias("_label")))
-              .unionByName(closed.select(F.lit("segment").alias("_dim"), F.col("segment_name").alias("_label"))))
+    def each(df: DataFrame, **columns: str) -> DataFrame:
+        """One row per (dimension, label) of each input row: every input is scanned once."""
+        pairs = F.array(*[F.struct(F.lit(d).alias("_dim"), F.col(c).alias("_label")) for d, c in columns.items()])
+        return df.select(F.explode(pairs).alias("p")).select("p._dim", "p._label").filter("_label is not null")
+
+    labels = (each(mql, origin="origin_name", landing_page="landing_page_id")
+              .unionByName(each(closed, sdr="sdr_id", sr="sr_id", segment="segment_name")))
     keyed, counts = dense_keys_by_group(labels, "_dim", "_label", name="lookup_dims", probe=UNKNOWN)
     for dim, key, label, unknown_member in (("origin", "origin_key", "origin_name", False),
                                             ("landing_page", "landing_page_key", "landing_page_id", True),
