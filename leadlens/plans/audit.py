@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import duplicate_count, null_counts
-from ..operators.joins import broadcast_if
+from ..operators.joins import BROADCAST_MAX_ROWS, broadcast_if
 from .warehouse import Warehouse
 
 
@@ -109,12 +109,13 @@ def _table_checks(wh: Warehouse, table: str) -> DataFrame:
 
     UNIQUE: rows - COUNT(DISTINCT struct(key)) (a struct keeps NULL keys as one
     group, as GROUP BY does).  NOT NULL / CHECK: conditional counts.  FOREIGN
-    KEY: an ``EXISTS`` flag per key, which Spark plans as an existence join
-    (broadcast when the parent's checked size allows): it never repeats a
-    child row, even if a parent key were duplicated, so no DISTINCT pass over
-    the parent is needed; a miss is a non-NULL child key without a parent row.
+    KEY: an ``EXISTS`` flag per key whose parent's checked size allows a broadcast:
+    it never repeats a child row, even if a parent key were duplicated, so no
+    DISTINCT pass over the parent is needed; a miss is a non-NULL child key
+    without a parent row.  Keys of larger parents are counted by
+    ``_large_key_misses``.
     """
-    fks = [(c, d, k) for t, c, d, k in _FK if t == table]
+    fks = [(c, d, k) for t, c, d, k in _FK if t == table and _ships(wh, d)]
     df = wh[table]
     if fks:
         parents = {f"p{i}": broadcast_if(wh[d].select(F.col(k).alias("_k")), wh.rows.get(d))
@@ -136,12 +137,28 @@ def _table_checks(wh: Warehouse, table: str) -> DataFrame:
     return agg.select(rows.alias("_r")).select("_r.check_name", F.lit(table).alias("table_name"), "_r.violations")
 
 
+def _ships(wh: Warehouse, dim: str) -> bool:
+    rows = wh.rows.get(dim)
+    return rows is not None and rows <= BROADCAST_MAX_ROWS
+
+
+def _large_key_misses(wh: Warehouse, table: str, column: str, dim: str, key: str) -> DataFrame:
+    """A foreign key into a parent too large to ship: child rows are counted per key first, so a
+    hot key is one row by the time it meets the parent."""
+    children = (wh[table].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_k"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    missing = children.join(wh[dim].select(F.col(key).alias("_k")), "_k", "left_anti")
+    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations")).select(
+        F.lit(f"fk:{column}->{dim}").alias("check_name"), F.lit(table).alias("table_name"), "violations")
+
+
 def audit_constraints(wh: Warehouse) -> DataFrame:
     """Q6: violation counts for the schema's PK/UNIQUE, NOT NULL, CHECK and FK constraints,
     one aggregation pass per table."""
     tables = dict.fromkeys([t for t, _ in _UNIQUE] + [t for t, _, _, _ in _FK]
                            + [t for t, _ in _NOT_NULL] + [t for t, _ in _CHECK])
     parts = [_table_checks(wh, t) for t in tables]
+    parts += [_large_key_misses(wh, *fk) for fk in _FK if not _ships(wh, fk[2])]
     # the natural key of an item counts duplicated keys, not extra rows
     parts.append(_count(wh["fact_order_item"].groupBy("order_id", "order_item_id").count()
                         .filter(F.col("count") > 1), "unique:order_id,order_item_id", "fact_order_item"))
