@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import (byte_buffer, list_column, map_batches, mix, powers, prefix_sums, slices, span_hashes,
+from leadlens.llm.common import (byte_buffer, map_batches, mix, powers, prefix_sums, slices, span_hashes,
                                  written)
 from leadlens.operators.joins import broadcast_if
 
@@ -261,7 +261,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
-def _merged(spans, char_starts: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _merged(spans) -> list[tuple[int, int]]:
+    """Sorted, disjoint spans; touching ones are one."""
     out: list[list[int]] = []
     for s in sorted((x["a"], x["b"]) for x in spans or []):
         if out and s[0] <= out[-1][1]:

@@ -19,6 +19,7 @@ each; only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ class Counter:
         self.chunk, self.overlap = chunk, overlap
         self.memo: dict[str, int] = {}
         # spaces are boundaries only for byte-level splitting without added spaced tokens
-        spec = __import__("json").loads(self.tokenizer.to_str())
+        spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.splits = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                        and not spec.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"]
