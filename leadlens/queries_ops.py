@@ -11,7 +11,7 @@ from .plans import charts, primitives as P
 from .plans.revenue import shared_channel_matrix
 from .plans.warehouse import Warehouse
 from .queries_analytics import CHANNEL_MATRIX_CTE, _cac_sql, _W3
-from .queries_stats import _CI_SELECT, _DEALS, _KM, _hash
+from .queries_stats import _CI_SELECT, _KM
 from .registry import ORACLE, register
 from .session import scratch_path, unique_name
 from .sources.raw import RAW_SCHEMAS, parsed_rows, read_csv, read_processed, rejected_rows

@@ -9,7 +9,6 @@ an unset folder is an error, never a machine-local fallback.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 import uuid
 
