@@ -6,10 +6,17 @@ other numbers and names keeps its template.  Windows of ``WINDOW`` template
 tokens (the whole item, if it is shorter) are hashed and joined with those of
 the benchmark; windows that are mostly placeholders are left out.  Matching
 windows of one document and item that lie at the same distance form an
-occurrence.  Its slots - the values behind the placeholders on both sides -
-must stand in one-to-one correspondence: equal values are a verbatim leak,
+alignment.  Its slots - the values behind the placeholders on both sides -
+must stand in one-to-one correspondence: equal values are verbatim text,
 consistently exchanged ones a re-parameterised question, and anything else is
-a chance meeting of templates.
+a chance meeting of templates, which counts for nothing.
+
+The other alignments of a document and item are added up (a word put in or left
+out starts a new one).  They are a leak if their windows are ``MIN_COVERAGE`` of
+the item's, if their verbatim tokens are ``MIN_TOKENS`` of the item's, if one
+of them holds ``VERBATIM_RUN`` verbatim tokens in a row, however long the item,
+or if the text around one of them holds ``MIN_NEAR`` of the item's strings of
+four tokens.
 
 DataFrame functions only.  The benchmark's windows are broadcast behind a check
 of their number; beyond it the join is a shuffle join on the window hash, which
@@ -31,6 +38,9 @@ from leadlens.operators.joins import broadcast_if
 
 WINDOW = 8
 MIN_COVERAGE = 0.3
+MIN_TOKENS = 0.5
+VERBATIM_RUN = 13
+MIN_NEAR = 0.5
 # windows of the benchmark (some 40 bytes each) and names of texts (16 bytes) that may be shipped to every task
 BROADCAST_WINDOWS = 500_000
 BROADCAST_TEXTS = 1_000_000
@@ -82,14 +92,46 @@ def _windows(pattern: Column, width: int) -> Column:
         F.sequence(F.lit(1), F.size(pattern) - width + 1), lambda i: F.xxhash64(F.slice(pattern, i, width), F.lit(width))))
 
 
+def _longest_run(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in an array of distinct ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"] + 1, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda s: s["best"])
+
+
+def _enough(min_coverage: float) -> Column:
+    """Whether the alignments of a text and item (columns of ``_summed``) are a leak."""
+    return ((F.col("windows") >= F.col("item_windows") * min_coverage) | (F.col("tokens") >= F.col("item_tokens") * MIN_TOKENS)
+            | (F.col("run") >= VERBATIM_RUN) | (F.col("near") >= MIN_NEAR))
+
+
+def _fours(words: Column) -> Column:
+    """Strings of four tokens, without a lambda, so that the array is not computed for each of them."""
+    n = F.greatest(F.size(words) - 3, F.lit(0))
+    return F.arrays_zip(*[F.slice(words, k, n) for k in range(1, 5)])
+
+
+def _summed(alignments: DataFrame, *more: Column) -> DataFrame:
+    """Per text and item: distinct windows and verbatim tokens of all alignments, the longest run of one."""
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    return (alignments.groupBy("t", "item")
+            .agg(union("places").alias("windows"), union("equal").alias("tokens"), F.max(_longest_run(F.col("equal"))).alias("run"),
+                 F.max("near").alias("near"), F.first("item_windows").alias("item_windows"), F.first("item_tokens").alias("item_tokens"),
+                 *more))
+
+
 def _is_slot(x: Column) -> Column:
     return F.substring(x, 1, 1) == "<"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(t, item, windows, item_windows, kind): per text (by name) and item the best occurrence;
-    kind is verbatim or reparameterised."""
+    """(t, item, windows, item_windows, kind): per text (by name) and item the windows of all
+    alignments; kind is that of the largest one, verbatim or reparameterised."""
     # -- benchmark windows
     words = tokens(F.col("text"))
     items = (benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
@@ -115,33 +157,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
            .select("t", F.posexplode(hashes).alias("at", "w"))
            .select("t", "at", F.col("w.hash").alias("hash"), F.col("w.width").alias("width"))
            .join(broadcast_if(grams, n_grams, BROADCAST_WINDOWS), ["hash", "width"]))
-    occurrences = (met.groupBy("t", "item", (F.col("at") - F.col("item_at")).alias("shift"), "width")
-                   .agg(F.collect_set("item_at").alias("places")))
-    occurrences = written(occurrences.join(F.broadcast(usable) if n_grams <= BROADCAST_WINDOWS else usable, "item")
-                          .filter(F.size("places") >= F.col("item_windows") * min_coverage), "tpl-occurrences")
-    # -- slots of the few occurrences
-    names = occurrences.select("t").distinct()
+    spots = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1))))
+    alignments = (met.groupBy("t", "item", (F.col("at") - F.col("item_at")).alias("shift"), "width")
+                  .agg(F.collect_set("item_at").alias("places")).withColumn("spots", spots))
+    sizes = usable.join(items.select("item", F.size("item_words").alias("item_tokens")), "item")
+    alignments = written(alignments.join(F.broadcast(sizes) if n_grams <= BROADCAST_WINDOWS else sizes, "item"), "tpl-alignments")
+    # -- slots of the few alignments
+    names = alignments.select("t").distinct()
     few = (rows.withColumn("t", text_name(F.col("text")))
-           .join(broadcast_if(names, occurrences.count(), BROADCAST_TEXTS), "t", "left_semi").dropDuplicates(["t"])
+           .join(broadcast_if(names, alignments.count(), BROADCAST_TEXTS), "t", "left_semi").dropDuplicates(["t"])
            .select("t", words.alias("words")).withColumn("n", F.size("words")))
     # windows of narrower widths come first in a text's array
     before = F.lit(0)
     for w in widths:
         before = before + F.when(F.col("width") > w, F.greatest(F.col("n") - w + 1, F.lit(0))).otherwise(0)
-    told = (occurrences.join(few, "t").join(items.select("item", "item_words", "item_pattern"), "item")
+    told = (alignments.join(few, "t").join(items.select("item", "item_words", "item_pattern"), "item")
             .withColumn("start", F.col("shift") - before))
-    spots = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1))))
-    slots = F.transform(F.filter(spots, lambda i: _is_slot(F.get("item_pattern", i))),
+    slots = F.transform(F.filter("spots", lambda i: _is_slot(F.get("item_pattern", i))),
                         lambda i: F.struct(F.lower(F.get("item_words", i)).alias("x"),
                                            F.lower(F.get("words", i + F.col("start"))).alias("y")))
+    equal = F.filter("spots", lambda i: F.lower(F.get("item_words", i)) == F.lower(F.get("words", i + F.col("start"))))
+    # the text around, half an item further on both sides
+    begin = F.greatest(F.col("start") - F.floor(F.col("item_tokens") / 2).cast("int"), F.lit(0))
+    around = F.transform(F.slice("words", begin + 1, F.col("item_tokens") * 2), F.lower)
+    fours = _fours(F.transform("item_words", F.lower))
     pairs = F.array_distinct("slots")
-    told = (told.withColumn("slots", slots)
+    told = (told.withColumn("slots", slots).withColumn("equal", equal)
+            .withColumn("near", F.size(F.array_intersect(fours, _fours(around))) / F.greatest(F.size(F.array_distinct(fours)), F.lit(1)))
             .withColumn("same", F.forall("slots", lambda s: s["x"].eqNullSafe(s["y"])))
             .withColumn("fits", (F.size(F.array_distinct(F.transform(pairs, lambda s: s["x"]))) == F.size(pairs))
                         & (F.size(F.array_distinct(F.transform(pairs, lambda s: s["y"]))) == F.size(pairs))))
-    return (told.filter("same or fits").groupBy("t", "item")
-            .agg(F.max(F.struct(F.size("places").alias("n"), "same", "item_windows")).alias("best"))
-            .select("t", "item", F.col("best.n").cast("long").alias("windows"), F.col("best.item_windows").alias("item_windows"),
+    best = F.max(F.struct(F.size("places").alias("n"), "same")).alias("best")
+    return (_summed(told.filter("same or fits"), best).filter(_enough(min_coverage))
+            .select("t", "item", F.col("windows").cast("long").alias("windows"), "item_windows",
                     F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind")))
 
 

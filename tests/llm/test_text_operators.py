@@ -243,3 +243,24 @@ def test_leaks_of_a_table_match_word_windows(spark):
         w = re.findall(r"\w+", (r.text or "").lower())
         want |= {(r.doc_id, i) for k in range(len(w) - 7) for i in items.get(tuple(w[k:k + 8]), ())}
     assert {(r.doc_id, r.item_id) for r in templates.leak_report(docs, bench).collect()} == want
+
+
+def test_leaks_of_parts_and_of_copies_with_insertions(spark):
+    rng = np.random.default_rng(7)
+    items = [(r.item_id, r.text.lower()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect() if r.text]
+    docs, want = [], set()
+    for item, text in items:
+        w = text.split()
+        if len(w) >= 30:   # two fifths of the item, at least 14 words in a row, among other text
+            n = max(14, -(-len(w) * 2 // 5))
+            at = int(rng.integers(0, len(w) - n + 1))
+            want.add((len(docs), item))
+            docs.append((len(docs), " ".join([prose(len(docs), 40), "and", *w[at:at + n], prose(len(docs) + 1, 40)])))
+        if len(w) >= 24:   # the whole item, with a word put in after each third of it
+            third = len(w) // 3
+            want.add((len(docs), item))
+            docs.append((len(docs), " ".join(w[:third] + ["zzyzx"] + w[third:2 * third] + ["qwrt"] + w[2 * third:])))
+    got = templates.leak_report(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(want) > 50 and want <= found
