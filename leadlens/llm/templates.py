@@ -2,7 +2,9 @@
 
 Texts become token sequences whose numbers, capitalised words and units behind
 a number are replaced by typed placeholders, so a question asked again with
-other numbers and names keeps its template.  Windows of ``WINDOW`` template
+other numbers and names keeps its template.  A second form of the text, folded
+to small letters, has placeholders for numbers only, so a copy in other letters
+is met as well; either form counts.  Windows of ``WINDOW`` template
 tokens (the whole item, if it is shorter) are hashed and joined with those of
 the benchmark; windows that are mostly placeholders are left out.  Matching
 windows of one document and item that lie at the same distance form an
@@ -64,7 +66,8 @@ def tokens(text: Column) -> Column:
     """Runs of letters or digits; a number with separators is one token, and a unit behind a
     number bears a mark (a private-use character, which texts lose first)."""
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    bare = F.translate(F.coalesce(text, F.lit("")), MARK, "")
+    # the capital form of a sharp s is a double s
+    bare = F.replace(F.translate(F.coalesce(text, F.lit("")), MARK, ""), F.lit("ß"), F.lit("ss"))
     joined = F.regexp_replace(bare, r"(\d)[.,](?=\d)", "$1")
     marked = F.regexp_replace(joined, rf"(\d)\s*((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1 {MARK}$2")
     parted = F.regexp_replace(marked, r"(\d)(?=\p{L})", "$1 ")
@@ -86,10 +89,18 @@ def template(words: Column) -> Column:
     return F.transform(words, of)
 
 
+def folded(words: Column, pattern: Column) -> Column:
+    """The token of each token in small letters; numbers stay placeholders."""
+    return F.zip_with(words, pattern, lambda x, p: F.when(p == NAME, F.lower(x)).when(p == UNIT, F.lower(F.substring(x, 2, 1 << 20)))
+                      .otherwise(p))
+
+
 def _windows(pattern: Column, width: int) -> Column:
-    """Hash of every window of ``width`` template tokens, in order."""
+    """(at, hash) of every window of ``width`` tokens."""
     return F.when(F.size(pattern) >= width, F.transform(
-        F.sequence(F.lit(1), F.size(pattern) - width + 1), lambda i: F.xxhash64(F.slice(pattern, i, width), F.lit(width))))
+        F.sequence(F.lit(1), F.size(pattern) - width + 1),
+        lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(pattern, i, width), F.lit(width)).alias("hash"),
+                           F.lit(width).alias("width"))))
 
 
 def _longest_run(places: Column) -> Column:
@@ -105,8 +116,9 @@ def _longest_run(places: Column) -> Column:
 
 def _enough(min_coverage: float) -> Column:
     """Whether the alignments of a text and item (columns of ``_summed``) are a leak."""
-    return ((F.col("windows") >= F.col("item_windows") * min_coverage) | (F.col("tokens") >= F.col("item_tokens") * MIN_TOKENS)
-            | (F.col("run") >= VERBATIM_RUN) | (F.col("near") >= MIN_NEAR))
+    return ((F.col("windows") >= F.col("item_windows") * min_coverage)
+            | ((F.col("typed") > 0) & (F.col("typed") >= F.col("item_typed") * min_coverage))
+            | (F.col("tokens") >= F.col("item_tokens") * MIN_TOKENS) | (F.col("run") >= VERBATIM_RUN) | (F.col("near") >= MIN_NEAR))
 
 
 def _fours(words: Column) -> Column:
@@ -119,11 +131,16 @@ def _summed(alignments: DataFrame, *more: Column) -> DataFrame:
     """Per text and item: distinct windows and verbatim tokens of all alignments, the longest run of one."""
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     return (alignments.groupBy("t", "item")
-            .agg(union("places").alias("windows"), union("equal").alias("tokens"), F.max(_longest_run(F.col("equal"))).alias("run"),
-                 F.max("near").alias("near"), F.first("item_windows").alias("item_windows"), F.first("item_tokens").alias("item_tokens"),
+            .agg(union("places").alias("windows"), union("typed").alias("typed"), union("equal").alias("tokens"),
+                 F.max(_longest_run(F.col("equal"))).alias("run"), F.max("near").alias("near"), F.first("item_windows").alias("item_windows"), F.first("item_typed").alias("item_typed"),
+                 F.first("item_tokens").alias("item_tokens"),
                  *more))
 
 
+def _plain(x: Column) -> Column:
+    return F.translate(F.lower(x), MARK, "")
+
+
 def _is_slot(x: Column) -> Column:
     return F.substring(x, 1, 1) == "<"
 
@@ -140,47 +157,47 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
              .withColumn("width", F.least(F.size("item_pattern"), F.lit(window))))
     items = written(items, "tpl-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    cuts = F.transform(F.sequence(F.lit(1), F.size("item_pattern") - F.col("width") + 1),
-                       lambda i: F.slice("item_pattern", i, F.col("width")))
-    grams = items.select("item", "width", F.posexplode(cuts).alias("item_at", "gram"))
+    cuts = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - F.col("width") + 1),
+                                 lambda i: F.slice(c, i, F.col("width")))
+    items = items.withColumn("item_folded", folded(F.col("item_words"), F.col("item_pattern")))
+    grams = items.select("item", "width", F.lit(True).alias("typed"), F.posexplode(cuts("item_pattern")).alias("item_at", "gram")).unionByName(
+        items.select("item", "width", F.lit(False).alias("typed"), F.posexplode(cuts("item_folded")).alias("item_at", "gram")))
+    # windows that read the same in both forms are one
     grams = (grams.filter(F.size(F.filter("gram", lambda x: ~_is_slot(x))) * 2 >= F.col("width"))
-             .select("item", "width", "item_at", F.xxhash64("gram", "width").alias("hash")))
+             .groupBy("item", "width", "item_at", F.xxhash64("gram", "width").alias("hash")).agg(F.max("typed").alias("typed")))
     grams = written(grams, "tpl-windows")
     n_grams = grams.count()
-    usable = grams.groupBy("item").agg(F.count("*").alias("item_windows"))
+    usable = grams.groupBy("item").agg(F.count_distinct("item_at").alias("item_windows"), F.count_if("typed").alias("item_typed"))
     # -- document windows meet them
     rows = docs.select(F.col(text_col).alias("text"))
-    hashes = F.concat(*[F.coalesce(F.transform(_windows(F.col("pattern"), w), lambda h: F.struct(h.alias("hash"), F.lit(w).alias("width"))),
-                                   F.array().cast("array<struct<hash:bigint,width:int>>")) for w in widths or [window]])
-    met = (rows.withColumn("t", text_name(F.col("text")))
-           .select("t", template(words).alias("pattern"))
-           .select("t", F.posexplode(hashes).alias("at", "w"))
-           .select("t", "at", F.col("w.hash").alias("hash"), F.col("w.width").alias("width"))
+    hashes = F.concat(*[F.coalesce(_windows(F.col(c), w), F.array().cast("array<struct<at:int,hash:bigint,width:int>>"))
+                        for c in ("pattern", "folded") for w in widths or [window]])
+    met = (rows.withColumn("t", text_name(F.col("text"))).select("t", words.alias("words"))
+           .select("t", "words", template(F.col("words")).alias("pattern"))
+           .select("t", "pattern", folded(F.col("words"), F.col("pattern")).alias("folded"))
+           .select("t", F.inline(hashes))
            .join(broadcast_if(grams, n_grams, BROADCAST_WINDOWS), ["hash", "width"]))
     spots = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1))))
     alignments = (met.groupBy("t", "item", (F.col("at") - F.col("item_at")).alias("shift"), "width")
-                  .agg(F.collect_set("item_at").alias("places")).withColumn("spots", spots))
+                  .agg(F.collect_set("item_at").alias("places"), F.collect_set(F.when(F.col("typed"), F.col("item_at"))).alias("typed"))
+                  .withColumn("spots", spots))
     sizes = usable.join(items.select("item", F.size("item_words").alias("item_tokens")), "item")
     alignments = written(alignments.join(F.broadcast(sizes) if n_grams <= BROADCAST_WINDOWS else sizes, "item"), "tpl-alignments")
     # -- slots of the few alignments
     names = alignments.select("t").distinct()
     few = (rows.withColumn("t", text_name(F.col("text")))
            .join(broadcast_if(names, alignments.count(), BROADCAST_TEXTS), "t", "left_semi").dropDuplicates(["t"])
-           .select("t", words.alias("words")).withColumn("n", F.size("words")))
-    # windows of narrower widths come first in a text's array
-    before = F.lit(0)
-    for w in widths:
-        before = before + F.when(F.col("width") > w, F.greatest(F.col("n") - w + 1, F.lit(0))).otherwise(0)
+           .select("t", words.alias("words")))
     told = (alignments.join(few, "t").join(items.select("item", "item_words", "item_pattern"), "item")
-            .withColumn("start", F.col("shift") - before))
+            .withColumnRenamed("shift", "start"))
     slots = F.transform(F.filter("spots", lambda i: _is_slot(F.get("item_pattern", i))),
-                        lambda i: F.struct(F.lower(F.get("item_words", i)).alias("x"),
-                                           F.lower(F.get("words", i + F.col("start"))).alias("y")))
-    equal = F.filter("spots", lambda i: F.lower(F.get("item_words", i)) == F.lower(F.get("words", i + F.col("start"))))
+                        lambda i: F.struct(_plain(F.get("item_words", i)).alias("x"),
+                                           _plain(F.get("words", i + F.col("start"))).alias("y")))
+    equal = F.filter("spots", lambda i: _plain(F.get("item_words", i)) == _plain(F.get("words", i + F.col("start"))))
     # the text around, half an item further on both sides
     begin = F.greatest(F.col("start") - F.floor(F.col("item_tokens") / 2).cast("int"), F.lit(0))
-    around = F.transform(F.slice("words", begin + 1, F.col("item_tokens") * 2), F.lower)
-    fours = _fours(F.transform("item_words", F.lower))
+    around = F.transform(F.slice("words", begin + 1, F.col("item_tokens") * 2), _plain)
+    fours = _fours(F.transform("item_words", _plain))
     pairs = F.array_distinct("slots")
     told = (told.withColumn("slots", slots).withColumn("equal", equal)
             .withColumn("near", F.size(F.array_intersect(fours, _fours(around))) / F.greatest(F.size(F.array_distinct(fours)), F.lit(1)))

@@ -264,3 +264,17 @@ def test_leaks_of_parts_and_of_copies_with_insertions(spark):
                                 spark.createDataFrame(items, "item_id long, text string"))
     found = {(r.doc_id, r.item_id) for r in got.collect()}
     assert len(want) > 50 and want <= found
+
+
+def test_leaks_in_other_letters(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").filter("text is not null")
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(-1, "Die Straße misst 12 Meter und der Fluß ist im Sommer trocken wie ein Weg.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs, want = [], set()
+    for item, text in items:
+        for copy in (text.upper(), text.lower(), text.title()):
+            want.add((len(docs), item))
+            docs.append((len(docs), copy))
+    got = templates.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got}
+    assert {r.kind for r in got if (r.doc_id, r.item_id) in want} == {"verbatim"}
