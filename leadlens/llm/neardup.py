@@ -5,9 +5,10 @@ classes are joined as follows.
 
 * Each class posts its min-hash signature: one posting per (coordinate, value)
   pair.  A pair of similarity 0.75 agrees on 96 of 128 coordinates on average,
-  and on fewer than ``MATCHES`` = 72 with a probability below one in a million.
+  and on fewer than ``MATCHES`` = 72 with a probability of 1.2 in a million.
 * Skip merging: a class most of whose probed coordinates occur nowhere else
-  cannot reach the match threshold and is skipped before any list is merged.
+  hardly reaches the match threshold and is skipped before any list is merged
+  (at similarity 0.75, at most 3.1 in a million for each end of a pair).
 * Prefix: coordinates are ordered rare first; two signatures that agree on
   ``MATCHES`` of n coordinates share one of their n - MATCHES + 1 rarest, so
   only those are posted, and frequent passages never form long lists.
