@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import neardup, pieces, quality, suffixes, templates, tokencount, topk, toxicity, urls, warc
+from leadlens.llm import clusters, neardup, pieces, quality, suffixes, templates, tokencount, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,12 +68,49 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_report(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_topk, op2_sentencepiece, op3_suffix_dedup, op4_warc, op5_decontam, op6_quality, op7_token_counts,
-                          op8_url_filter, op9_toxicity, op10_near_dedup)
+                          op8_url_filter, op9_toxicity, op10_near_dedup, op13_centroid_clusters)
 }
 
+
+
+def _cluster_rounds(rounds: int = 10) -> str:
+    """Lloyd's rounds in long form, (row, i, x) against (c, i, x), one pair of tables a round."""
+    ctes = []
+    for r in range(rounds + 1):
+        ctes.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.row, k.c, sum((v.x - k.x) * (v.x - k.x)) AS d FROM comps v JOIN cent{r} k ON v.i = k.i GROUP BY 1, 2) GROUP BY row)""")
+        if r < rounds:
+            ctes.append(f"""
+cent{r + 1} AS MATERIALIZED (
+  SELECT k.c, k.i, coalesce(m.x, k.x) AS x
+  FROM cent{r} k LEFT JOIN (SELECT c, i, (s - ((s % n) + n) % n) // n AS x
+                            FROM (SELECT a.c, v.i, sum(v.x) AS s, count(*) AS n FROM near{r} a JOIN comps v ON a.row = v.row GROUP BY 1, 2)) m
+    ON m.c = k.c AND m.i = k.i)""")
+    return ",".join(ctes)
+
+
 ORACLE: dict[str, str] = {
+    "op13_centroid_clusters": f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comps AS MATERIALIZED (SELECT row, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+seeds AS (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), vec_id, v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL),
+cent0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM seeds WHERE c < 8),{_cluster_rounds()},
+spread AS (SELECT c, sum(d) AS s FROM near10 GROUP BY c),
+digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM cent10 GROUP BY c)
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(p.s AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(s) FROM spread) AS BIGINT) AS inertia, g.h AS centroid_sha256
+FROM kept k JOIN near10 a ON a.row = k.row JOIN spread p ON p.c = a.c JOIN digests g ON g.c = a.c""",
     "op1_topk": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
