@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import clusters, neardup, pieces, quality, suffixes, templates, tokencount, topk, toxicity, urls, warc
+from leadlens.llm import clusters, neardup, pieces, quality, spelling, suffixes, templates, tokencount, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,13 +68,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), least_length=7, least_count=2, one_in=31, ratio=10)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_report(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_topk, op2_sentencepiece, op3_suffix_dedup, op4_warc, op5_decontam, op6_quality, op7_token_counts,
-                          op8_url_filter, op9_toxicity, op10_near_dedup, op13_centroid_clusters)
+                          op8_url_filter, op9_toxicity, op10_near_dedup,
+                          op12_spelling_variants, op13_centroid_clusters)
 }
 
 
@@ -98,6 +103,47 @@ cent{r + 1} AS MATERIALIZED (
 
 
 ORACLE: dict[str, str] = {
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+        FROM range(256) r(i))),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n, list_transform(string_split(run, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS points
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)],
+                       list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':', ''), lambda c: CAST(unicode(c) AS BIGINT)),
+                       flatten(list_transform(points, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + u // 64, 128 + u % 64] END))),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM runs, crc_table),
+words AS MATERIALIZED (
+  SELECT w, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+                    ELSE run END AS w, n FROM hashed)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+-- words that lose one letter: the same place and rest is a replacement, a whole other word an insertion
+cuts AS MATERIALIZED (
+  SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS rest FROM (SELECT w, CAST(unnest(range(1, length(w) + 1)) AS INTEGER) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.w AS x, b.w AS y FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.w <> b.w
+  UNION SELECT c.w, s.w FROM cuts c JOIN words s ON c.rest = s.w
+  UNION SELECT s.w, c.w FROM cuts c JOIN words s ON c.rest = s.w),
+ranked AS (
+  SELECT x, y, o.n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY o.n DESC, encode(y)) AS place
+  FROM near JOIN words o ON o.w = near.y),
+forms AS MATERIALIZED (
+  SELECT w.w AS word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.y END AS form,
+         CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.x = w.w AND r.place = 1),
+chain AS (
+  SELECT word, word AS reached, 0 AS step FROM forms
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON c.reached = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word) e ON e.word = f.word""",
     "op13_centroid_clusters": f"""
 WITH kept AS MATERIALIZED (
   SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
