@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm import clusters, neardup, pieces, quality, spelling, suffixes, templates, tokencount, topk, toxicity, urls, warc
+from leadlens.llm import clusters, language, neardup, pieces, quality, spelling, suffixes, templates, tokencount, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(_read(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"), least_length=7, least_count=2, one_in=31, ratio=10)
 
@@ -79,7 +83,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_topk, op2_sentencepiece, op3_suffix_dedup, op4_warc, op5_decontam, op6_quality, op7_token_counts,
                           op8_url_filter, op9_toxicity, op10_near_dedup,
-                          op12_spelling_variants, op13_centroid_clusters)
+                          op11_language_id, op12_spelling_variants, op13_centroid_clusters)
 }
 
 
