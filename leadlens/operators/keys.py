@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, unique_name
@@ -104,3 +104,26 @@ def dense_keys_by_group(df: DataFrame, group: str, label: str, name: str = "look
     first = F.create_map(*[x for g, (_, k0, _) in stats.items() for x in (F.lit(g), F.lit(k0))])
     out = keyed.withColumn("_key", F.col("_gk") - F.element_at(first, F.col(group)) + 1).drop("_gk")
     return out, stats
+
+
+def running_offsets(df: DataFrame, order_by: str, weight: str, out: str, name: str = "offsets") -> tuple[DataFrame, int]:
+    """(``order_by``, ``out``): the sum of ``weight`` over all smaller keys, and the total.
+
+    ``df`` holds one row per key.  As in ``dense_key``, rows are range-partitioned,
+    sorted and written with their place; the running sum runs inside a partition
+    and starts from the totals of the partitions before it (one number each).
+    """
+    spark: SparkSession = df.sparkSession
+    path = scratch_path(spark, "keys", unique_name(name, out))
+    (df.select(order_by, weight).repartitionByRange(order_by).sortWithinPartitions(order_by)
+       .withColumn(_POS, F.monotonically_increasing_id())
+       .withColumn(_PID, F.shiftright(_POS, _POS_BITS).cast("int"))
+       .write.mode("overwrite").parquet(path))
+    staged = spark.read.parquet(path)
+    totals = {r[0]: int(r[1]) for r in staged.groupBy(_PID).agg(F.sum(weight)).collect()}
+    starts = dict(zip(sorted(totals), [0, *accumulate(totals[p] for p in sorted(totals))]))
+    off = spark.createDataFrame(list(starts.items()), f"{_PID} int, _dk_before long")
+    inside = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, -1)
+    got = (staged.withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+           .join(F.broadcast(off), _PID))
+    return got.select(order_by, (F.col(out) + F.col("_dk_before")).cast("long").alias(out)), sum(totals.values())

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio_or, wilson
+from ..operators.bitmaps import distinct_counts
+from ..operators.joins import broadcast_if
 from .channel import performance_tag
-from .revenue import seller_post_signing
+from .revenue import bridge, seller_post_signing
 from .warehouse import Warehouse
 
 LEAD_COLS = ["mqls", "closed_deals", "median_days_to_close", "p75_days_to_close"]
@@ -59,22 +61,16 @@ def _item_side(wh: Warehouse, grain: str, post_signing_only: bool, windows: tupl
         F.sum("review_score").alias("review_sum"), F.count("review_score").alias("review_n"),
         F.sum(F.when(lower & (F.col("days_after_won") <= windows[0]), F.col("price"))).alias("r90"),
         F.sum(F.when(lower & (F.col("days_after_won") <= windows[1]), F.col("price"))).alias("r180")]
+    # one scan: per-(seller, order) partials, which the fact's buckets hold whole (an order has one
+    # purchase date), then sums and both distinct counts (bitmaps) in one aggregation
+    g = [] if grain == "origin" else _grain_cols(grain, "date_key_purchase")
+    per = items.groupBy("seller_key", "order_id", "order_key", *g).agg(*per_seller_cols, F.max(F.when(live, 1)).alias("_live"))
     if grain == "origin":
-        # per-seller first (skew-proof partial aggregation), then channel membership
-        sellers = (wh["seller_lead"].join(wh.dim("dim_origin"), "origin_key")
-                   .select("seller_key", F.col("origin_name").alias("lead_origin")).distinct())
-        # one scan: per-(seller, order) partials, channel membership, then sums
-        # and both distinct counts in one aggregation
-        per = items.groupBy("seller_key", "order_id").agg(*per_seller_cols, F.max(F.when(live, 1)).alias("_live"))
-        return per.join(sellers, "seller_key").groupBy("lead_origin").agg(
-            *[F.sum(c).alias(c) for c in ("rev", "gmv", "freight", "review_sum", "review_n", "r90", "r180")],
-            F.countDistinct(F.when(F.col("_live") == 1, F.col("seller_key"))).alias("active_sellers"),
-            F.countDistinct("order_id").alias("orders"))
-    g = _grain_cols(grain, "date_key_purchase")
-    return items.groupBy(*g).agg(
-        *per_seller_cols,
-        F.countDistinct(F.when(live, F.col("seller_key"))).alias("active_sellers"),   # M14
-        F.countDistinct("order_id").alias("orders"))
+        per = per.join(broadcast_if(bridge(wh, "lead_origin").select("seller_key", "lead_origin"), wh.rows.get("seller_lead")), "seller_key")
+    return distinct_counts(per, _keys(grain), {
+        "active_sellers": F.when(F.col("_live") == 1, F.col("seller_key")),                  # M14
+        "orders": F.col("order_key")},
+        {c: F.col(c) for c in ("rev", "gmv", "freight", "review_sum", "review_n", "r90", "r180")})
 
 
 def measures(wh: Warehouse, grain: str = "origin", z: float = 1.96, post_signing_only: bool = True,

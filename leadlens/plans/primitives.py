@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_bucket, pretty_label, ratio_or, short_id
+from ..operators.bitmaps import distinct_counts
 from ..operators.joins import anti, left_join_on_predicate, or_join, semi
 from .channel import cac_column
 from .revenue import shared_channel_matrix
@@ -57,9 +58,8 @@ def default_lookup(wh: Warehouse) -> DataFrame:
 
 def count_distinct(wh: Warehouse) -> DataFrame:
     """A2: distinct orders, sellers and customers per order status."""
-    return wh["fact_order_item"].groupBy("order_status").agg(
-        F.countDistinct("order_id").alias("orders"), F.countDistinct("seller_key").alias("sellers"),
-        F.countDistinct("customer_key").alias("customers"))
+    return distinct_counts(wh["fact_order_item"], ["order_status"], {
+        "orders": F.col("order_key"), "sellers": F.col("seller_key"), "customers": F.col("customer_key")})
 
 
 def interpolated_pct(wh: Warehouse) -> DataFrame:

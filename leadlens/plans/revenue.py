@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import month_bucket, safe_ratio
 from ..operators.aggregates import nearest_rank_percentiles
+from ..operators.bitmaps import distinct_counts
 from .warehouse import Warehouse
 
 
@@ -31,8 +32,9 @@ def seller_order_totals(items: DataFrame) -> DataFrame:
     """Per (seller, order) partial sums: one scan of the item fact serves both the
     per-seller sums and every distinct-order count built on top of it (a branch
     per purpose would scan the fact twice, since the two branches prune the
-    aggregate differently and cannot share its shuffle)."""
-    return items.groupBy("seller_key", "order_id").agg(
+    aggregate differently and cannot share its shuffle).  The fact is bucketed by
+    order, so this grouping does not shuffle."""
+    return items.groupBy("seller_key", "order_id", "order_key").agg(
         F.sum("price").alias("o_revenue"),
         F.sum("freight_value").alias("o_freight"),
         F.count(F.lit(1)).alias("o_items"),
@@ -85,20 +87,15 @@ def rollup(wh: Warehouse, items: DataFrame, group: list[str]) -> DataFrame:
     """Item metrics at a bridge grain: sums weighted by multiplicity, exact distinct counts.
 
     One scan: per-(seller, order) partials joined to the bridge, then one
-    aggregation holds the weighted sums and both distinct counts.
+    aggregation holds the weighted sums and, as bitmaps, both distinct counts.
     """
     from ..operators.joins import broadcast_if
     b = broadcast_if(bridge(wh, *group), _bridge_rows(wh))
     per = seller_order_totals(items).join(b, "seller_key")
     m = F.col("mult")
-    return per.groupBy(*group).agg(
-        F.countDistinct("seller_key").alias("active_sellers"),
-        F.countDistinct("order_id").alias("orders"),
-        F.sum(F.col("o_revenue") * m).alias("revenue"),
-        F.sum(F.col("o_freight") * m).alias("freight"),
-        F.sum(F.col("o_items") * m).alias("items"),
-        F.sum(F.col("o_review_sum") * m).alias("review_sum"),
-        F.sum(F.col("o_review_n") * m).alias("review_n"))
+    return distinct_counts(per, group, {"active_sellers": F.col("seller_key"), "orders": F.col("order_key")}, {
+        "revenue": F.col("o_revenue") * m, "freight": F.col("o_freight") * m, "items": F.col("o_items") * m,
+        "review_sum": F.col("o_review_sum") * m, "review_n": F.col("o_review_n") * m})
 
 
 # ----------------------------------------------------------------- C12 and view 4

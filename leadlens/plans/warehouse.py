@@ -5,6 +5,16 @@ facts, written once under the shared folder and read back, plus the
 seller<->lead bridge that resolves the disjunctive join of the reference's
 SQL (J5) once for every analysis.  Each table is a DataFrame over written
 files, so a lost executor never renumbers keys.
+
+Every step splits its input once: the rows it keeps, and the rows it leaves out
+as (table, key, reason, rows).  What went in, came out and was left out is
+stored with the warehouse (``ledger``, ``rejected``), so no audit has to count
+the raw inputs again.
+
+Items and orders are clustered by ``order_id`` (``operators.clustered``): an item
+row is shuffled once in the whole build, and neither the join of the two facts
+nor any later grouping by order (with or without the seller) shuffles again.
+An order is the unit of that layout; its rows lie in one bucket.
 """
 
 from __future__ import annotations
@@ -13,13 +23,15 @@ import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_label, date_key, day_floor
+from ..operators.clustered import bucket_count, write_clustered
 from ..operators.joins import broadcast_if, or_join
-from ..operators.keys import dense_key, dense_keys_by_group, member_row
+from ..operators.keys import dense_key, dense_keys_by_group, member_row, running_offsets
 from ..session import scratch_path, unique_name
 from ..sources.dates import date_dim, input_range
 from ..sources.sinks import write_table
@@ -37,6 +49,10 @@ class Warehouse:
     unknown_segment_key: int = 0
     scalars: dict[str, object] = field(default_factory=dict)
     derived_tables: dict[str, DataFrame] = field(default_factory=dict)
+    ledger: DataFrame | None = None       # (step, role, table_name, rows): what went in and came out
+    rejected: DataFrame | None = None     # (table_name, key, reason, rows): what was left out
+    _routes: list[DataFrame] = field(default_factory=list, repr=False)
+    _inputs: list[DataFrame] = field(default_factory=list, repr=False)
     _lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -66,18 +82,61 @@ class Warehouse:
         return broadcast_if(self.tables[name], self.rows.get(name))
 
 
-def _earliest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
-    """One row per key: the row with the smallest ``order`` tuple (deterministic,
-    partial-aggregated, so a hot key never lands whole in one task)."""
+def _earliest(df: DataFrame, key: str, order: list[str], cols: list[str], rows: str = "_rows") -> DataFrame:
+    """One row per key: the row with the smallest ``order`` tuple, and in ``rows`` how many the
+    key had (deterministic, partial-aggregated, so a hot key never lands whole in one task)."""
     packed = F.min(F.struct(*[F.col(c) for c in order + [c for c in cols if c not in order]]))
-    return df.groupBy(key).agg(packed.alias("_m")).select(key, "_m.*")
+    return df.groupBy(key).agg(packed.alias("_m"), F.count(F.lit(1)).alias(rows)).select(key, "_m.*", rows)
+
+
+REJECT_COLS = "table_name string, key string, reason string, rows long"
+
+
+def _reject(wh: Warehouse, df: DataFrame, table: str, key: str, reason: str, rows: str) -> None:
+    """Adds the groups of ``df`` (over written files) with ``rows`` > 0 to the reject stream."""
+    wh._routes.append(df.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("key"),
+                                F.lit(reason).alias("reason"), F.expr(rows).cast("long").alias("rows")).filter("rows > 0"))
+
+
+def _count_in(wh: Warehouse, step: str, df: DataFrame, table: str, rows: str) -> None:
+    """Adds the rows of ``table`` that reached a step, carried as numbers in its written files."""
+    wh._inputs.append(df.agg(F.coalesce(F.sum(F.expr(rows)), F.lit(0)).cast("long").alias("rows")).select(
+        F.lit(step).alias("step"), F.lit("in").alias("role"), F.lit(table).alias("table_name"), "rows"))
+
+
+def _staged(wh: Warehouse, df: DataFrame, name: str) -> DataFrame:
+    path = f"{wh.path}/staged/{name}"
+    write_table(df, path)
+    return wh.spark.read.parquet(path)
+
+
+def _reject_stream(wh: Warehouse, corrupt: DataFrame | None) -> None:
+    """The rows left out by all steps, as a stored table."""
+    routes = wh._routes
+    if corrupt is not None:
+        routes = routes + [corrupt.groupBy(F.col("table").alias("table_name"), F.col("key")).agg(F.count(F.lit(1)).alias("rows"))
+                           .select("table_name", "key", F.lit("corrupt").alias("reason"), "rows")]
+    write_table(reduce(DataFrame.unionByName, routes), f"{wh.path}/rejected")
+    wh.rejected = wh.spark.read.schema(REJECT_COLS).parquet(f"{wh.path}/rejected")
+
+
+def _ledger(wh: Warehouse) -> None:
+    """What went into and came out of every step, as a stored table: numbers of written files only."""
+    ledger = wh._inputs + [
+        wh.rejected.groupBy("table_name").agg(F.sum("rows").alias("rows"))
+        .select(F.lit("rejected").alias("step"), F.lit("rejected").alias("role"), "table_name", "rows"),
+        wh.spark.createDataFrame([(n, "out", n, int(k)) for n, k in sorted(wh.rows.items())],
+                                 "step string, role string, table_name string, rows long")]
+    write_table(reduce(DataFrame.unionByName, ledger), f"{wh.path}/ledger")
+    wh.ledger = wh.spark.read.parquet(f"{wh.path}/ledger")
 
 
 def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                     date_range: tuple[str, str] | None = None, out_path: str | None = None,
-                    land: bool = True) -> Warehouse:
+                    land: bool = True, corrupt: DataFrame | None = None) -> Warehouse:
     """``land``: write the raw inputs once as parquet first (right for CSV
-    sources, which the build scans several times)."""
+    sources, which the build scans several times).  ``corrupt``: (table, key, record) of
+    the raw rows that did not parse (``sources.raw.read_rejects``), for the reject stream."""
     path = out_path or scratch_path(spark, "warehouse", unique_name("wh"))
     if land:
         raw = land_raw(spark, raw, f"{path}/raw")
@@ -104,8 +163,13 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                      ("seller_key", "seller_key"), ("seller_id", "mql_id"),
                      select=[F.col("l.seller_key").alias("seller_key"), F.col("l.seller_id").alias("seller_id"),
                              *[F.col(f"r.{c}") for c in ("lead_key", "mql_id", "origin_key", "segment_key", "is_won")]])
-    wh.rows["seller_lead"] = write_table(bridge, f"{path}/seller_lead", count_rows=True)
-    wh.tables["seller_lead"] = spark.read.parquet(f"{path}/seller_lead")
+
+    def write_bridge() -> None:
+        wh.rows["seller_lead"] = write_table(bridge, f"{path}/seller_lead", count_rows=True)
+        wh.tables["seller_lead"] = spark.read.parquet(f"{path}/seller_lead")
+
+    _concurrently(write_bridge, lambda: _reject_stream(wh, corrupt))
+    _ledger(wh)
     return wh
 
 
@@ -160,22 +224,28 @@ def _customer_dim(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
     """W7 + W4."""
     cust = _earliest(raw["customers"], "customer_id", ["customer_unique_id"],
                      ["customer_city", "customer_state"])
-    wh.tables["dim_customer"], wh.rows["dim_customer"] = _keyed(
-        cust.select("customer_id", "customer_unique_id",
-                    F.col("customer_city").alias("city"), F.col("customer_state").alias("state")),
-        ["customer_id"], "customer_key", "dim_customer")
+    keyed = _keyed(wh, cust.select("customer_id", "customer_unique_id",
+                                   F.col("customer_city").alias("city"), F.col("customer_state").alias("state"), "_rows"),
+                   ["customer_id"], "customer_key", "dim_customer")
+    _count_in(wh, "dim_customer", keyed, "customers", "_rows")
+    _reject(wh, keyed, "customers", "customer_id", "duplicate", "_rows - 1")
 
 
 def _product_dim(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
     """W6 + W4: products left join the category translation, with defaults."""
-    trans = _earliest(raw["translation"], "product_category_name", ["product_category_name_english"], [])
+    trans = _staged(wh, _earliest(raw["translation"], "product_category_name", ["product_category_name_english"], [],
+                                  rows="_translations"), "translation")
     prod = _earliest(raw["products"], "product_id", ["product_category_name", "product_weight_g"], [])
     prod = prod.join(trans, "product_category_name", "left").select(
         "product_id",
         F.coalesce("product_category_name", F.lit("outros")).alias("category_name_pt"),
         F.coalesce("product_category_name_english", F.lit("other")).alias("category_name_en"),
-        F.coalesce(F.col("product_weight_g").cast("int"), F.lit(0)).alias("weight_g"))
-    wh.tables["dim_product"], wh.rows["dim_product"] = _keyed(prod, ["product_id"], "product_key", "dim_product")
+        F.coalesce(F.col("product_weight_g").cast("int"), F.lit(0)).alias("weight_g"), "_rows")
+    keyed = _keyed(wh, prod, ["product_id"], "product_key", "dim_product")
+    _count_in(wh, "dim_product", keyed, "products", "_rows")
+    _count_in(wh, "dim_product", trans, "translation", "_translations")
+    _reject(wh, keyed, "products", "product_id", "duplicate", "_rows - 1")
+    _reject(wh, trans, "translation", "product_category_name", "duplicate", "_translations - 1")
 
 
 def _seller_dim(wh: Warehouse, raw: dict[str, DataFrame], closed: DataFrame) -> None:
@@ -183,10 +253,10 @@ def _seller_dim(wh: Warehouse, raw: dict[str, DataFrame], closed: DataFrame) ->
     deal_cols = ["mql_id", "won_date", "lead_type", "lead_behaviour_profile", "business_type",
                  "declared_monthly_revenue", "declared_product_catalog_size", "average_stock",
                  "has_company", "has_gtin"]
-    deal_per_seller = _earliest(closed.filter(F.col("seller_id").isNotNull()), "seller_id",
-                                ["won_date", "mql_id"], deal_cols)
+    deals = _earliest(closed, "seller_id", ["won_date", "mql_id"], deal_cols, rows="_deals")
     sellers = _earliest(raw["sellers"], "seller_id", ["seller_city", "seller_state"], [])
-    seller = sellers.join(deal_per_seller, "seller_id", "left").select(
+    # sellers and the deals without one, told apart by _rows
+    both = _staged(wh, sellers.join(deals, "seller_id", "full").select(
         "seller_id", "won_date",
         F.coalesce("lead_type", F.lit(UNKNOWN)).alias("lead_type"),
         F.coalesce("lead_behaviour_profile", F.lit(UNKNOWN)).alias("lead_behaviour_profile"),
@@ -197,24 +267,29 @@ def _seller_dim(wh: Warehouse, raw: dict[str, DataFrame], closed: DataFrame) ->
         F.coalesce("average_stock", F.lit(UNKNOWN)).alias("average_stock"),
         F.coalesce(F.col("has_company").cast("int"), F.lit(0)).alias("has_company"),
         F.coalesce(F.col("has_gtin").cast("int"), F.lit(0)).alias("has_gtin"),
-        F.col("seller_city").alias("city"), F.col("seller_state").alias("state"))
-    wh.tables["dim_seller"], wh.rows["dim_seller"] = _keyed(seller, ["seller_id"], "seller_key", "dim_seller")
+        F.col("seller_city").alias("city"), F.col("seller_state").alias("state"), "_rows", "_deals"), "seller")
+    _keyed(wh, both.filter("_rows is not null").drop("_rows", "_deals"), ["seller_id"], "seller_key", "dim_seller")
+    _count_in(wh, "dim_seller", both, "sellers", "_rows")
+    _count_in(wh, "dim_seller", both, "closed_deals", "_deals")
+    _reject(wh, both, "sellers", "seller_id", "duplicate", "_rows - 1")
+    _reject(wh, both, "closed_deals", "seller_id", "no_seller", "if(_rows is null, _deals, 0)")
+    _reject(wh, both, "closed_deals", "seller_id", "later_deal_of_seller", "if(_rows is null, 0, _deals - 1)")
 
 
 def _fact_lead(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
     """W8 + W9: one row per MQL, keys looked up in the dimensions."""
-    deal_per_lead = _earliest(closed.filter(F.col("mql_id").isNotNull()), "mql_id",
-                              ["won_date", "seller_id"], ["sdr_id", "sr_id", "segment_name"])
+    deals = _earliest(closed, "mql_id", ["won_date", "seller_id"], ["sdr_id", "sr_id", "segment_name"], rows="_deals")
+    # leads and the deals without one, told apart by _lead
+    both = mql.withColumn("_lead", F.lit(True)).join(deals, "mql_id", "full")
     sel = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key"), wh.rows["dim_seller"])
-    leads = (mql.join(deal_per_lead, "mql_id", "left")
-             .withColumn("segment_name", F.coalesce("segment_name", F.lit(UNKNOWN)))
+    leads = (both.withColumn("segment_name", F.coalesce("segment_name", F.lit(UNKNOWN)))
              .join(wh.dim("dim_origin"), "origin_name", "left")
              .join(wh.dim("dim_landing_page"), "landing_page_id", "left")
              .join(wh.dim("dim_segment"), "segment_name", "left")
              .join(wh.dim("dim_sdr"), "sdr_id", "left")
              .join(wh.dim("dim_sr"), "sr_id", "left")
              .join(sel, "seller_id", "left"))
-    fact_lead = leads.select(
+    leads = _staged(wh, leads.select(
         "mql_id",
         date_key("first_contact_date").alias("date_key_first_contact"),
         "origin_key",
@@ -225,18 +300,97 @@ def _fact_lead(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
         "seller_key",
         F.coalesce("segment_key", F.lit(wh.unknown_segment_key).cast("long")).alias("segment_key"),
         F.coalesce("sdr_key", F.lit(0).cast("long")).alias("sdr_key"),
-        F.coalesce("sr_key", F.lit(0).cast("long")).alias("sr_key"))
-    wh.tables["fact_lead"], wh.rows["fact_lead"] = _keyed(
-        fact_lead, ["mql_id"], "lead_key", "fact_lead", tiebreak=["date_key_first_contact"], stage_input=True)
+        F.coalesce("sr_key", F.lit(0).cast("long")).alias("sr_key"), "_lead", "_deals"), "lead")
+    _keyed(wh, leads.filter("_lead").drop("_lead", "_deals"), ["mql_id"], "lead_key", "fact_lead",
+           tiebreak=["date_key_first_contact"])
+    _count_in(wh, "fact_lead", leads, "mql", "if(_lead, 1, 0)")
+    _reject(wh, leads, "closed_deals", "mql_id", "no_lead", "if(_lead is null, _deals, 0)")
+    # a lead that is there twice takes the same deal twice
+    later = leads.filter("_lead and _deals > 1").groupBy("mql_id").agg(F.max("_deals").alias("_deals"))
+    _reject(wh, later, "closed_deals", "mql_id", "later_deal_of_lead", "_deals - 1")
+
+
+# Reasons for which an order item is left out, in the order they are tried.
+ITEM_REASONS = {"no_order": "_order is null", "unmapped_seller": "seller_key is null",
+                "unmapped_product": "product_key is null", "unmapped_customer": "customer_key is null"}
 
 
 def _fact_order_item(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
     """One row per order item, numbered by its natural key; all other columns break
-    ties, so two builds number alike (rows equal in every column are interchangeable)."""
-    items, order = order_items_joined(raw, wh), ["order_id", "order_item_id"]
-    wh.tables["fact_order_item"], wh.rows["fact_order_item"] = _keyed(
-        items, order, "order_item_key", "fact_order_item",
-        tiebreak=[c for c in items.columns if c not in order], stage_input=True)
+    ties, so two builds number alike (rows equal in every column are interchangeable).
+
+    An item's number is the number of items in smaller orders plus its place in its own:
+    only orders are sorted across the cluster, items stay in their buckets.  ``order_key``
+    numbers orders bucket by bucket, so the keys of a task lie close together
+    (``operators.bitmaps``).
+    """
+    buckets = bucket_count(raw["order_items"], raw["orders"])
+    lines, heads = clustered_orders(wh, raw, buckets)
+    items = joined_lines(lines, heads)
+    counts = _staged(wh, items.groupBy("order_id").agg(
+        F.count_if(F.col("reason").isNull()).alias("_kept"), *[F.count_if(F.col("reason") == r).alias(r) for r in ITEM_REASONS]),
+        "order_counts")
+    for reason in ITEM_REASONS:
+        _reject(wh, counts, "order_items", "order_id", reason, reason)
+    offsets, n = running_offsets(counts.filter("_kept > 0"), "order_id", "_kept", "_before", name="order_items")
+    orders = write_clustered(offsets.repartition(buckets, "order_id").withColumn("order_key", F.monotonically_increasing_id()),
+                             f"{wh.path}/clustered/order_offsets", "order_id", buckets)
+    columns = ["order_id", "order_item_id", "date_key_purchase", "seller_key", "product_key", "customer_key", "price",
+               "freight_value", "order_status", "review_score", "days_after_won"]
+    place = F.row_number().over(Window.partitionBy("order_id").orderBy(*columns[1:]))
+    fact = (items.filter("reason is null").join(orders, "order_id")
+            .select((F.col("_before") + place).alias("order_item_key"), *columns, "order_key"))
+    wh.tables["fact_order_item"] = write_clustered(fact, f"{wh.path}/fact_order_item", "order_id", buckets)
+    wh.rows["fact_order_item"] = n
+
+
+def clustered_orders(wh: Warehouse, raw: dict[str, DataFrame], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Items with their seller and product, and orders with their customer and mean review (W11),
+    both bucketed by order.  Rows without an order id can meet no order and are only counted."""
+    seller = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key", "won_date"), wh.rows["dim_seller"])
+    product = broadcast_if(wh["dim_product"].select("product_id", "product_key"), wh.rows["dim_product"])
+    customer = broadcast_if(wh["dim_customer"].select("customer_id", "customer_key"), wh.rows["dim_customer"])
+    named = F.col("order_id").isNotNull()
+    got: dict[str, DataFrame] = {}
+
+    def items() -> None:
+        got["lines"] = write_clustered(
+            raw["order_items"].filter(named).join(seller, "seller_id", "left").join(product, "product_id", "left").select(
+                "order_id", "order_item_id", "seller_key", "won_date", "product_key",
+                F.col("price").cast("decimal(10,2)").alias("price"), F.col("freight_value").cast("decimal(10,2)").alias("freight_value")),
+            f"{wh.path}/clustered/order_items", "order_id", buckets)
+
+    def orders() -> None:
+        got["reviews"] = _staged(wh, raw["order_reviews"].groupBy("order_id").agg(
+            F.avg("review_score").alias("_review"), F.count(F.lit(1)).alias("_reviews")), "reviews")
+        got["heads"] = write_clustered(
+            raw["orders"].filter(named).select("order_id", "customer_id", "order_status", "order_purchase_timestamp")
+            .join(customer, "customer_id", "left").join(got["reviews"].select("order_id", "_review"), "order_id", "left")
+            .select("order_id", "customer_key", "order_status", "order_purchase_timestamp", "_review", F.lit(True).alias("_order")),
+            f"{wh.path}/clustered/orders", "order_id", buckets)
+
+    _concurrently(items, orders)
+    lines, reviews, heads = got["lines"], got["reviews"], got["heads"]
+    for step, table, kept in (("order_items", "order_items", lines), ("orders", "orders", heads)):
+        _count_in(wh, step, kept, table, "1")
+        nameless = raw[table].filter(~named).select("order_id")
+        _count_in(wh, step + "_without_id", nameless, table, "1")
+        if table == "order_items":
+            wh._routes.append(nameless.groupBy("order_id").agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(table).alias("table_name"), F.col("order_id").alias("key"), F.lit("no_order").alias("reason"), "rows"))
+    _count_in(wh, "reviews", reviews, "order_reviews", "_reviews")
+    return lines, heads
+
+
+def joined_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Items with their order, without a shuffle; ``reason`` says why an item is left out."""
+    reason = F.coalesce(*[F.when(F.expr(test), F.lit(r)) for r, test in ITEM_REASONS.items()])
+    return lines.join(heads, "order_id", "left").select(
+        "order_id", "order_item_id",
+        date_key("order_purchase_timestamp").alias("date_key_purchase"),
+        "seller_key", "product_key", "customer_key", "price", "freight_value", "order_status",
+        F.bround("_review", 0).cast("int").alias("review_score"),
+        day_floor("order_purchase_timestamp", "won_date").alias("days_after_won"), reason.alias("reason"))
 
 
 def land_raw(spark: SparkSession, raw: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
@@ -257,34 +411,12 @@ def land_raw(spark: SparkSession, raw: dict[str, DataFrame], path: str) -> dict[
     return out
 
 
-def order_items_joined(raw: dict[str, DataFrame], wh: Warehouse) -> DataFrame:
-    """Items x orders (inner) x per-order mean review (left) x key lookups (inner)."""
-    reviews = raw["order_reviews"].groupBy("order_id").agg(F.avg("review_score").alias("_review"))  # W11
-    items = (raw["order_items"].select("order_id", "order_item_id", "product_id", "seller_id",
-                                       "price", "freight_value")
-             .join(raw["orders"].select("order_id", "customer_id", "order_status",
-                                        "order_purchase_timestamp"), "order_id")
-             .join(reviews, "order_id", "left"))
-    seller = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key", "won_date"), wh.rows["dim_seller"])
-    product = broadcast_if(wh["dim_product"].select("product_id", "product_key"), wh.rows["dim_product"])
-    customer = broadcast_if(wh["dim_customer"].select("customer_id", "customer_key"), wh.rows["dim_customer"])
-    items = items.join(seller, "seller_id").join(product, "product_id").join(customer, "customer_id")  # W12
-    return items.select(
-        "order_id", "order_item_id",
-        date_key("order_purchase_timestamp").alias("date_key_purchase"),
-        "seller_key", "product_key", "customer_key",
-        F.col("price").cast("decimal(10,2)").alias("price"),
-        F.col("freight_value").cast("decimal(10,2)").alias("freight_value"),
-        "order_status",
-        F.bround("_review", 0).cast("int").alias("review_score"),
-        day_floor("order_purchase_timestamp", "won_date").alias("days_after_won"))
-
-
-def _keyed(df: DataFrame, order: list[str], key: str, name: str,
-           tiebreak: list[str] | None = None, ordered: bool = True,
-           stage_input: bool = False) -> tuple[DataFrame, int]:
-    keyed, n = dense_key(df, order, key, name=name, tiebreak=tiebreak, ordered=ordered, stage_input=stage_input)
-    return keyed.select(key, *[c for c in df.columns]), n
+def _keyed(wh: Warehouse, df: DataFrame, order: list[str], key: str, name: str,
+           tiebreak: list[str] | None = None) -> DataFrame:
+    """Keys ``df`` as the table ``name``; columns that begin with _ stay in the result, which is returned."""
+    keyed, wh.rows[name] = dense_key(df, order, key, name=name, tiebreak=tiebreak)
+    wh.tables[name] = keyed.select(key, *[c for c in df.columns if not c.startswith("_")])
+    return keyed
 
 
 def _days(start: str, end: str) -> int:

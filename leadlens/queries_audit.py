@@ -121,9 +121,23 @@ def q_audit_constraints(wh: Warehouse) -> DataFrame:
     return audit.audit_constraints(wh)
 
 
-@register("rejects", O.q(_REJECTS))
+def _dropped_sql() -> str:
+    """Duplicates and orphans per input, counted on the raw tables."""
+    twice = [("customers", "raw_customers", "customer_id"), ("products", "raw_products", "product_id"),
+             ("sellers", "raw_sellers", "seller_id"), ("translation", "raw_trans", "product_category_name")]
+    parts = [f"SELECT 'duplicate' AS reason, '{t}' AS table_name, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT {k} FROM {cte}) d) AS violations FROM {cte}"
+             for t, cte, k in twice]
+    for reason, later, key, parent in (("no_seller", "later_deal_of_seller", "seller_id", "raw_sellers"),
+                                       ("no_lead", "later_deal_of_lead", "mql_id", "raw_mql")):
+        known = f"EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = d.{key})"
+        parts.append(f"SELECT '{reason}', 'closed_deals', COUNT(*) FROM raw_deals d WHERE NOT {known}")
+        parts.append(f"SELECT '{later}', 'closed_deals', COUNT(*) - COUNT(DISTINCT d.{key}) FROM raw_deals d WHERE {known}")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("rejects", O.q(f"{_REJECTS}\nUNION ALL {_dropped_sql()}"))
 def q_rejects(wh: Warehouse) -> DataFrame:
-    """W12 order items not loaded, by reason."""
+    """Rows that the build left out, by table and reason."""
     return audit.rejects(wh)
 
 
