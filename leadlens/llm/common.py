@@ -8,6 +8,8 @@ hashed by a handful of NumPy passes, whatever the length of its texts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -66,10 +68,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):       # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package importable on every executor."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def byte_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,8 @@ classes are joined as follows.
   against every size their family holds; the pairs that pass are counted on all
   coordinates, kept above the match threshold, and confirmed on full sets.
 
-Links go through ``components``; a component is named by its smallest id.
+A class has a number of its own, so an id may stand for several texts; texts of one
+id are linked.  Links go through ``components``; a component is named by its smallest id.
 
 Defined results: null, empty and blank texts have the empty set and are linked
 with nothing; a text of fewer than five words has its whole word sequence as
@@ -49,6 +50,8 @@ COORDINATES, MATCHES = 128, 72
 PROBED, PROBED_SHARED = 24, 8
 # ids (8 bytes each) that may be shipped to every task
 BROADCAST_IDS = 2_000_000
+# names of texts (three longs each) that may be shipped to every task
+BROADCAST_NAMES = 500_000
 SLICE_BYTES = 1 << 19
 # shingles of hubs that a worker keeps from one batch to the next
 SEEN_SHINGLES = 4_000_000
@@ -90,10 +93,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints[1, doc[begins]] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), begins)
             sig = signatures(doc, value, j - i)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(prints[0].view(np.int64)),
-                 pa.array(prints[1].view(np.int64)),
+                [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n, pa.int64()),
+                 pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
                  list_column(sig.view(np.int32).ravel(), np.full(j - i, COORDINATES), pa.int32())],
-                names=["id", "n", "p1", "p2", "sig"])
+                names=["id", "h", "n", "p1", "p2", "sig"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +149,12 @@ def _linked(common: str = "common", n_a: str = "n_a", n_b: str = "n_b"):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    about = written(map_batches(rows, _describe, "id long, n long, p1 long, p2 long, sig array<int>"), "nd-about")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    about = written(map_batches(rows, _describe, "id long, h long, n long, p1 long, p2 long, sig array<int>"), "nd-about")
+    # a class is numbered once, as it is written; (id, h) names one of its texts
     reps = written(about.filter("n > 0 and id is not null").groupBy("p1", "p2")
-                   .agg(F.min(F.struct("id", "sig")).alias("one"))
-                   .select("p1", "p2", F.col("one.id").alias("rep"), F.col("one.sig").alias("sig")), "nd-reps")
+                   .agg(F.min(F.struct("id", "h", "sig")).alias("one"))
+                   .select(F.monotonically_increasing_id().alias("rep"), "p1", "p2", "one.*"), "nd-reps")
 
     def postings(frame: DataFrame, count: int) -> DataFrame:
         return (frame.select("rep", F.posexplode(F.slice("sig", 1, count)).alias("c", "v"))
@@ -163,7 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .filter(F.col("hits") >= PROBED_SHARED).select("rep"), "nd-alive")
     few = broadcast_if(alive, alive.count(), BROADCAST_IDS)
     active = written(reps.select("rep", "sig").join(few, "rep"), "nd-active")
-    texts = written(rows.join(few.withColumnRenamed("rep", "id"), "id").dropDuplicates(["id"]), "nd-texts")
+    names = written(reps.join(few, "rep").select("rep", "id", "h"), "nd-names")
+    texts = written(rows.join(broadcast_if(names, names.count(), BROADCAST_NAMES), ["id", "h"]).dropDuplicates(["rep"])
+                    .select(F.col("rep").alias("id"), "text"), "nd-texts")
 
     # rare-first prefix of every active signature
     posted = postings(active, COORDINATES)
@@ -178,6 +184,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = prefix.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     tested = written(compare_sets(stars, texts).withColumn("linked", _linked()), "nd-tested")
 
+    # classes that share an id
+    held = written(about.filter("n > 0 and id is not null").select("id", F.struct("p1", "p2").alias("class")).distinct(), "nd-held")
+    several = held.groupBy("id").agg(F.min("class").alias("first"), F.count("*").alias("m")).filter("m > 1").select("id", "first")
+    number = reps.select(F.struct("p1", "p2").alias("class"), "rep")
+    same_id = (held.join(several, "id").filter("class <> first").select("class", "first").distinct()
+               .join(number.select("class", F.col("rep").alias("a")), "class")
+               .join(number.select(F.col("class").alias("first"), F.col("rep").alias("b")), "first").select("a", "b"))
+    links = written(tested.filter("linked").select("a", "b").unionByName(same_id), "nd-links")
+
     # hub families with open members; a member linked to its hub bears the hub's label
     label = F.when(F.col("linked"), F.col("b")).otherwise(F.col("a"))
     family = (tested.select("b", F.col("a").alias("x"), label.alias("label"), F.col("n_a").alias("n"), "common", "extras")
@@ -209,10 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     collisions = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v)
     matched = open_pairs.join(sig_a, "a").join(sig_b, "b").filter(collisions >= MATCHES).select("a", "b")
     more = compare_sets(matched, texts).filter(_linked()).select("a", "b")
-    named = components(tested.filter("linked").select("a", "b").unionByName(more))
+    named = written(components(links.unionByName(more)), "nd-components")
 
-    by_class = written(reps.select("p1", "p2", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-                       .select("p1", "p2", F.coalesce("label", "rep").alias("label")), "nd-class-labels")
+    # a component is named by its smallest id
+    members = reps.join(named.withColumnRenamed("node", "rep"), "rep").select("rep", "label", "id")
+    least_id = members.groupBy("label").agg(F.min("id").alias("least"))
+    by_class = written(reps.select("p1", "p2", "rep", "id").join(members.select("rep", "label").join(least_id, "label"), "rep", "left")
+                       .select("p1", "p2", F.coalesce("least", "id").alias("label")), "nd-class-labels")
     out = about.select("id", "n", "p1", "p2")
     placed = (out.filter("n > 0").join(by_class, ["p1", "p2"], "left")
               .select("id", "n", F.when(F.col("id").isNotNull(), F.col("label")).alias("component_id")))

@@ -16,6 +16,12 @@ more than ``LONG_UNIT`` characters use a heap.
 Characters without a piece become byte pieces, as does a literal U+2581 (which
 would otherwise decode to a space), so every text decodes to itself.
 
+Very long texts are encoded whole, some units at a time: a text is cut behind
+about ``SPLIT_CHARS`` characters, at the next place where a unit begins, however
+far that lies (never, if the vocabulary has pieces that span a space).  Units of
+any length use the heap, so a NumPy pass holds short units only, some
+``SPLIT_CHARS`` + ``CHUNK_CHARS`` characters of them at most.
+
 Defined results: null and empty texts have no pieces; repeated rows get equal
 pieces; a null id is one key like any other; an empty table gives an empty
 result; other columns may have any name.
@@ -151,11 +157,29 @@ def _dropped(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.nda
     return (h >> _U(11)).astype(np.float64) * 2.0 ** -53 < rate
 
 
+_WORD = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _WORD
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _WORD
+    return x ^ x >> 31
+
+
+def _skipped(key: int, begin: int, middle: int, end: int, rate: float) -> bool:
+    """``_dropped`` of one candidate."""
+    if rate <= 0:
+        return False
+    h = _mixed(key + begin * 0xD1342543DE82EF95 + middle * 0xA0761D6478BD642F + end * 0xE7037ED1A0B428DB & _WORD)
+    return (h >> 11) * 2.0 ** -53 < rate
+
+
 def _agenda(m: Model, sym: list[int], begin: int, key: int, rate: float) -> list[tuple[int, int]]:
     """(place, symbol) of one unit's pieces by a heap of candidate merges."""
     n = len(sym)
     size, prev, nxt = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
-    key = np.array([key], _U)
     heap: list[tuple[int, int, int, int]] = []
 
     def offer(i: int) -> None:
@@ -163,8 +187,7 @@ def _agenda(m: Model, sym: list[int], begin: int, key: int, rate: float) -> list
         if i < 0 or j >= n or sym[i] < 0 or sym[j] < 0:
             return
         got = m.pairs.get(sym[i] * m.width + sym[j])
-        if got is not None and not _dropped(key, np.array([begin + i]), np.array([begin + j]),
-                                            np.array([begin + j + size[j]]), rate)[0]:
+        if got is not None and not _skipped(key, begin + i, begin + j, begin + j + size[j], rate):
             heapq.heappush(heap, (got[0], i, size[i], size[j]))
 
     for i in range(n):
@@ -243,7 +266,7 @@ def _segment(m: Model, codes: np.ndarray, place: np.ndarray, unit: np.ndarray, k
     return out
 
 
-def _chunks(texts: list[str]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+def _chunks(texts: list[str], joins: bool) -> Iterator[list[tuple[int, int, np.ndarray]]]:
     """Groups of (text, position, characters with spaces as U+2581); long texts are cut between units."""
     group, size = [], 0
     for t, text in enumerate(texts):
@@ -255,10 +278,14 @@ def _chunks(texts: list[str]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
         at = 0
         while at < len(codes):
             end = len(codes)
-            if end - at > SPLIT_CHARS:
-                cut = np.flatnonzero((codes[at + 1:at + SPLIT_CHARS] == SPACE) & (codes[at:at + SPLIT_CHARS - 1] != SPACE))
-                if len(cut):
-                    end = at + 1 + int(cut[-1])
+            if not joins and end - at > SPLIT_CHARS:
+                # the first place behind the limit where a unit begins, looked for block by block
+                for lo in range(at + SPLIT_CHARS, end, SPLIT_CHARS):
+                    hi = min(lo + SPLIT_CHARS, end)
+                    cut = np.flatnonzero((codes[lo:hi] == SPACE) & (codes[lo - 1:hi - 1] != SPACE))
+                    if len(cut):
+                        end = lo + int(cut[0])
+                        break
             group.append((t, at, codes[at:end]))
             size += end - at
             at = end
@@ -273,7 +300,7 @@ def encode(m: Model, texts: list[str], keys: np.ndarray, rate: float = RATE, see
     """The piece ids of each text."""
     parts: list[list[np.ndarray]] = [[] for _ in texts]
     hashed = _key(seed, keys)
-    for group in _chunks(texts):
+    for group in _chunks(texts, m.joins):
         codes = np.concatenate([c for _, _, c in group])
         n = np.array([len(c) for _, _, c in group])
         member = np.repeat(np.arange(len(group)), n)

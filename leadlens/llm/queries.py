@@ -198,19 +198,21 @@ m AS (
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.n = 1""",
     "op10_near_dedup": r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
-sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM shared JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON x = p.r JOIN sizes q ON y = q.r WHERE 100 * c >= 75 * (p.n + q.n - c)
+          UNION ALL SELECT a.r, b.r FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.r < b.r AND len(a.w) > 0 AND len(b.w) > 0),
 ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT x, y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON r.y = e.x),
-least_of AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+least_of AS (SELECT x, min(d.doc_id) AS m FROM reach JOIN words d ON d.r = y GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
-FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least_of l ON d.doc_id = l.x""",
+FROM words d LEFT JOIN sizes s ON d.r = s.r LEFT JOIN least_of l ON d.r = l.x""",
 }

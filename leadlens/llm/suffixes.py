@@ -42,11 +42,11 @@ from leadlens.operators.joins import broadcast_if
 
 LENGTH = 200
 GRAM = 32
-# window starts processed at once, and window rows held by one index partition
+# window starts processed at once, windows of an index partition, and windows spelled out at once
 PIECE = 1 << 18
 PLACES = np.uint64((1 << 20) - 1)
 INDEX_WINDOWS = 200_000
-BATCH_WINDOWS = 1 << 14
+BATCH_WINDOWS = 1 << 13
 HOT_RUNS = 4_096
 # text names (16 bytes each) that may be shipped to every task
 BROADCAST_TEXTS = 1_000_000
@@ -98,48 +98,76 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 class SuffixLevels:
-    """Suffix arrays of geometrically growing sizes over fixed-length windows."""
-
-    def __init__(self, length: int = LENGTH):
-        self.length, self.count = length, 0
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.repeated: list[np.ndarray] = []
-
-    def _mark(self, ids: np.ndarray) -> None:
-        if len(ids):
-            self.repeated.append(ids)
-
-    def add(self, windows: np.ndarray) -> None:
-        """Index a batch of windows (n x length bytes); ids go on from the last batch."""
-        keys = np.ascontiguousarray(windows).view(f"S{self.length}").ravel()
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], order.astype(np.int64) + self.count
-        self.count += len(ids)
-        new = np.ones(len(keys), bool)
+    """Suffix arrays of geometrically growing sizes over windows of fixed length.
+
+    A level is a list of window starts in the order of their bytes, with the first eight
+    bytes of each as a number; the bytes themselves lie once in ``data``.  That is some
+    20 bytes a window.  Windows are only spelled out (``length`` bytes each) for the few
+    thousand that one step compares.
+    """
+
+    def __init__(self, data: np.ndarray, length: int = LENGTH, block: int = BATCH_WINDOWS):
+        self.data, self.length, self.block = data, length, block
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []      # (first eight bytes, start), in order
+        self.repeated = np.zeros(len(data) + 1, bool)              # by start
+
+    def _spelled(self, starts: np.ndarray) -> np.ndarray:
+        raw = self.data[starts[:, None] + np.arange(self.length)]
+        return raw.view(f"S{self.length}").ravel()
+
+    def _heads(self, starts: np.ndarray) -> np.ndarray:
+        raw = self.data[starts[:, None] + np.arange(8)]
+        return raw.view(">u8").ravel().astype(np.uint64)
+
+    def _place(self, heads: np.ndarray, starts: np.ndarray, level: tuple) -> np.ndarray:
+        """For windows in order: the place of each in the level (where its first equal one is or would be)."""
+        place, last = np.searchsorted(level[0], heads, "left"), np.searchsorted(level[0], heads, "right")
+        open_ = np.flatnonzero(last > place)
+        for lo in range(0, len(open_), self.block):
+            mine = open_[lo:lo + self.block]
+            a, b, own = place[mine], last[mine], self._spelled(starts[mine])
+            while (a < b).any():
+                live = np.flatnonzero(a < b)
+                mid = (a[live] + b[live]) // 2
+                less = self._spelled(level[1][mid]) < own[live]
+                a[live] = np.where(less, mid + 1, a[live])
+                b[live] = np.where(less, b[live], mid)
+            place[mine] = a
+        return place
+
+    def _equal(self, heads: np.ndarray, starts: np.ndarray, level: tuple, place: np.ndarray) -> np.ndarray:
+        out = (place < len(level[0])) & (level[0][np.minimum(place, len(level[0]) - 1)] == heads)
+        open_ = np.flatnonzero(out)
+        for lo in range(0, len(open_), self.block):
+            mine = open_[lo:lo + self.block]
+            out[mine] = self._spelled(starts[mine]) == self._spelled(level[1][place[mine]])
+        return out
+
+    def add(self, starts: np.ndarray) -> None:
+        """Index the windows that begin at ``starts``: a batch of at most some ``block``."""
+        order = np.argsort(self._spelled(starts), kind="stable")
+        starts = starts[order]
+        keys = self._spelled(starts)
+        new = np.ones(len(starts), bool)
         new[1:] = keys[1:] != keys[:-1]
         same = np.flatnonzero(~new)
-        self._mark(ids[same])
-        self._mark(ids[same - 1])
-        keys, ids = keys[new], ids[new]
-        for level, owners in self.levels:
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            hit = level[at] == keys
-            self._mark(ids[hit])
-            self._mark(owners[at[hit]])
-            keys, ids = keys[~hit], ids[~hit]
-        if len(keys):
-            self.levels.append((keys, ids))
+        self.repeated[starts[same]] = True
+        self.repeated[starts[same - 1]] = True
+        del keys
+        starts = starts[new]
+        heads = self._heads(starts)
+        for level in self.levels:
+            place = self._place(heads, starts, level)
+            hit = self._equal(heads, starts, level, place)
+            self.repeated[starts[hit]] = True
+            self.repeated[level[1][place[hit]]] = True
+            heads, starts = heads[~hit], starts[~hit]
+        if len(starts):
+            self.levels.append((heads, starts))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            (a, x), (b, y) = self.levels[-2:]
-            both = np.concatenate([a, b])
-            order = np.argsort(both, kind="stable")
-            self.levels[-2:] = [(both[order], np.concatenate([x, y])[order])]
-
-    def marks(self) -> np.ndarray:
-        out = np.zeros(self.count, bool)
-        for ids in self.repeated:
-            out[ids] = True
-        return out
+            big, small = self.levels[-2:]
+            place = self._place(*small, big)
+            self.levels[-2:] = [tuple(np.insert(x, place, y) for x, y in zip(big, small))]
 
 
 def _name_of(text):
@@ -186,29 +214,27 @@ MARK = "t binary, a long, b long"
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, full, hot, t, start, bytes) of whole keys -> spans of repeated windows."""
-    index, runs, held, size = SuffixLevels(), [], [], 0
-
-    def flush():
-        nonlocal held, size
-        if held:
-            index.add(np.concatenate(held))
-        held, size = [], 0
-
+    parts, runs, size = [], [], 0
     for b in batches:
-        _, full, _, names, starts, blobs = (c.to_pylist() for c in b.columns)
-        for f, t, s, blob in zip(full, names, starts, blobs):
-            w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(blob, np.uint8), LENGTH)
-            held.append(w)
-            size += len(w)
-            runs.append((f, t, s, len(w)))
-            if size >= BATCH_WINDOWS:
-                flush()
-    flush()
-    marks, at, out = index.marks(), 0, []
-    for f, t, s, n in runs:
-        if not f:
-            out += [{"t": t, "a": s + a, "b": s + b} for a, b in _spans(marks[at:at + n], LENGTH)]
-        at += n
+        data, offsets = byte_buffer(b.column(5))
+        parts.append(data.copy())
+        for full, name, start, lo, hi in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(),
+                                             offsets[:-1].tolist(), offsets[1:].tolist()):
+            runs.append((full, name, start, size + lo, hi - lo - LENGTH + 1))
+        size += len(data)
+    index, held, waiting = SuffixLevels(np.concatenate(parts) if parts else np.zeros(0, np.uint8)), [], 0
+    del parts
+    for k, (_, _, _, at, n) in enumerate(runs):
+        held.append(np.arange(at, at + n))
+        waiting += n
+        if waiting >= BATCH_WINDOWS or k == len(runs) - 1:
+            for lo in range(0, waiting, BATCH_WINDOWS):
+                index.add(np.concatenate(held)[lo:lo + BATCH_WINDOWS])
+            held, waiting = [], 0
+    out = []
+    for full, name, start, at, n in runs:
+        if not full:
+            out += [{"t": name, "a": start + a, "b": start + b} for a, b in _spans(index.repeated[at:at + n], LENGTH)]
     yield pa.RecordBatch.from_pylist(out, pa.schema([("t", pa.binary()), ("a", pa.int64()), ("b", pa.int64())]))
 
 

@@ -10,11 +10,11 @@ the encodings are spliced there, after their counts on the shared units agree.
 An overlap without such a boundary (a long run without single spaces) is
 doubled until one is found or the chunk reaches the end of the text.
 
-Tokens of a unit come from the tokenizer library; a worker remembers the
-counts of units it has met (bounded by ``MEMO_UNITS``), since words repeat.
+Tokens of a unit come from the tokenizer library; a worker remembers the counts
+of the short units it has met, since words repeat, up to ``MEMO_BYTES``.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted
-each; only the id and text columns are read.
+each; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ from leadlens.llm.common import map_batches
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
-MEMO_UNITS = 400_000
+# what a worker remembers: units of so many characters at most, and so many bytes of them (an entry
+# counts four bytes a character and 200 for the dictionary)
+MEMO_CHARS = 48
+MEMO_BYTES = 64 << 20
 
 _tokenizers: dict[str, "Counter"] = {}
 
@@ -45,6 +48,7 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunk, self.overlap = chunk, overlap
         self.memo: dict[str, int] = {}
+        self.held = 0
         # spaces are boundaries only for byte-level splitting without added spaced tokens
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
@@ -71,15 +75,22 @@ class Counter:
     def counts(self, units: list[str]) -> list[int]:
         memo = self.memo
         missing = [u for u in dict.fromkeys(units) if u not in memo]
+        passing: dict[str, int] = {}
         if missing:
-            if len(memo) + len(missing) > MEMO_UNITS:
+            short = sum(200 + 4 * len(u) for u in missing if len(u) <= MEMO_CHARS)
+            if self.held + short > MEMO_BYTES:
                 memo.clear()
-                missing = list(dict.fromkeys(units))
+                self.held, missing = 0, list(dict.fromkeys(units))
+                short = sum(200 + 4 * len(u) for u in missing if len(u) <= MEMO_CHARS)
+            keep = short <= MEMO_BYTES
+            self.held += short if keep else 0
             for i in range(0, len(missing), 4096):
                 part = missing[i:i + 4096]
                 for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    memo[u] = len(e)
-        return list(map(memo.__getitem__, units))
+                    (memo if keep and len(u) <= MEMO_CHARS else passing)[u] = len(e)
+        if not passing:
+            return list(map(memo.__getitem__, units))
+        return [memo[u] if u in memo else passing[u] for u in units]
 
     def encode(self, text: str, begin: int) -> tuple[list[int], list[int]]:
         """(unit starts in the whole text, token counts) of one chunk."""

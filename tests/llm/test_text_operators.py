@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from helpers import awkward_docs, brute_components, brute_repeats, empty_docs, prose
+from helpers import shingle_set, awkward_docs, brute_components, brute_repeats, empty_docs, prose
 
 from leadlens.llm import neardup, pieces, suffixes, templates, tokencount
 from leadlens.llm.queries import tokenizer_file
@@ -47,6 +47,42 @@ def test_near_duplicates_of_a_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near(docs)} == want
 
 
+def test_an_id_with_several_texts_names_one_component(spark):
+    a, b = prose(21, 60), prose(22, 60)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, "start " + b), (4, a), (5, prose(23, 60)), (6, prose(24, 60)), (6, prose(25, 60)), (0, prose(24, 60)),
+            (7, None), (7, prose(26, 9)), (8, prose(26, 9)), (9, ""), (9, prose(27, 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute_components([r for r in rows if r[1]]).items()}
+    got = near(docs)
+    assert {1, 2, 3, 4} == {r.doc_id for r in got if r.component_id == 1}
+    for r in got:
+        assert r.component_id == (want[r.doc_id] if r.n_shingles else r.doc_id), r
+    assert sorted((r.doc_id, r.n_shingles) for r in got) == sorted((i, len(shingle_set(t))) for i, t in rows)
+
+
+def family(n, seed):
+    """Variants of one page that are just short of 0.75 to it, most of which share a phrase."""
+    rng = np.random.default_rng(seed)
+    page = prose(60, 200).split()
+    out = []
+    for k in range(n):
+        w = page.copy()
+        w[100:103] = ["shared", "new", "phrase"]
+        for at in rng.choice(np.r_[0:95, 110:200], 5 + k % 3, replace=False):
+            w[at] = f"edit{rng.integers(0, 1 << 40)}"
+        out.append((k + 1, " ".join(w)))
+    return [(0, " ".join(page)), *out]
+
+
+def test_hub_families_match_brute_force(spark):
+    rows = family(250, 1)
+    rows += [(1000 + i, t.replace("edit", "edot", 1)) for i, t in rows[:60]]
+    want = brute_components(rows)
+    assert 10 < len({c for _, c in want.values()}) < 300
+    got = near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_empty(spark):
     assert near(empty_docs(spark)) == []
 
@@ -89,16 +125,24 @@ def test_repeats_long_text_in_pieces(monkeypatch):
     assert all(a + n == b for (a, n), (b, _) in zip(covered, covered[1:]))
 
 
-def test_suffix_levels_find_all_repeats():
+@pytest.mark.parametrize("letters", [[97, 98], [0, 255], list(range(256))])
+@pytest.mark.parametrize("block", [5, 8192])
+def test_suffix_levels_find_all_repeats(letters, block):
     rng = np.random.default_rng(3)
-    w = rng.integers(0, 2, (500, 12)).astype(np.uint8) + 97
-    index = suffixes.SuffixLevels(12)
-    for k in range(0, 500, 37):
-        index.add(w[k:k + 37])
+    data = rng.choice(np.array(letters, np.uint8), 900)
+    data[500:560] = data[100:160]
+    index = suffixes.SuffixLevels(data, 12, block)
+    starts = np.arange(len(data) - 11)
+    for k in range(0, len(starts), 37):
+        index.add(starts[k:k + 37])
+    w = np.lib.stride_tricks.sliding_window_view(data, 12)
     _, at, n = np.unique(w, axis=0, return_inverse=True, return_counts=True)
-    assert (index.marks() == (n[at.ravel()] > 1)).all()
+    assert (index.repeated[starts] == (n[at.ravel()] > 1)).all()
     sizes = [len(k) for k, _ in index.levels]
-    assert all(2 * b < a for a, b in zip(sizes, sizes[1:]))
+    assert all(2 * b < a for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(n)
+    for heads, places in index.levels:
+        spelled = [bytes(data[p:p + 12]) for p in places]
+        assert spelled == sorted(spelled) and [int.from_bytes(x[:8], "big") for x in spelled] == heads.tolist()
 
 
 def test_remove_repeats_keeps_columns_and_characters(spark):
@@ -168,6 +212,35 @@ def test_pieces_round_trip(spm, rate):
     assert [g.tolist() for g in got] == [g.tolist() for g in again]
 
 
+def test_pieces_of_a_very_long_text(spm):
+    """A million characters without a space before five million of prose: whole, and as the library has it."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    text = "abcd" * 265_000 + " " + prose(8, 700_000)
+    assert len(text) > 5_000_000
+    (got,) = pieces.encode(spm, [text], np.array([5]), 0.0)
+    assert np.array_equal(got, np.array(sp.encode(text)))
+    (got,) = pieces.encode(spm, [text], np.array([5]), 0.1)
+    assert spm.decode(got.tolist()) == text
+
+
+def test_cuts_of_long_texts_do_not_show(spm, monkeypatch):
+    texts = [" ".join(("x" * (k % 300) if k % 7 == 0 else "word") + " " * (k % 3) for k in range(400)), "y" * 900 + " z", "  " * 500 + "q"]
+    want = [pieces.encode(spm, texts, np.arange(3), rate) for rate in (0.0, 0.3)]
+    monkeypatch.setattr(pieces, "SPLIT_CHARS", 50)
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 120)
+    for rate, w in zip((0.0, 0.3), want):
+        assert [g.tolist() for g in pieces.encode(spm, texts, np.arange(3), rate)] == [g.tolist() for g in w]
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokencount, "MEMO_BYTES", 3000)
+    c = tokencount.Counter(tokenizer_file("byte_bpe_50k.json"))
+    texts = [prose(k, 40) + " " + "長い文字列" * 60 for k in range(12)] + [prose(3, 40)]
+    assert [c.count(t) for t in texts] == library_counts(texts)
+    assert sum(200 + 4 * len(u) for u in c.memo) <= 3000 and all(len(u) <= tokencount.MEMO_CHARS for u in c.memo)
+
+
 def brute_dropout(m, text, key, rate, seed):
     """One merge at a time over the whole text: best rank first, leftmost first."""
     codes = [pieces.SPACE if c == " " else (0x10FFFF if c == "▁" else ord(c)) for c in " " + text]
