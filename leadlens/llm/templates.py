@@ -9,9 +9,14 @@ tokens (the whole item, if it is shorter) are hashed and joined with those of
 the benchmark; windows that are mostly placeholders are left out.  Matching
 windows of one document and item that lie at the same distance form an
 alignment.  Its slots - the values behind the placeholders on both sides -
-must stand in one-to-one correspondence: equal values are verbatim text,
-consistently exchanged ones a re-parameterised question, and anything else is
-a chance meeting of templates, which counts for nothing.
+should stand in one-to-one correspondence: equal values are verbatim text,
+consistently exchanged ones a re-parameterised question.  Anything else is a
+chance meeting of templates, which counts for nothing, unless the alignment
+holds ``WHOLE`` of the item's windows: then the question is there, edited (two
+of its numbers made one, or one number of two changed).
+
+Every token is hashed once; a window's hash combines those of its halves, down
+to the tokens, so no window is ever spelled out.
 
 The other alignments of a document and item are added up (a word put in or left
 out starts a new one).  They are a leak if their windows are ``MIN_COVERAGE`` of
@@ -43,6 +48,7 @@ MIN_COVERAGE = 0.3
 MIN_TOKENS = 0.5
 VERBATIM_RUN = 13
 MIN_NEAR = 0.5
+WHOLE = 0.9
 # windows of the benchmark (some 40 bytes each) and names of texts (16 bytes) that may be shipped to every task
 BROADCAST_WINDOWS = 500_000
 BROADCAST_TEXTS = 1_000_000
@@ -67,7 +73,7 @@ def tokens(text: Column) -> Column:
     number bears a mark (a private-use character, which texts lose first)."""
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     # the capital form of a sharp s is a double s
-    bare = F.replace(F.translate(F.coalesce(text, F.lit("")), MARK, ""), F.lit("ß"), F.lit("ss"))
+    bare = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit("")), F.lit("ß"), F.lit("ss"))
     joined = F.regexp_replace(bare, r"(\d)[.,](?=\d)", "$1")
     marked = F.regexp_replace(joined, rf"(\d)\s*((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1 {MARK}$2")
     parted = F.regexp_replace(marked, r"(\d)(?=\p{L})", "$1 ")
@@ -95,12 +101,34 @@ def folded(words: Column, pattern: Column) -> Column:
                       .otherwise(p))
 
 
-def _windows(pattern: Column, width: int) -> Column:
-    """(at, hash) of every window of ``width`` tokens."""
-    return F.when(F.size(pattern) >= width, F.transform(
-        F.sequence(F.lit(1), F.size(pattern) - width + 1),
-        lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(pattern, i, width), F.lit(width)).alias("hash"),
-                           F.lit(width).alias("width"))))
+def _combined(a: Column, b: Column, shift: int) -> Column:
+    """The hash of each element of ``a`` with the one of ``b`` that lies ``shift`` behind it."""
+    n = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
+def window_hashes(df: DataFrame, columns: list[str], widths: list[int]) -> DataFrame:
+    """``df`` with a column ``<column>_<width>`` for each: the hash of every window of ``width`` of the
+    column's tokens, by place.  Each step is a projection of its own, since every array is used twice."""
+    kept = list(df.columns)
+    df = df.select(*kept, *[F.transform(c, lambda x: F.xxhash64(x)).alias(f"{c}_1_") for c in columns])
+    span, have = 1, [1]
+    while 2 * span <= max(widths):
+        df = df.select("*", *[_combined(F.col(f"{c}_{span}_"), F.col(f"{c}_{span}_"), span).alias(f"{c}_{2 * span}_") for c in columns])
+        span *= 2
+        have.append(span)
+    done = [F.col(c) for c in kept]
+    for w in widths:
+        for c in columns:
+            # a width is the sum of powers of two, the largest first
+            size = max(h for h in have if h <= w)
+            got = F.col(f"{c}_{size}_")
+            while size < w:
+                step = max(h for h in have if h <= w - size)
+                got = _combined(got, F.col(f"{c}_{step}_"), size)
+                size += step
+            done.append(got.alias(f"{c}_{w}"))
+    return df.select(*done)
 
 
 def _longest_run(places: Column) -> Column:
@@ -148,7 +176,7 @@ def _is_slot(x: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(t, item, windows, item_windows, kind): per text (by name) and item the windows of all
-    alignments; kind is that of the largest one, verbatim or reparameterised."""
+    alignments; kind is that of the largest one: verbatim, reparameterised or edited."""
     # -- benchmark windows
     words = tokens(F.col("text"))
     items = (benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
@@ -157,25 +185,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
              .withColumn("width", F.least(F.size("item_pattern"), F.lit(window))))
     items = written(items, "tpl-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    cuts = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - F.col("width") + 1),
-                                 lambda i: F.slice(c, i, F.col("width")))
     items = items.withColumn("item_folded", folded(F.col("item_words"), F.col("item_pattern")))
-    grams = items.select("item", "width", F.lit(True).alias("typed"), F.posexplode(cuts("item_pattern")).alias("item_at", "gram")).unionByName(
-        items.select("item", "width", F.lit(False).alias("typed"), F.posexplode(cuts("item_folded")).alias("item_at", "gram")))
+    grams = None
+    for w in widths:
+        hashed = window_hashes(items.filter(F.col("width") == w).select("item", "item_pattern", "item_folded"), ["item_pattern", "item_folded"], [w])
+        for c, typed in (("item_pattern", True), ("item_folded", False)):
+            part = (hashed.select("item", c, F.posexplode(f"{c}_{w}").alias("item_at", "hash"))
+                    .filter(F.size(F.filter(F.slice(c, F.col("item_at") + 1, w), lambda x: ~_is_slot(x))) * 2 >= w)
+                    .select("item", F.lit(w).alias("width"), "item_at", "hash", F.lit(typed).alias("typed")))
+            grams = part if grams is None else grams.unionByName(part)
+    if grams is None:
+        grams = items.limit(0).select("item", "width", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("hash"), F.lit(True).alias("typed"))
     # windows that read the same in both forms are one
-    grams = (grams.filter(F.size(F.filter("gram", lambda x: ~_is_slot(x))) * 2 >= F.col("width"))
-             .groupBy("item", "width", "item_at", F.xxhash64("gram", "width").alias("hash")).agg(F.max("typed").alias("typed")))
+    grams = grams.groupBy("item", "width", "item_at", "hash").agg(F.max("typed").alias("typed"))
     grams = written(grams, "tpl-windows")
     n_grams = grams.count()
     usable = grams.groupBy("item").agg(F.count_distinct("item_at").alias("item_windows"), F.count_if("typed").alias("item_typed"))
     # -- document windows meet them
     rows = docs.select(F.col(text_col).alias("text"))
-    hashes = F.concat(*[F.coalesce(_windows(F.col(c), w), F.array().cast("array<struct<at:int,hash:bigint,width:int>>"))
-                        for c in ("pattern", "folded") for w in widths or [window]])
-    met = (rows.withColumn("t", text_name(F.col("text"))).select("t", words.alias("words"))
-           .select("t", "words", template(F.col("words")).alias("pattern"))
-           .select("t", "pattern", folded(F.col("words"), F.col("pattern")).alias("folded"))
-           .select("t", F.inline(hashes))
+    forms = (rows.withColumn("t", text_name(F.col("text"))).select("t", words.alias("words"))
+             .select("t", "words", template(F.col("words")).alias("pattern"))
+             .select("t", "pattern", folded(F.col("words"), F.col("pattern")).alias("folded")))
+    widths = widths or [window]
+    forms = window_hashes(forms, ["pattern", "folded"], widths)
+    # the hash of the second form only where it differs
+    both = lambda w: F.zip_with(f"pattern_{w}", f"folded_{w}",
+                                lambda a, b: F.struct(a.alias("a"), F.when(a != b, b).alias("b")))
+    # outer generators: an inner one is preceded by a filter that computes all arrays once more
+    if len(widths) == 1:
+        placed = forms.select("t", F.lit(widths[0]).alias("width"), both(widths[0]).alias("z"))
+    else:
+        each = F.array(*[F.struct(F.lit(w).alias("width"), both(w).alias("z")) for w in widths])
+        placed = forms.select("t", F.explode_outer(each).alias("w")).select("t", "w.width", "w.z")
+    met = (placed.select("t", "width", F.posexplode_outer("z").alias("at", "z"))
+           .select("t", "width", "at", F.explode_outer(F.array("z.a", "z.b")).alias("hash")).filter("hash is not null")
            .join(broadcast_if(grams, n_grams, BROADCAST_WINDOWS), ["hash", "width"]))
     spots = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1))))
     alignments = (met.groupBy("t", "item", (F.col("at") - F.col("item_at")).alias("shift"), "width")
@@ -204,10 +247,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             .withColumn("same", F.forall("slots", lambda s: s["x"].eqNullSafe(s["y"])))
             .withColumn("fits", (F.size(F.array_distinct(F.transform(pairs, lambda s: s["x"]))) == F.size(pairs))
                         & (F.size(F.array_distinct(F.transform(pairs, lambda s: s["y"]))) == F.size(pairs))))
-    best = F.max(F.struct(F.size("places").alias("n"), "same")).alias("best")
-    return (_summed(told.filter("same or fits"), best).filter(_enough(min_coverage))
+    whole = F.size("places") >= F.col("item_windows") * WHOLE
+    best = F.max(F.struct(F.size("places").alias("n"), "same", "fits")).alias("best")
+    return (_summed(told.filter(F.col("same") | F.col("fits") | whole), best).filter(_enough(min_coverage))
             .select("t", "item", F.col("windows").cast("long").alias("windows"), "item_windows",
-                    F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind")))
+                    F.when(F.col("best.same"), "verbatim").when(F.col("best.fits"), "reparameterised").otherwise("edited").alias("kind")))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

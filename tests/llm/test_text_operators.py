@@ -294,10 +294,11 @@ def test_leaks(spark):
                                 (103, "and " + BENCH[1][1] + " passed"), (104, BENCH[4][1].upper()),
                                 (105, "the river that runs through a green field turns south"), (100, BENCH[4][1])])
     got = {(r.doc_id, r.item_id, r.kind) for r in templates.leak_report(docs, bench).collect()}
-    assert got == {(100, 1, "verbatim"), (101, 1, "reparameterised"), (103, 2, "verbatim"), (104, 5, "verbatim"), (100, 5, "verbatim")}
+    assert got == {(100, 1, "verbatim"), (101, 1, "reparameterised"), (103, 2, "verbatim"), (104, 5, "verbatim"), (100, 5, "verbatim"),
+                   (102, 1, "edited")}
     kept = templates.decontaminate(docs, bench)
     assert kept.columns == docs.columns
-    assert kept.count() == docs.count() - 5
+    assert kept.count() == docs.count() - 6
     assert templates.leak_report(empty_docs(spark), bench).collect() == []
     assert templates.leak_report(docs, bench.limit(0)).collect() == []
     assert templates.decontaminate(docs, bench.limit(0)).count() == docs.count()
