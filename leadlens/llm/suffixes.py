@@ -111,13 +111,16 @@ class SuffixLevels:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []      # (first eight bytes, start), in order
         self.repeated = np.zeros(len(data) + 1, bool)              # by start
 
+    def _strings(self, starts: np.ndarray, n: int) -> np.ndarray:
+        if not len(starts):
+            return np.zeros((0, n), np.uint8)
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, n)[starts])
+
     def _spelled(self, starts: np.ndarray) -> np.ndarray:
-        raw = self.data[starts[:, None] + np.arange(self.length)]
-        return raw.view(f"S{self.length}").ravel()
+        return self._strings(starts, self.length).view(f"S{self.length}").ravel()
 
     def _heads(self, starts: np.ndarray) -> np.ndarray:
-        raw = self.data[starts[:, None] + np.arange(8)]
-        return raw.view(">u8").ravel().astype(np.uint64)
+        return self._strings(starts, 8).view(">u8").ravel().astype(np.uint64)
 
     def _place(self, heads: np.ndarray, starts: np.ndarray, level: tuple) -> np.ndarray:
         """For windows in order: the place of each in the level (where its first equal one is or would be)."""
