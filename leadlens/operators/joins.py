@@ -28,16 +28,19 @@ def left_join_on_predicate(left: DataFrame, right: DataFrame, on: str | list[str
     return left.join(right.filter(right_filter), on=on, how="left")
 
 
-def or_join(left: DataFrame, right: DataFrame, arm1: tuple[str, str], arm2: tuple[str, str],
+def or_join(left: DataFrame, right: DataFrame, arm1: tuple[str, str], arm2: tuple[str, str] | None,
             select: list[Column], left_alias: str = "l", right_alias: str = "r") -> DataFrame:
     """Inner join on ``l.a1 = r.b1 OR l.a2 = r.b2`` without a cartesian product.
 
     Pairs matched by the first equi-arm, plus pairs matched only by the second
     (the first arm is NULL or false for them); each pair appears once.
-    ``select`` names the output columns via the two aliases.
+    ``select`` names the output columns via the two aliases.  Without ``arm2`` it is
+    the first arm alone, for keys that the second can never match (D5).
     """
     lft, rgt = left.alias(left_alias), right.alias(right_alias)
     a1 = F.col(f"{left_alias}.{arm1[0]}") == F.col(f"{right_alias}.{arm1[1]}")
+    if arm2 is None:
+        return lft.join(rgt, a1, "inner").select(*select)
     a2 = F.col(f"{left_alias}.{arm2[0]}") == F.col(f"{right_alias}.{arm2[1]}")
     first = lft.join(rgt, a1, "inner").select(*select)
     second = lft.join(rgt, a2 & ~F.coalesce(a1, F.lit(False)), "inner").select(*select)

@@ -1,8 +1,8 @@
 """BI measures evaluated at a chosen grain.
 
 Grains: ``origin`` (one row per channel), ``overall`` (one row) and
-``month`` (calendar year/month: first contact for lead measures, purchase
-for item measures).  The lead-side and item-side aggregates are stacked with
+``month`` (every calendar year/month: first contact for lead measures, purchase
+for item measures, a seller's first order for the days to it).  The lead-side and item-side aggregates are stacked with
 ``unionByName`` and folded by one ``groupBy`` on the grain, so no join is
 needed even for the one-row grain.  Item measures at channel grain use the
 channel's signed sellers as a filter (each item counted once per channel).
@@ -50,21 +50,7 @@ def _lead_side(wh: Warehouse, grain: str) -> DataFrame:
 
 
 def _item_side(wh: Warehouse, grain: str, post_signing_only: bool, windows: tuple[int, int]) -> DataFrame:
-    items = wh["fact_order_item"]
-    if post_signing_only:                                                    # D8 default
-        items = items.filter(F.col("days_after_won") >= 0)
-    live = (F.col("days_after_won") >= 0) & (F.col("order_status") != "canceled")
-    lower = (F.col("days_after_won") >= 0) if post_signing_only else F.lit(True)
-    per_seller_cols = [
-        F.sum("price").alias("rev"), F.sum(F.col("price") + F.col("freight_value")).alias("gmv"),
-        F.sum("freight_value").alias("freight"),
-        F.sum("review_score").alias("review_sum"), F.count("review_score").alias("review_n"),
-        F.sum(F.when(lower & (F.col("days_after_won") <= windows[0]), F.col("price"))).alias("r90"),
-        F.sum(F.when(lower & (F.col("days_after_won") <= windows[1]), F.col("price"))).alias("r180")]
-    # one scan: per-(seller, order) partials, which the fact's buckets hold whole (an order has one
-    # purchase date), then sums and both distinct counts (bitmaps) in one aggregation
-    g = [] if grain == "origin" else _grain_cols(grain, "date_key_purchase")
-    per = items.groupBy("seller_key", "order_id", "order_key", *g).agg(*per_seller_cols, F.max(F.when(live, 1)).alias("_live"))
+    per = _seller_orders(wh, post_signing_only, windows)
     if grain == "origin":
         per = per.join(broadcast_if(bridge(wh, "lead_origin").select("seller_key", "lead_origin"), wh.rows.get("seller_lead")), "seller_key")
     return distinct_counts(per, _keys(grain), {
@@ -73,20 +59,48 @@ def _item_side(wh: Warehouse, grain: str, post_signing_only: bool, windows: tupl
         {c: F.col(c) for c in ("rev", "gmv", "freight", "review_sum", "review_n", "r90", "r180")})
 
 
+def _seller_orders(wh: Warehouse, post_signing_only: bool, windows: tuple[int, int]) -> DataFrame:
+    """One row per (seller, order), with its purchase month: what the measures of every grain add up.
+    The fact's buckets hold an order whole, so this is one scan without a shuffle, written once
+    per warehouse."""
+    def build() -> DataFrame:
+        items = wh["fact_order_item"]
+        if post_signing_only:                                                # D8 default
+            items = items.filter(F.col("days_after_won") >= 0)
+        live = (F.col("days_after_won") >= 0) & (F.col("order_status") != "canceled")
+        lower = (F.col("days_after_won") >= 0) if post_signing_only else F.lit(True)
+        return items.groupBy("seller_key", "order_id", "order_key", *_grain_cols("month", "date_key_purchase")).agg(
+            F.sum("price").alias("rev"), F.sum(F.col("price") + F.col("freight_value")).alias("gmv"),
+            F.sum("freight_value").alias("freight"),
+            F.sum("review_score").alias("review_sum"), F.count("review_score").alias("review_n"),
+            F.sum(F.when(lower & (F.col("days_after_won") <= windows[0]), F.col("price"))).alias("r90"),
+            F.sum(F.when(lower & (F.col("days_after_won") <= windows[1]), F.col("price"))).alias("r180"),
+            F.max(F.when(live, 1)).alias("_live"),
+            F.min(F.when(F.col("days_after_won") >= 0, F.struct("days_after_won", "date_key_purchase"))).alias("first"))
+
+    name = f"seller_orders_{'post' if post_signing_only else 'all'}_{windows[0]}_{windows[1]}"
+    return wh.derived(name, build, aggregated=False)
+
+
+def _first_orders(wh: Warehouse, grain: str, post_signing_only: bool, windows: tuple[int, int]) -> DataFrame:
+    """M10 over view 3 rows; by month, a seller's days belong to the month of that first order."""
+    rows = seller_post_signing(wh)
+    if grain == "month":
+        first = (_seller_orders(wh, post_signing_only, windows).groupBy("seller_key").agg(F.min("first").alias("first"))
+                 .select("seller_key", "first.*").select("seller_key", *_grain_cols("month", "date_key_purchase")))
+        rows = rows.select("seller_key", "days_to_first_order").join(first, "seller_key")
+    return rows.groupBy(*_keys(grain)).agg(F.avg("days_to_first_order").alias("avg_days_to_first_order"))
+
+
 def measures(wh: Warehouse, grain: str = "origin", z: float = 1.96, post_signing_only: bool = True,
              windows: tuple[int, int] = (90, 180), rules: dict[str, float] | None = None) -> DataFrame:
     keys = _keys(grain)
     lead, item = _lead_side(wh, grain), _item_side(wh, grain, post_signing_only, windows)
-    stacked = lead.unionByName(item, allowMissingColumns=True)
-    if grain != "month":
-        m10 = seller_post_signing(wh)                                        # M10 over view 3 rows
-        m10 = (m10.groupBy(*(["lead_origin"] if grain == "origin" else []))
-               .agg(F.avg("days_to_first_order").alias("avg_days_to_first_order")))
-        stacked = stacked.unionByName(m10, allowMissingColumns=True)
-    cols = LEAD_COLS + ITEM_COLS + (["avg_days_to_first_order"] if grain != "month" else [])
-    m = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
-    if grain == "month":
-        m = m.withColumn("avg_days_to_first_order", F.lit(None).cast("double"))
+    stacked = lead.unionByName(item, allowMissingColumns=True).unionByName(
+        _first_orders(wh, grain, post_signing_only, windows), allowMissingColumns=True)
+    if grain == "month":                                                     # every month of the calendar
+        stacked = stacked.unionByName(wh["dim_date"].select("year", "month").distinct(), allowMissingColumns=True)
+    m = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in [*LEAD_COLS, *ITEM_COLS, "avg_days_to_first_order"]])
     mqls = F.coalesce("mqls", F.lit(0)).cast("long")
     closed = F.coalesce("closed_deals", F.lit(0)).cast("long")
     rev = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
@@ -126,14 +140,13 @@ def measures(wh: Warehouse, grain: str = "origin", z: float = 1.96, post_signing
 
 
 def _time_intelligence(monthly: DataFrame) -> DataFrame:
-    """Same month last year (equi-join on year-1) and year-to-date (window per year, <= 12 rows)."""
-    prev = monthly.select((F.col("year") + 1).alias("year"), "month",
-                          F.col("revenue_post_signing").alias("revenue_prev_year"),
-                          F.col("mqls").alias("mqls_prev_year"))
+    """Same month last year and year-to-date.  The calendar has no gaps, so last year is twelve
+    rows back; one row per month, whatever the facts hold."""
+    every = Window.orderBy("year", "month")
     ytd = Window.partitionBy("year").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return (monthly.join(prev, ["year", "month"], "left")
-            .withColumn("revenue_ytd", F.sum("revenue_post_signing").over(ytd))
-            .withColumn("mqls_ytd", F.sum("mqls").over(ytd)))
+    return monthly.select("*", F.lag("revenue_post_signing", 12).over(every).alias("revenue_prev_year"),
+                          F.lag("mqls", 12).over(every).alias("mqls_prev_year"),
+                          F.sum("revenue_post_signing").over(ytd).alias("revenue_ytd"), F.sum("mqls").over(ytd).alias("mqls_ytd"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import month_bucket, pretty_label, ratio_or, short_id
 from ..operators.bitmaps import distinct_counts
-from ..operators.joins import anti, left_join_on_predicate, or_join, semi
+from ..operators.joins import anti, broadcast_if, left_join_on_predicate, or_join, semi
+from ..operators.quantiles import interpolated_quantiles
+from ..sources.published import month_of, publish, published
 from .channel import cac_column
-from .revenue import shared_channel_matrix
+from .revenue import bridge, post_signing_items, shared_channel_matrix
 from .warehouse import Warehouse
 
 
@@ -148,3 +150,48 @@ def labels(wh: Warehouse) -> DataFrame:
     """display label of the channel and short lead id, for every lead."""
     return (wh["fact_lead"].join(wh.dim("dim_origin"), "origin_key")
             .select("mql_id", short_id("mql_id", 3).alias("short_id"), pretty_label("origin_name").alias("origin_label")))
+
+
+def price_quantiles(wh: Warehouse, qs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """A9 over an unbounded domain: interpolated quantiles of the item price per order status, in cents
+    while they are searched for."""
+    items = wh["fact_order_item"].select("order_status", (F.col("price") * 100).cast("long").alias("cents"))
+    return (interpolated_quantiles(items, ["order_status"], "cents", list(qs))
+            .select("order_status", "q", F.round(F.col("cents") / 100, 6).alias("price")))
+
+
+def sketched_orders(wh: Warehouse, log_k: int = 12) -> DataFrame:
+    """A2 by stored sketches: orders per channel from (channel, day) HyperLogLog sketches, beside the exact
+    count; ``within_error`` says whether they differ by at most three standard errors (1.04 / sqrt(2^log_k) each)."""
+    def build() -> DataFrame:
+        items = post_signing_items(wh, exclude_canceled=True)
+        b = broadcast_if(bridge(wh, "lead_origin").select("seller_key", "lead_origin"), wh.rows.get("seller_lead"))
+        per = items.groupBy("seller_key", "order_id", "order_key", "date_key_purchase").agg(F.lit(1).alias("_one")).join(b, "seller_key")
+        return per.groupBy("lead_origin", F.col("date_key_purchase").alias("date_key")).agg(F.hll_sketch_agg("order_key", F.lit(log_k)).alias("orders"))
+
+    sketches = wh.derived(f"order_sketches_{log_k}", build, aggregated=True)
+    about = sketches.groupBy("lead_origin").agg(F.hll_sketch_estimate(F.hll_union_agg("orders")).alias("estimate"))
+    exact = shared_channel_matrix(wh).filter("total_orders > 0").select("lead_origin", F.col("total_orders").alias("orders"))
+    bound = F.col("orders") * (3 * 1.04 / (1 << log_k) ** 0.5)
+    return exact.join(about, "lead_origin", "left").select(
+        "lead_origin", "orders", (F.abs(F.col("estimate") - F.col("orders")) <= F.greatest(bound, F.lit(1.0))).alias("within_error"))
+
+
+def published_facts(wh: Warehouse) -> DataFrame:
+    """Both facts refreshed as month-partitioned published versions and read back from them, by month."""
+    parts = []
+    for name, key, amount in (("fact_lead", "date_key_first_contact", F.col("is_won")), ("fact_order_item", "date_key_purchase", F.col("price"))):
+        root = f"{wh.path}/published/{name}"
+        publish(wh[name].withColumn("year_month", month_of(key)), root, "year_month")
+        parts.append(published(wh.spark, root).groupBy("year_month").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(amount).cast("double").alias("amount"))
+            .select(F.lit(name).alias("fact"), F.col("year_month").cast("int").alias("year_month"), "n_rows", "amount"))
+    return parts[0].unionByName(parts[1])
+
+
+def or_join_key_arm(wh: Warehouse) -> DataFrame:
+    """J5 with its key arm only (D5): (seller, lead) pairs with seller_key = lead.seller_key."""
+    return or_join(wh["dim_seller"].select("seller_key", "seller_id"),
+                   wh["fact_lead"].select("lead_key", "mql_id", "seller_key"),
+                   ("seller_key", "seller_key"), None,
+                   select=[F.col("l.seller_id").alias("seller_id"), F.col("r.mql_id").alias("mql_id")])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf_col
@@ -151,14 +151,15 @@ def logrank_pairwise(wh: Warehouse) -> DataFrame:
                     .alias("chi2_stat"))
 
 
-def logrank_components(wh: Warehouse) -> DataFrame:
+def logrank_components(wh: Warehouse, digits: int | None = 6) -> DataFrame:
     """T5 (fixes D2): the terms of the k-sample log-rank statistic in long form.
 
     One row per pair of channels (origin_a <= origin_b): ``v`` is the covariance
     of the two channels' observed minus expected events, ``z`` their own excess
-    (on the diagonal).  The statistic is z' V^-1 z over all channels but one; any
-    linear-algebra library solves it from these k(k+1)/2 rows.
+    (on the diagonal).  The statistic is z' V^-1 z over all channels but one
+    (``logrank_k``).  ``digits`` rounds the terms, None leaves them as they are.
     """
+    shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     g = _risk_grid(wh)
     tot = g.groupBy("t").agg(F.sum("n_g").alias("n"), F.sum("d_g").alias("d"))
     g = g.join(tot, "t").withColumn("a", F.col("n_g") / F.col("n")).withColumn(
@@ -170,8 +171,44 @@ def logrank_components(wh: Warehouse) -> DataFrame:
     same = F.col("origin_a") == F.col("origin_b")
     return (left.join(right, (left.t == right.t) & (F.col("origin_a") <= F.col("origin_b")))
             .groupBy("origin_a", "origin_b")
-            .agg(F.round(F.sum(F.when(same, F.col("x"))), 6).alias("z"),
-                 F.round(F.sum(F.col("w") * F.col("ai") * (F.when(same, 1.0).otherwise(0.0) - F.col("aj"))), 6).alias("v")))
+            .agg(shown(F.sum(F.when(same, F.col("x")))).alias("z"),
+                 shown(F.sum(F.col("w") * F.col("ai") * (F.when(same, 1.0).otherwise(0.0) - F.col("aj")))).alias("v")))
+
+
+def logrank_k(wh: Warehouse) -> DataFrame:
+    """T5: the k-sample log-rank statistic over all channels, its degrees of freedom and p-value.
+
+    The covariance matrix of all channels but the last and the excess vector z are one array of
+    rows [V | z] (at most channels squared numbers).  Elimination runs down its pivots inside one
+    ``aggregate``: after the steps before it, pivot d and its right-hand side e add e^2 / d to
+    z' V^-1 z.  A pivot of (nearly) nothing - a channel whose leads leave the risk set at once -
+    adds neither to the statistic nor to the degrees of freedom.
+    """
+    terms = logrank_components(wh, digits=None)
+    both = terms.select(F.col("origin_a").alias("r"), F.col("origin_b").alias("c"), "v", "z").unionByName(
+        terms.filter("origin_a <> origin_b").select(F.col("origin_b").alias("r"), F.col("origin_a").alias("c"), "v", F.lit(None).cast("double").alias("z")))
+    rows = both.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("cells"), F.max("z").alias("z"))
+    system = rows.agg(F.array_sort(F.collect_list(F.struct("r", "cells", "z"))).alias("rows"))
+    k = F.size("rows")
+    # all channels but the last, each row with its excess behind it
+    matrix = F.transform(F.slice("rows", 1, F.greatest(k - 1, F.lit(0))), lambda r: F.concat(
+        F.transform(F.slice(r["cells"], 1, F.greatest(k - 1, F.lit(0))), lambda c: c["v"]), F.array(r["z"])))
+    start = F.struct(F.col("m").alias("m"), F.lit(0.0).alias("chi2"), F.lit(0).alias("dof"))
+
+    def step(s: Column, i: Column) -> Column:
+        pivot = F.get(s["m"], i)
+        d, e = F.get(pivot, i), F.element_at(pivot, -1)
+        sound = d > 1e-9
+        cleared = F.transform(s["m"], lambda row, j: F.when((j > i) & sound, F.zip_with(
+            row, pivot, lambda x, y: x - F.get(row, i) / d * y)).otherwise(row))
+        return F.struct(cleared.alias("m"), (s["chi2"] + F.when(sound, e * e / d).otherwise(0.0)).alias("chi2"),
+                        (s["dof"] + F.when(sound, 1).otherwise(0)).alias("dof"))
+
+    solved = system.select(matrix.alias("m")).filter(F.size("m") > 0).select(
+        F.aggregate(F.sequence(F.lit(0), F.size("m") - 1), start, step).alias("s"))
+    p = chi2_sf_col(F.col("s.chi2"), F.col("s.dof"))
+    return solved.select(F.round("s.chi2", 4).alias("chi2_stat"), F.col("s.dof").alias("degrees_of_freedom"),
+                         F.round(p, 9).alias("p_value"), (p < 0.05).alias("is_statistically_significant"))
 
 
 # ---------------------------------------------------------------- T6/T7 deals with revenue

@@ -133,10 +133,12 @@ def _ledger(wh: Warehouse) -> None:
 
 def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                     date_range: tuple[str, str] | None = None, out_path: str | None = None,
-                    land: bool = True, corrupt: DataFrame | None = None) -> Warehouse:
+                    land: bool = True, corrupt: DataFrame | None = None, id_arm: bool = True) -> Warehouse:
     """``land``: write the raw inputs once as parquet first (right for CSV
     sources, which the build scans several times).  ``corrupt``: (table, key, record) of
-    the raw rows that did not parse (``sources.raw.read_rejects``), for the reject stream."""
+    the raw rows that did not parse (``sources.raw.read_rejects``), for the reject stream.
+    ``id_arm``: bridge sellers to leads by id as well as by key (D5); without it the leads are
+    read once less."""
     path = out_path or scratch_path(spark, "warehouse", unique_name("wh"))
     if land:
         raw = land_raw(spark, raw, f"{path}/raw")
@@ -160,7 +162,7 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
     bridge = or_join(wh["dim_seller"].select("seller_key", "seller_id"),
                      wh["fact_lead"].select("lead_key", "mql_id", "seller_key", "origin_key",
                                             "segment_key", "is_won"),
-                     ("seller_key", "seller_key"), ("seller_id", "mql_id"),
+                     ("seller_key", "seller_key"), ("seller_id", "mql_id") if id_arm else None,
                      select=[F.col("l.seller_key").alias("seller_key"), F.col("l.seller_id").alias("seller_id"),
                              *[F.col(f"r.{c}") for c in ("lead_key", "mql_id", "origin_key", "segment_key", "is_won")]])
 

@@ -56,11 +56,19 @@ m AS (SELECT * FROM ls, its, m10)"""
         keys, ctes = ["year", "month"], f"""
 ls AS (SELECT {_MONTH['lead']}, {lead_aggs} FROM fact_lead f GROUP BY 1, 2),
 its AS (SELECT {_MONTH['item']}, {item_aggs} FROM fact_order_item i WHERE i.days_after_won >= 0 GROUP BY 1, 2),
-m AS (SELECT COALESCE(ls.year, its.year) AS year, COALESCE(ls.month, its.month) AS month,
+{v3},
+opening AS (SELECT seller_key, CAST(floor(d / 100) AS INTEGER) AS ym
+            FROM (SELECT seller_key, arg_min(date_key_purchase, (days_after_won, date_key_purchase)) AS d
+                  FROM fact_order_item WHERE days_after_won >= 0 GROUP BY seller_key) f),
+m10 AS (SELECT ym, AVG(first_day) AS days FROM placed JOIN after USING (seller_key) JOIN opening USING (seller_key) GROUP BY ym),
+cal AS (SELECT DISTINCT year, month FROM dim_date),
+m AS (SELECT cal.year, cal.month,
              ls.mqls, ls.closed_deals, ls.median_days_to_close, ls.p75_days_to_close,
              its.rev, its.gmv, its.freight, its.active_sellers, its.orders, its.review_sum, its.review_n, its.r90, its.r180,
-             CAST(NULL AS DOUBLE) AS avg_days_to_first_order
-      FROM ls FULL OUTER JOIN its ON ls.year = its.year AND ls.month = its.month)"""
+             m10.days AS avg_days_to_first_order
+      FROM cal LEFT JOIN ls ON ls.year = cal.year AND ls.month = cal.month
+      LEFT JOIN its ON its.year = cal.year AND its.month = cal.month
+      LEFT JOIN m10 ON m10.ym = cal.year * 100 + cal.month)"""
     z = lambda e: f"COALESCE({e}, CAST(0.0 AS DOUBLE))"
     d = lambda e: f"CAST({e} AS DOUBLE)"
     mq, cl = "CAST(COALESCE(mqls, 0) AS BIGINT)", "CAST(COALESCE(closed_deals, 0) AS BIGINT)"
@@ -103,12 +111,11 @@ b4 AS (SELECT *, conversion_rate - overall_conversion_rate AS conversion_vs_over
     if grain != "month":
         return O.q(f"SELECT {sel} FROM b4", ctes + "," + body)
     ti = """,
-b5 AS (SELECT b.*, p.revenue_post_signing AS revenue_prev_year, p.mqls AS mqls_prev_year,
-              SUM(b.revenue_post_signing) OVER (PARTITION BY b.year ORDER BY b.month
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS revenue_ytd,
-              SUM(b.mqls) OVER (PARTITION BY b.year ORDER BY b.month
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mqls_ytd
-       FROM b4 b LEFT JOIN b4 p ON p.year + 1 = b.year AND p.month = b.month)"""
+b5 AS (SELECT b.*, LAG(revenue_post_signing, 12) OVER (ORDER BY year, month) AS revenue_prev_year,
+              LAG(mqls, 12) OVER (ORDER BY year, month) AS mqls_prev_year,
+              SUM(revenue_post_signing) OVER (PARTITION BY year ORDER BY month ROWS UNBOUNDED PRECEDING) AS revenue_ytd,
+              SUM(mqls) OVER (PARTITION BY year ORDER BY month ROWS UNBOUNDED PRECEDING) AS mqls_ytd
+       FROM b4 b)"""
     sel += (f", {rnd('revenue_prev_year', 6)} AS revenue_prev_year, mqls_prev_year, "
             f"{rnd('revenue_ytd', 6)} AS revenue_ytd, CAST(mqls_ytd AS BIGINT) AS mqls_ytd")
     return O.q(f"SELECT {sel} FROM b5", ctes + "," + body + ti)

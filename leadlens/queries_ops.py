@@ -236,10 +236,16 @@ def q_csv_roundtrip(wh: Warehouse) -> DataFrame:
 
 
 @register("json_roundtrip", O.q("""
-SELECT lead_origin, total_mqls, closed_deals, conversion_rate, activation_rate FROM cm""", CHANNEL_MATRIX_CTE))
+SELECT lead_origin, total_mqls, closed_deals, conversion_rate, activation_rate FROM cm
+UNION ALL SELECT 'not finite ' || lead_origin, total_mqls, closed_deals, NULL, NULL FROM cm""", CHANNEL_MATRIX_CTE))
 def q_json_roundtrip(wh: Warehouse) -> DataFrame:
     """The channel matrix written as JSON records (non-finite numbers as null) and read back."""
     table = shared_channel_matrix(wh).select("lead_origin", "total_mqls", "closed_deals", "conversion_rate", "activation_rate")
+    # each channel once more, with a NaN and an infinite rate
+    odd = table.select(F.concat(F.lit("not finite "), "lead_origin").alias("lead_origin"), "total_mqls", "closed_deals",
+                       F.lit(float("nan")).alias("conversion_rate"),
+                       F.when(F.col("total_mqls") % 2 == 0, float("inf")).otherwise(float("-inf")).alias("activation_rate"))
+    table = table.unionByName(odd)
     path = scratch_path(wh.spark, "json", unique_name("matrix"))
     write_json(table, path)
     return wh.spark.read.schema(table.schema).json(path)
@@ -264,3 +270,38 @@ def q_corrupt_rejects(wh: Warehouse) -> DataFrame:
     parts = (parsed_rows(rows).select(F.lit("read").alias("outcome"), "order_id")
              .unionByName(rejected_rows(rows).select(F.lit("rejected").alias("outcome"), F.col("key").alias("order_id"))))
     return parts.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("order_id").alias("orders"))
+
+
+@register("op_price_quantiles", O.q(f"""
+SELECT order_status, q, {rnd('quantile_cont(CAST(price AS DOUBLE), 0.05)', 6)} AS price FROM fact_order_item, (SELECT CAST(0.05 AS DOUBLE) AS q) t GROUP BY 1, 2
+""" + "".join(f"""UNION ALL
+SELECT order_status, CAST({q} AS DOUBLE), {rnd(f'quantile_cont(CAST(price AS DOUBLE), {q})', 6)} FROM fact_order_item GROUP BY order_status
+""" for q in (0.25, 0.5, 0.75, 0.95))))
+def q_price_quantiles(wh: Warehouse) -> DataFrame:
+    """A9 interpolated price quantiles per order status, by range refinement."""
+    return P.price_quantiles(wh)
+
+
+@register("op_sketched_orders", O.q("""
+SELECT o.origin_name AS lead_origin, COUNT(DISTINCT i.order_id) AS orders, TRUE AS within_error
+FROM fact_order_item i JOIN seller_lead s ON s.seller_key = i.seller_key JOIN dim_origin o ON o.origin_key = s.origin_key
+WHERE i.days_after_won >= 0 AND i.order_status <> 'canceled' GROUP BY 1"""))
+def q_sketched_orders(wh: Warehouse) -> DataFrame:
+    """A2 orders per channel from stored (channel, day) sketches, held against the exact count."""
+    return P.sketched_orders(wh)
+
+
+@register("refresh_fact", O.q("""
+SELECT 'fact_lead' AS fact, date_key_first_contact // 100 AS year_month, COUNT(*) AS n_rows, CAST(SUM(is_won) AS DOUBLE) AS amount
+FROM fact_lead GROUP BY 2
+UNION ALL SELECT 'fact_order_item', date_key_purchase // 100, COUNT(*), CAST(SUM(price) AS DOUBLE) FROM fact_order_item GROUP BY 2"""))
+def q_refresh_fact(wh: Warehouse) -> DataFrame:
+    """S5 both facts published as month-partitioned versions, read back by month."""
+    return P.published_facts(wh)
+
+
+@register("op_or_join_key_arm", O.q("""
+SELECT s.seller_id, l.mql_id FROM dim_seller s JOIN fact_lead l USING (seller_key)"""))
+def q_or_join_key_arm(wh: Warehouse) -> DataFrame:
+    """J5 with the key arm only."""
+    return P.or_join_key_arm(wh)

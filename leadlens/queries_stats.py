@@ -93,22 +93,57 @@ def q_logrank_pairwise(wh: Warehouse) -> DataFrame:
     return stats.logrank_pairwise(wh)
 
 
-@register("logrank_components", O.q(f"""
-SELECT a.origin AS origin_a, b.origin AS origin_b,
-       {rnd('SUM(CASE WHEN a.origin = b.origin THEN a.d_g - a.d * a.share END)', 6)} AS z,
-       {rnd('SUM(a.w * a.share * (CASE WHEN a.origin = b.origin THEN 1 ELSE 0 END - b.share))', 6)} AS v
-FROM grid a JOIN grid b ON a.t = b.t AND a.origin <= b.origin GROUP BY a.origin, b.origin""", _KM + """,
+_GRID = """,
 times AS (SELECT DISTINCT t FROM dur WHERE e = 1),
 ar AS (SELECT dur.origin, times.t, COUNT(*) AS n_g, SUM(CASE WHEN dur.t = times.t AND dur.e = 1 THEN 1 ELSE 0 END) AS d_g
        FROM dur JOIN times ON dur.t >= times.t GROUP BY dur.origin, times.t),
 grid AS (SELECT origin, t, d_g, CAST(d AS DOUBLE) AS d, CAST(n_g AS DOUBLE) / n AS share,
                 CASE WHEN n > 1 THEN CAST(d * (n - d) AS DOUBLE) / (n - 1) ELSE CAST(0.0 AS DOUBLE) END AS w
-         FROM (SELECT *, SUM(n_g) OVER (PARTITION BY t) AS n, SUM(d_g) OVER (PARTITION BY t) AS d FROM ar) q)"""))
+         FROM (SELECT *, SUM(n_g) OVER (PARTITION BY t) AS n, SUM(d_g) OVER (PARTITION BY t) AS d FROM ar) q)"""
+
+
+@register("logrank_components", O.q(f"""
+SELECT a.origin AS origin_a, b.origin AS origin_b,
+       {rnd('SUM(CASE WHEN a.origin = b.origin THEN a.d_g - a.d * a.share END)', 6)} AS z,
+       {rnd('SUM(a.w * a.share * (CASE WHEN a.origin = b.origin THEN 1 ELSE 0 END - b.share))', 6)} AS v
+FROM grid a JOIN grid b ON a.t = b.t AND a.origin <= b.origin GROUP BY a.origin, b.origin""", _KM + _GRID))
 def q_logrank_components(wh: Warehouse) -> DataFrame:
     """T5 terms of the k-sample log-rank statistic across all origins."""
     return stats.logrank_components(wh)
 
 
+def _solve_sql(pivots: int) -> str:
+    """Gauss steps over a long table (r, c, x), c = 0 the right-hand side: one table a pivot."""
+    ctes = [f"""
+num AS (SELECT origin, ROW_NUMBER() OVER (ORDER BY origin) AS i, COUNT(*) OVER () AS k FROM (SELECT DISTINCT origin FROM grid) o),
+e0 AS MATERIALIZED (
+  SELECT p.i AS r, q.i AS c, SUM(a.w * a.share * (CASE WHEN a.origin = b.origin THEN 1 ELSE 0 END - b.share)) AS x
+  FROM grid a JOIN grid b ON a.t = b.t JOIN num p ON p.origin = a.origin JOIN num q ON q.origin = b.origin
+  WHERE p.i < p.k AND q.i < q.k GROUP BY 1, 2
+  UNION ALL SELECT p.i, 0, SUM(a.d_g - a.d * a.share) FROM grid a JOIN num p ON p.origin = a.origin WHERE p.i < p.k GROUP BY 1)"""]
+    for n in range(1, pivots + 1):
+        before = f"e{n - 1}"
+        ctes.append(f"""
+e{n} AS MATERIALIZED (
+  SELECT m.r, m.c, CASE WHEN m.r > {n} AND d.x > CAST(1e-9 AS DOUBLE) THEN m.x - f.x / d.x * y.x ELSE m.x END AS x
+  FROM {before} m LEFT JOIN {before} d ON d.r = {n} AND d.c = {n} LEFT JOIN {before} f ON f.r = m.r AND f.c = {n}
+  LEFT JOIN {before} y ON y.r = {n} AND y.c = m.c)""")
+    return ",".join(ctes) + f""",
+pivots AS (SELECT d.r, d.x AS d, b.x AS b FROM e{pivots} d JOIN e{pivots} b ON b.r = d.r AND b.c = 0 WHERE d.c = d.r AND d.x > CAST(1e-9 AS DOUBLE)),
+stat AS (SELECT SUM(b * b / d) AS chi2, COUNT(*) AS dof FROM pivots)"""
+
+
+@register("logrank_k", O.q(f"""
+SELECT {rnd('chi2', 4)} AS chi2_stat, CAST(dof AS INTEGER) AS degrees_of_freedom, {rnd('p', 9)} AS p_value, p < 0.05 AS is_statistically_significant
+FROM (SELECT *, CASE WHEN chi2 <= 0 THEN CAST(1.0 AS DOUBLE) WHEN h > 600 AND h > 4 * a THEN CAST(0.0 AS DOUBLE)
+             ELSE greatest(CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) - (
+               SELECT SUM(exp((a + i) * ln(h) - h - lgamma(a + i + 1))) FROM range(0, 3000) r(i))) END AS p
+      FROM (SELECT *, chi2 / 2 AS h, dof / CAST(2.0 AS DOUBLE) AS a FROM stat) x) y""", _KM + _GRID + "," + _solve_sql(10)))
+def q_logrank_k(wh: Warehouse) -> DataFrame:
+    """T5 k-sample log-rank test across all origins: statistic, degrees of freedom, p-value."""
+    return stats.logrank_k(wh)
+
+
 _DEALS = """
 rev AS (SELECT seller_key, SUM(price) AS rev FROM fact_order_item WHERE days_after_won >= 0 GROUP BY seller_key),
 deals AS (SELECT f.lead_key, o.origin_name AS origin, s.segment_name AS segment,
