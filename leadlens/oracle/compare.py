@@ -1,11 +1,13 @@
 """Local stand-in for the driver's check: Spark result vs DuckDB twin.
 
 Compares row count, column names and an order-insensitive hash of values
-(floats rounded to 9 significant digits so both engines' text forms agree).
+(floats rounded to 12 significant digits so both engines' text forms agree; integers and
+decimals exactly).
 """
 
 from __future__ import annotations
 
+import decimal
 import hashlib
 import math
 from collections.abc import Callable
@@ -28,20 +30,19 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NULL"
-        return f"{v:.9g}"
-    try:
-        import decimal
-        if isinstance(v, decimal.Decimal):
-            return f"{float(v):.9g}"
-    except Exception:  # noqa: BLE001
-        pass
+        return _plain(f"{v:.12g}")
     if isinstance(v, bool):
         return str(int(v))
-    if isinstance(v, int):
-        return f"{float(v):.9g}"
+    if isinstance(v, (int, decimal.Decimal)):
+        return _plain(str(v))
     return str(v)
 
 
+def _plain(text: str) -> str:
+    """One text for a number of whichever type: 2, 2.0 and 2E+0 are equal."""
+    return format(decimal.Decimal(text).normalize(), "f")
+
+
 def table_hash(columns: list[str], rows: list[tuple]) -> str:
     order = sorted(range(len(columns)), key=lambda i: columns[i].lower())
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_text, money_text, pct_text, roi_band, safe_ratio
+from . import texts
 
 # Estimated acquisition cost per lead by channel, and the
 # default for channels not listed.
@@ -78,6 +79,10 @@ REC_RULES = {"scale_conv": 0.10, "scale_rev": 500.0, "sdr_conv": 0.08, "sdr_days
              "landing_conv": 0.07, "landing_rev": 600.0}
 
 
+def _filled(text: str, shown: dict[str, Column]) -> Column:
+    return F.concat(*[shown[part] if slot else F.lit(part) for slot, part in texts.pieces(text)])
+
+
 def recommendations(matrix: DataFrame, rules: dict[str, float] | None = None) -> DataFrame:
     """First matching rule per channel -> strategy, badge, action, rationale."""
     r = {**REC_RULES, **(rules or {})}
@@ -87,22 +92,10 @@ def recommendations(matrix: DataFrame, rules: dict[str, float] | None = None) ->
             .when((conv >= r["sdr_conv"]) & (days > r["sdr_days"]), 2)
             .when((conv < r["landing_conv"]) & (rev >= r["landing_rev"]), 3)
             .otherwise(4))
-    pick = lambda *vals: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in vals]), F.col("_rule"))
-    strategy = pick("DOUBLE DOWN (Scale Spend)", "ACCELERATE SDR WORKFLOW",
-                    "OPTIMIZE LANDING PAGE & TARGETING", "DEPRECATE OR REALLOCATE SPEND")
-    badge = pick("success", "warning", "info", "danger")
-    action = pick(
-        "Primary growth engine. Increase monthly marketing budget by 25-35%. Scale CAC budget.",
-        "Shorten sales cycle by assigning senior SDRs and automating lead routing.",
-        "Redesign top landing pages, tighten lead qualification criteria, and run A/B copy tests.",
-        "Reduce ad spend by 40% and reallocate capital into Paid Search and Referral.")
-    ct, mt = pct_text(conv), money_text(rev)
-    reason = pick(
-        F.concat(F.lit("High conversion ("), ct, F.lit(") and strong post-signing revenue per deal ("), mt, F.lit(").")),
-        F.concat(F.lit("Solid conversion ("), ct, F.lit(") but bottlenecked by slow closing speed ("),
-                 F.format_number(days, 1), F.lit(" days).")),
-        F.concat(F.lit("Low conversion ("), ct, F.lit(") but high revenue per converted seller ("), mt, F.lit(").")),
-        F.concat(F.lit("Sub-par conversion ("), ct, F.lit(") and low post-signing monetization ("), mt, F.lit(").")))
+    shown = {"conversion": pct_text(conv), "revenue": money_text(rev), "days": F.format_number(days, 1)}
+    by_rule = lambda values: F.element_at(F.array(*values), F.col("_rule"))
+    strategy, badge, action = (by_rule([F.lit(r[k]) for r in texts.RECOMMENDATIONS]) for k in range(3))
+    reason = by_rule([_filled(r[3], shown) for r in texts.RECOMMENDATIONS])
     return (matrix.withColumn("_rule", rule).select(
         F.col("lead_origin").alias("origin"), strategy.alias("strategy"), badge.alias("badge_color"),
         F.round(conv * 100, 2).alias("conversion_rate"),
@@ -126,25 +119,13 @@ def anomalies(matrix: DataFrame, rules: dict[str, float] | None = None) -> DataF
                       F.stddev_samp("conversion_rate").over(every).alias("_sd"))
     conv, mqls, act = F.col("conversion_rate"), F.col("total_mqls"), F.col("activation_rate")
     rev, days = F.col("revenue_per_closed_deal"), F.col("avg_days_to_close")
-    alert = lambda cond, typ, sev, metric, insight, rec: F.when(cond, F.struct(
-        F.lit(typ).alias("type"), F.lit(sev).alias("severity"), metric.alias("metric"),
-        F.lit(insight).alias("insight"), F.lit(rec).alias("recommendation")))
-    alerts = F.array(
-        alert((mqls >= r["volume_mqls"]) & (conv < F.col("_mean") - r["volume_sd"] * F.col("_sd")),
-              "Volume Trap Anomaly", "HIGH",
-              F.concat(F.lit("MQLs: "), count_text(mqls), F.lit(" | Conversion: "), pct_text(conv)),
-              "Channel produces high lead volume but severely underperforms in conversion.",
-              "Enforce strict MQL lead scoring threshold before sending to SDRs."),
-        alert((conv >= r["leak_conv"]) & (act < r["leak_act"]),
-              "Post-Signing Activation Leakage", "CRITICAL",
-              F.concat(F.lit("Conversion: "), pct_text(conv), F.lit(" | Activation: "), pct_text(act)),
-              "Sellers sign contracts but fail to list catalog products post-onboarding.",
-              "Implement 14-day mandatory Seller Onboarding Concierge program."),
-        alert((rev >= r["slow_rev"]) & (days > r["slow_days"]),
-              "Sales Velocity Bottleneck", "MEDIUM",
-              F.concat(F.lit("Rev/Deal: "), money_text(rev), F.lit(" | Days to Close: "), F.format_number(days, 1)),
-              "High-value leads take over 3 weeks to sign contract.",
-              "Provide fast-track contract templates and dedicated SR incentives."))
+    shown = {"mqls": count_text(mqls), "conversion": pct_text(conv), "activation": pct_text(act), "revenue": money_text(rev),
+             "days": F.format_number(days, 1)}
+    tests = [(mqls >= r["volume_mqls"]) & (conv < F.col("_mean") - r["volume_sd"] * F.col("_sd")),
+             (conv >= r["leak_conv"]) & (act < r["leak_act"]), (rev >= r["slow_rev"]) & (days > r["slow_days"])]
+    alerts = F.array(*[F.when(test, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), _filled(metric, shown).alias("metric"),
+                                             F.lit(insight).alias("insight"), F.lit(advice).alias("recommendation")))
+                       for test, (kind, severity, metric, insight, advice) in zip(tests, texts.ANOMALIES)])
     return (m.select(F.col("lead_origin").alias("origin"),
                      F.explode(F.filter(alerts, lambda a: a.isNotNull())).alias("a"))
              .select("a.type", "a.severity", "origin", "a.metric", "a.insight", "a.recommendation"))
@@ -154,10 +135,11 @@ def performance_tag(conv: Column, rev_deal: Column, median_days: Column,
                     rules: dict[str, float] | None = None) -> Column:
     """The DAX tag (median days where R1 uses mean days)."""
     r = {**REC_RULES, **(rules or {})}
-    return (F.when((conv >= r["scale_conv"]) & (rev_deal >= r["scale_rev"]), "1. Top Performing (Scale Spend)")
-            .when((conv >= r["sdr_conv"]) & (median_days > r["sdr_days"]), "2. High Conv / Slow Speed (Optimize SDR)")
-            .when((conv < r["landing_conv"]) & (rev_deal >= r["landing_rev"]), "3. Low Conv / High Rev (Fix Landing Page)")
-            .otherwise("4. Underperforming (Reallocate Spend)"))
+    top, slow, page, rest = texts.PERFORMANCE_TAGS
+    return (F.when((conv >= r["scale_conv"]) & (rev_deal >= r["scale_rev"]), top)
+            .when((conv >= r["sdr_conv"]) & (median_days > r["sdr_days"]), slow)
+            .when((conv < r["landing_conv"]) & (rev_deal >= r["landing_rev"]), page)
+            .otherwise(rest))
 
 
 # The simulator's budget slider, -50% .. +50% in steps of 5.
@@ -185,6 +167,10 @@ def _project(ch: DataFrame, pct: Column) -> list[Column]:
     return [new_mqls, new_deals]
 
 
+# channels that may ride with every scenario
+MOST_CHANNELS = 10_000
+
+
 def scenario_projection(matrix: DataFrame, scenarios: DataFrame,
                         cac: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Projected MQLs, deals and revenue per (scenario, channel), and scenario totals.
@@ -197,13 +183,14 @@ def scenario_projection(matrix: DataFrame, scenarios: DataFrame,
     """
     ch = matrix.select(F.col("lead_origin").alias("origin"), "total_mqls", "closed_deals", "conversion_rate",
                        "revenue_per_closed_deal", cac_column("lead_origin", cac).alias("cac"))
-    # all channels ride with each scenario as one array (a one-row side, joined on a constant)
-    channels = ch.agg(F.collect_list(F.struct(*ch.columns)).alias("channels")).withColumn("_one", F.lit(1))
+    # the channels are one array, a scalar subquery that is computed once (their number is checked)
+    if (n := matrix.count()) > MOST_CHANNELS:
+        raise ValueError(f"{n} channels; scenarios take at most {MOST_CHANNELS}")
     listed = (scenarios.groupBy("scenario_id", "origin").agg(F.max("change_pct").alias("change_pct"))
               .groupBy("scenario_id").agg(F.map_from_entries(F.collect_list(F.struct("origin", "change_pct"))).alias("changes")))
-    grid = (listed.withColumn("_one", F.lit(1)).join(F.broadcast(channels), "_one")
-            .select("scenario_id", "changes", F.explode("channels").alias("c")).select("scenario_id", "changes", "c.*")
-            .withColumn("change_pct", F.coalesce(F.try_element_at("changes", F.col("origin")), F.lit(0.0))))
+    grid = matrix.sparkSession.sql(
+        "SELECT scenario_id, changes, inline((SELECT collect_list(struct(*)) FROM {ch})) FROM {listed}", ch=ch, listed=listed)
+    grid = grid.withColumn("change_pct", F.coalesce(F.try_element_at("changes", F.col("origin")), F.lit(0.0)))
     rd = F.coalesce(F.col("revenue_per_closed_deal"), F.lit(0.0))
     mq, dl = _project(grid, F.col("change_pct"))
     rows = grid.select("scenario_id", "origin", F.col("change_pct").alias("budget_change_pct"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 from .oracle import sql as O
 from .oracle.sql import rnd
-from .plans import measures
+from .plans import measures, texts
+from .plans.channel import REC_RULES
 from .plans.warehouse import Warehouse
 from .queries_analytics import FIXTURE_REC_RULES, VIEW3_CTE
 from .registry import register
@@ -92,12 +93,10 @@ FROM m"""
         rank = "CAST(DENSE_RANK() OVER (ORDER BY revenue_per_closed_deal DESC) AS INTEGER)"
     else:
         over, rank = "conversion_rate", "CAST(NULL AS INTEGER)"
-    tag = (f"CASE WHEN conversion_rate >= {r['scale_conv']} AND revenue_per_closed_deal >= {r['scale_rev']} "
-           f"THEN '1. Top Performing (Scale Spend)' "
-           f"WHEN conversion_rate >= {r['sdr_conv']} AND median_days_to_close > {r['sdr_days']} "
-           f"THEN '2. High Conv / Slow Speed (Optimize SDR)' "
-           f"WHEN conversion_rate < {r['landing_conv']} AND revenue_per_closed_deal >= {r['landing_rev']} "
-           f"THEN '3. Low Conv / High Rev (Fix Landing Page)' ELSE '4. Underperforming (Reallocate Spend)' END")
+    top, slow, page, rest = (f"'{t}'" for t in texts.PERFORMANCE_TAGS)
+    tag = (f"CASE WHEN conversion_rate >= {r['scale_conv']} AND revenue_per_closed_deal >= {r['scale_rev']} THEN {top} "
+           f"WHEN conversion_rate >= {r['sdr_conv']} AND median_days_to_close > {r['sdr_days']} THEN {slow} "
+           f"WHEN conversion_rate < {r['landing_conv']} AND revenue_per_closed_deal >= {r['landing_rev']} THEN {page} ELSE {rest} END")
     dcols = ["conversion_rate", "wilson_ci_lower", "wilson_ci_upper", "median_days_to_close", "p75_days_to_close",
              "avg_days_to_first_order", "revenue_post_signing", "total_gmv", "revenue_per_closed_deal",
              "activation_rate", "revenue_per_active_seller", "average_order_value", "avg_review_score",
@@ -147,3 +146,9 @@ _TAG_COLS = ["lead_origin", "conversion_rate", "revenue_per_closed_deal", "media
 def q_performance_tag(wh: Warehouse) -> DataFrame:
     """The DAX performance tag per channel, with the three inputs it reads."""
     return measures.rounded(measures.measures(wh, "origin", rules=FIXTURE_REC_RULES)).select(*_TAG_COLS)
+
+
+@register("performance_tag_default_rules", "SELECT " + ", ".join(_TAG_COLS) + " FROM (" + _measures_sql("origin", REC_RULES) + ") t")
+def q_performance_tag_default(wh: Warehouse) -> DataFrame:
+    """R4/M23 with the thresholds that the reference states."""
+    return measures.rounded(measures.measures(wh, "origin")).select(*_TAG_COLS)

@@ -194,6 +194,12 @@ def q_bootstrap_ci_poisson(wh: Warehouse) -> DataFrame:
     return stats.bootstrap_ci_poisson(wh, reps=1000, seed=42)
 
 
+@register("bootstrap_ci_split")
+def q_bootstrap_ci_split(wh: Warehouse) -> DataFrame:
+    """T6 exact multinomial bootstrap CI (B = 1,000) by binomial splits (no SQL form: tested against the md5 form)."""
+    return stats.bootstrap_ci_split(wh, reps=1000, seed=42)
+
+
 @register("heatmap", O.q(f"""
 SELECT segment AS segment_name, origin AS origin_name, COUNT(*) AS n_deals,
        {rnd('SUM(total_revenue)', 2)} AS total_rev, {rnd('AVG(total_revenue)', 2)} AS avg_rev,

@@ -110,3 +110,41 @@ def test_key_arm_is_part_of_both_arms(spark, tiny_raw, tiny_wh):
 
 def test_sketches_are_near_the_exact_count(tiny_wh):
     assert all(r.within_error for r in primitives.sketched_orders(tiny_wh).collect())
+
+
+# ---------------------------------------------------------------- T6
+def resampled(revenue, reps, chunk, seed=7):
+    import pandas as pd
+    run = stats.replicate_sums({"o": len(revenue)}, reps, seed, chunk)
+    total = np.zeros(reps)
+    for c in range(-(-len(revenue) // chunk)):
+        part = pd.DataFrame({"total_revenue": revenue[c * chunk:(c + 1) * chunk]})
+        total += run(("o", c), part)["total"].to_numpy()
+    return total
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_split_counts_are_multinomial(chunk):
+    n, reps = 40, 6000
+    # every replicate draws n deals in all
+    assert (resampled(np.ones(n), reps, chunk) == n).all()
+    # the count of one deal: mean 1, variance 1 - 1/n; of two deals: covariance -1/n
+    one, other = (resampled(np.eye(n)[k], reps, chunk) for k in (3, 38))
+    assert abs(one.mean() - 1) < 0.06 and abs(one.var() - (1 - 1 / n)) < 0.08
+    both = resampled(np.eye(n)[3] + 100 * np.eye(n)[38], reps, chunk)
+    a, b = both % 100, both // 100
+    assert abs(np.cov(a, b)[0, 1] + 1 / n) < 0.06 and abs(b.mean() - 1) < 0.06
+
+
+def test_split_interval_agrees_with_the_md5_form(spark):
+    import __spark_entry__
+    queries = __spark_entry__.queries()
+    sf = "/root/testdata/sf0.01"
+    split = {r.origin: r for r in queries["bootstrap_ci_split"](spark, sf).collect()}
+    exact = {r.origin: r for r in queries["bootstrap_ci"](spark, sf).collect()}
+    assert split.keys() == exact.keys()
+    for o, e in exact.items():
+        s, width = split[o], e.boot_ci_upper - e.boot_ci_lower
+        assert (s.closed_deals, s.mean_revenue_per_deal) == (e.closed_deals, e.mean_revenue_per_deal)
+        # the standard error of a 2.5 % quantile of 1,000 replicates is about 0.02 of the width
+        assert abs(s.boot_ci_lower - e.boot_ci_lower) < 0.12 * width and abs(s.boot_ci_upper - e.boot_ci_upper) < 0.12 * width
