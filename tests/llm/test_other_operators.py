@@ -113,9 +113,14 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
+    """The labels carry noise; what is asked for lies just below what whole words can tell."""
     m, bad = held_out(spark, "op9_toxicity", "toxic")
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in m.doc_id)
-    assert (m.predicted[bad] == 1).mean() > 0.5 and (m.predicted[~bad] == 0).mean() > 0.98
+    lang = m.merge(spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id").set_index("doc_id").lang
+    found = m[bad].assign(lang=lang.loc[m[bad].doc_id].to_numpy()).groupby("lang").predicted.mean()
+    least = {"en": 0.9, "de": 0.85, "fr": 0.85, "es": 0.9}
+    assert all(found[x] >= share for x, share in least.items()), found
+    assert (m.predicted[bad] == 1).mean() > 0.9 and (m.predicted[~bad] == 0).mean() > 0.98
 
 
 def test_classifiers_on_awkward_rows(spark):
@@ -136,38 +141,48 @@ def test_classifiers_on_awkward_rows(spark):
 
 def test_toxicity_tables_and_joins_agree(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    a = {r.doc_id: r.score for r in toxicity.score_report(docs, labels).collect()}
-    b = {r.doc_id: r.score for r in toxicity.score_report(docs, labels, bound=0).collect()}
-    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-1).cast("long")))
+    a = sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_report(docs, labels).collect())
+    b = sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_report(docs, labels, bound=0).collect())
+    assert a == b and len(a) == docs.count()
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    """The two models sum to one over the bytes that follow a counted context."""
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    counts = toxicity.count_strings(docs, labels, "doc_id", "text", "toxic")
-    types = {r.g for r in counts.filter("k = 0").collect()}
-    three = {r.g: (r.a, r.b) for r in counts.filter("k = 3").collect()}
-    cont2, cont1 = {}, {}
-    for g in types:
-        cont2[g & 0xFFFF] = cont2.get(g & 0xFFFF, 0) + 1
-    for g in cont2:
-        cont1[g & 0xFF] = cont1.get(g & 0xFF, 0) + 1
-    one = {w: n / sum(cont1.values()) for w, n in cont1.items()}
-
-    def back(seen, h, w, low):
-        t = sum(n for g, n in seen.items() if g >> 8 == h)
-        y = sum(1 for g, n in seen.items() if g >> 8 == h and n)
-        n = seen.get(h << 8 | w, 0)
-        return (max(n - 0.75, 0) / t if t else 0) + (0.75 * y / t if t else 1) * low
-
-    h = max(three, key=lambda g: three[g][0]) >> 8
-    inside = {g: n for g, n in cont2.items() if g >> 8 == (h & 0xFF)}
-    two = {w: back(inside, h & 0xFF, w, p) for w, p in one.items()}
-    assert abs(sum(two.values()) - 1) < 1e-9
-    llr = {(r.k, r.id): r.value for r in toxicity.log_ratios(counts).filter("not context and k = 3").collect()}
-    for g, value in [(g, v) for (k, g), v in llr.items() if g >> 8 == h][:20]:
-        p = [back({x: n[c] for x, n in three.items() if x >> 8 == h}, h, g & 0xFF, two[g & 0xFF]) for c in (0, 1)]
-        assert abs(np.log(p[0] / p[1]) - value) < 1e-6
+def plain_words(text):
+    text = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").lower())
+    return text.split()
+
+
+def test_kneser_ney_by_hand(spark):
+    """Counts, probabilities and a text's evidence against plain Python; both models sum to one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("class"))
+    rows, kind = docs.select("doc_id", "text").collect(), {r["id"]: r["class"] for r in known.collect()}
+    n, texts = ({}, {}), {}
+    for r in rows:
+        w = plain_words(r.text)
+        for x in set(w):
+            texts[x] = texts.get(x, 0) + 1
+        if r.doc_id in kind:
+            for x in w:
+                n[kind[r.doc_id]][x] = n[kind[r.doc_id]].get(x, 0) + 1
+    counts = toxicity.count_words(docs, known, "doc_id", "text")
+    assert sorted((r.a, r.b, r.texts) for r in counts.collect()) == sorted((n[1].get(x, 0), n[0].get(x, 0), t) for x, t in texts.items())
+
+    def p(c, x):
+        total = sum(n[c].values())
+        return max(n[c].get(x, 0) - 0.75, 0) / total + 0.75 * len(n[c]) / total * texts[x] / sum(texts.values())
+
+    assert abs(sum(p(0, x) for x in texts) - 1) < 1e-9 and abs(sum(p(1, x) for x in texts) - 1) < 1e-9
+    unseen = np.log(len(n[1]) / sum(n[1].values())) - np.log(len(n[0]) / sum(n[0].values()))
+    value = {x: np.log(p(1, x)) - np.log(p(0, x)) - unseen for x in n[1]}
+    ratios = toxicity.log_ratios(counts)
+    assert np.allclose(sorted(r.value for r in ratios.collect()), sorted(v for v in value.values() if v > 0))
+    got = {r.id: r for r in toxicity.evidence(docs, ratios).collect()}
+    for r in rows[:60]:
+        w = plain_words(r.text)
+        v = [max(value.get(x, 0), 0) for x in set(w)]
+        assert abs(got[r.doc_id].excess - sum(v)) < 1e-6 and abs(got[r.doc_id].squares - sum(x * x for x in v)) < 1e-6
+        assert got[r.doc_id].size == len(w)
 
 
 # ---------------------------------------------------------------- registration
