@@ -3,6 +3,11 @@
 Each stage works on every row its predecessor kept and is written as Parquet
 before the next one reads it.  All but the last return the columns of
 ``documents``; the last adds the piece ids of every remaining text.
+
+Defined results: rows with a null or empty text pass through whatever does not
+reject them and end with no pieces; rows with a null id are nobody's duplicate;
+of rows that repeat an id and a text one stays; an empty table gives an empty
+result; further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -56,8 +61,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding", encoding_stage),
 ]
 
-# Classifier training, similarity components and merge-dropout have no SQL form; tests hold each stage
-# against brute force instead.
+# Classifier training, similarity components and merge-dropout have no SQL form.  tests/llm/test_pipeline.py
+# holds every stage against brute force over the rows it was given (the classifier: against its own scores).
 ORACLE_SQL = None
 
 

@@ -3,6 +3,10 @@
 Every step is a shuffle over edges; nothing is collected and a hub's edges may
 spread over many tasks.  The number of rounds grows with the logarithm of the
 longest chain; a round ends the loop when its edges form stars.
+
+Defined results: an edge with a null end or from a node to itself joins nothing;
+repeated and reversed edges count once; an empty edge table gives an empty result;
+only the two end columns are read.
 """
 
 from __future__ import annotations
