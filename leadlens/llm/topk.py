@@ -53,14 +53,19 @@ def quantised(vec: Column, scale: int = 64) -> Column:
                   F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def _blocks(rows: DataFrame, block: Column, nodes: int, width: int, name: str) -> DataFrame:
+def _kind(top: int) -> str:
+    """The smallest integer type that holds components up to ``top``: blocks are shipped to many cells."""
+    return next(k for k, most in (("i2", 1 << 15), ("i4", 1 << 31), ("i8", 1 << 64)) if top < most)
+
+
+def _blocks(rows: DataFrame, block: Column, nodes: int, width: int, kind: str, name: str) -> DataFrame:
     """(block, ids, parts): the ids of a block and one matrix of components per node."""
     step = max(1, -(-width // nodes))
     ship(rows.sparkSession)
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["rep"].to_numpy(np.int64)
-        m = np.zeros((len(ids), step * nodes), np.int64)
+        m = np.zeros((len(ids), step * nodes), kind)
         for i, v in enumerate(frame["vec"]):
             m[i, :len(v)] = v
         parts = [np.ascontiguousarray(m[:, j * step:(j + 1) * step]).tobytes() for j in range(nodes)]
@@ -70,11 +75,11 @@ def _blocks(rows: DataFrame, block: Column, nodes: int, width: int, name: str) -
                    .applyInPandas(pack, "block int, ids binary, parts array<binary>"), name)
 
 
-def _cell(row: dict, exact_float: bool):
+def _cell(row: dict, kind: str, exact_float: bool):
     """Ids of both sides, their components and partial products per node."""
     q, c = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-    a = [np.frombuffer(x, np.int64).reshape(len(q), -1) for x in row["q_parts"]]
-    b = [np.frombuffer(x, np.int64).reshape(len(c), -1) for x in row["c_parts"]]
+    a = [np.frombuffer(x, kind).reshape(len(q), -1).astype(np.int64) for x in row["q_parts"]]
+    b = [np.frombuffer(x, kind).reshape(len(c), -1).astype(np.int64) for x in row["c_parts"]]
     if exact_float:
         partials = [(x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64) for x, y in zip(a, b)]
     else:
@@ -108,20 +113,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     width = max(1, width or 0)
     exact_float = float(top or 0) ** 2 * width < EXACT_FLOAT
     nqb, ncb = -(-asking // query_block), -(-n // candidate_block)
+    kind = _kind(int(top or 0))
     place = lambda m: F.pmod(F.xxhash64("key"), F.lit(m)).cast("int")
-    qs = _blocks(reps.filter("asks"), place(nqb), nodes, width, "topk-queries")
-    cs = _blocks(reps, place(ncb), nodes, width, "topk-candidates")
+    qs = _blocks(reps.filter("asks"), place(nqb), nodes, width, kind, "topk-queries")
+    cs = _blocks(reps, place(ncb), nodes, width, kind, "topk-candidates")
     cells = (qs.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"),
                        F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))).alias("cb"))
              .join(cs.select(F.col("block").alias("cb"), F.col("ids").alias("c_ids"), F.col("parts").alias("c_parts"),
                              F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))).alias("qb")), ["qb", "cb"]))
     keep = k + 1
-    kind = "q long, c long, score long"
+    row_kind = "q long, c long, score long"
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q, c, _, _, partials = _cell(r, exact_float)
+                q, c, _, _, partials = _cell(r, kind, exact_float)
                 m = min(keep, len(c))
                 gathered = np.concatenate([np.argpartition(-p, m - 1, axis=1)[:, :m] for p in partials], axis=1)
                 gathered.sort(axis=1)
@@ -133,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 yield _scored(np.repeat(q, m), c[gathered[at, best].ravel()], score[at, best].ravel())
 
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    lists = written(map_batches(cells, local_lists, kind), "topk-lists")
+    lists = written(map_batches(cells, local_lists, row_kind), "topk-lists")
     # with fewer than k + 1 candidates nothing may go
     cut = (lists.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= keep)
            .groupBy("q").agg(F.max(F.when(F.col("n") == keep, F.col("score"))).alias("cutoff")))
@@ -143,7 +149,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q, c, a, b, partials = _cell(r, exact_float)
+                q, c, a, b, partials = _cell(r, kind, exact_float)
                 limit = {x["q"]: x["cutoff"] for x in r["cuts"]}
                 if any(limit[x] is None for x in q.tolist()):
                     i, j = (x.ravel() for x in np.indices((len(q), len(c))))
@@ -162,7 +168,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 reached = score >= cutoff[i, 0]
                 yield _scored(q[i[reached]], c[j[reached]], score[reached])
 
-    classes = written(map_batches(cells.join(cuts, "qb"), sufficient, kind)
+    classes = written(map_batches(cells.join(cuts, "qb"), sufficient, row_kind)
                       .withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= keep)
                       .select("q", "c", "score"), "topk-classes-ranked")
     by_rep = members.join(reps.select("key", "rep"), "key").select(F.col("rep").alias("c"), F.col("id").alias("vec_id"))

@@ -40,6 +40,18 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [100, 1 << 20, 1 << 33])
+def test_top_k_of_components_of_any_size(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(i, rng.integers(-size, size, 3).tolist()) for i in range(60)]
+    if size > 1 << 31:
+        rows = [(i, [v[0] >> 20, 0, v[2] // size]) for i, v in rows]
+        rows[7] = (7, [0, size, 0])
+    table = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    got = topk.top_k(table, F.col("vec_id") % 20 == 0, k=5, query_block=2, candidate_block=20).collect()
+    assert {tuple(r) for r in got} == brute_top(rows, 5)
+
+
 def test_quantised(spark):
     rows = [(1, [0.5, -0.011]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [])]
     got = spark.createDataFrame(rows, "i int, v array<float>").select("i", topk.quantised(F.col("v")).alias("q")).collect()
