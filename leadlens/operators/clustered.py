@@ -11,7 +11,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-BUCKET_BYTES = 256 << 20     # of input files behind one bucket
+BUCKET_BYTES = 256 << 20     # of input files behind one bucket, at most
+SMALL_BUCKET_BYTES = 4 << 20  # a small input gets no more buckets than this, or the cluster's cores, calls for
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -21,11 +22,14 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(*inputs: DataFrame) -> int:
-    """Shuffle partitions of the session, or more if that leaves a bucket over ``BUCKET_BYTES``."""
+    """As many as the session's shuffles have partitions; fewer for a small input (a bucket is a task of every
+    later scan), more if a bucket would exceed ``BUCKET_BYTES``."""
     spark = inputs[0].sparkSession
-    least = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    size = max(input_bytes(d) for d in inputs)
+    usual = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
                 or spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-max(input_bytes(d) for d in inputs) // BUCKET_BYTES))
+    worth = max(spark.sparkContext.defaultParallelism, -(-size // SMALL_BUCKET_BYTES))
+    return max(min(usual, worth), -(-size // BUCKET_BYTES))
 
 
 def write_clustered(df: DataFrame, path: str, key: str, buckets: int, sort: list[str] | None = None) -> DataFrame:

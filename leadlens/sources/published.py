@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,13 @@ def _announce(spark: SparkSession, root: str, version: int, path: str, rows: int
 
 def _newest(spark: SparkSession, root: str) -> tuple[int, str, int] | None:
     """(version, path, rows) last published; None before the first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        # two writers at once may take one number: the path decides, for every reader alike
+        got = spark.read.schema(MANIFEST).parquet(f"{root.rstrip('/')}/manifest").orderBy(F.desc("version"), "path").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    # two writers at once may take one number: the path decides, for every reader alike
-    got = spark.read.schema(MANIFEST).parquet(f"{root.rstrip('/')}/manifest").orderBy(F.desc("version"), "path").first()
     return None if got is None else tuple(got)
 
 
