@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm.common import (byte_buffer, map_batches, mix, powers, prefix_sums, slices, span_hashes,
@@ -48,6 +48,8 @@ PLACES = np.uint64((1 << 20) - 1)
 INDEX_WINDOWS = 200_000
 BATCH_WINDOWS = 1 << 13
 HOT_RUNS = 4_096
+# parts that the runs of one content are dealt into
+SALTS = 1_024
 # text names (16 bytes each) that may be shipped to every task
 BROADCAST_TEXTS = 1_000_000
 
@@ -266,7 +268,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     mixed = live.filter("mixed")
     contents = written(mixed.groupBy("key", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("t", "start", "windows")).alias("one")), "sa-contents")
-    whole = whole.unionByName(mixed.join(contents.filter("n > 1").select("key", "content"), ["key", "content"])
+    # runs of equal bytes that meet within a salt need no look at the whole content: what is left to
+    # join are SALTS runs of a content at most, however many documents share it
+    salt = F.pmod(F.xxhash64("t", "start"), F.lit(SALTS))
+    met = F.count("*").over(Window.partitionBy("key", "content", "salt"))
+    salted = written(mixed.withColumn("salt", salt).withColumn("met", met), "sa-salted")
+    whole = whole.unionByName(salted.filter("met > 1").select("t", F.col("start").alias("a"), end.alias("b")))
+    whole = whole.unionByName(salted.filter("met = 1").join(contents.filter("n > 1").select("key", "content"), ["key", "content"])
                               .select("t", F.col("start").alias("a"), end.alias("b")))
     hot = contents.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > HOT_RUNS).select("key", F.lit(True).alias("hot"))
     wanted = (contents.join(written(hot, "sa-hot"), "key", "left")
