@@ -18,7 +18,8 @@ def entry():
 
 def test_entry_smoke(spark, entry):
     df = entry.entry(spark)
-    assert df.count() >= 0 and "lead_origin" in df.columns
+    rows = df.collect()
+    assert len({r.lead_origin for r in rows}) == len(rows) == 5 and sum(r.total_mqls for r in rows) == 150
 
 
 def test_all_queries_match_oracle(spark, entry):
