@@ -20,6 +20,7 @@ from .warehouse import Warehouse
 
 HASH_BITS = 60         # of an md5 that a draw or weight uses (15 hex digits)
 DRAW_CHUNK = 100_000   # bootstrap draws generated from one row
+BROADCAST_DEALS = 16_000_000   # deals of the bootstrap, a key and an amount each, that may be shipped to every task
 
 
 # ---------------------------------------------------------------- T3 chi-square
@@ -238,32 +239,31 @@ def bootstrap_ci(wh: Warehouse, reps: int = 1000, seed: int = 42, alpha: float =
     1 + (first 60 bits of md5('seed|o|r|j') mod n).  Deals are numbered 1..n
     inside each channel from a global dense key (no per-channel window over
     fact rows), draws are generated by ``sequence`` per (channel, replicate)
-    and resolved by an equi-join; n <= 2 gives a degenerate interval.
+    and resolved by an equi-join on that key; n <= 2 gives a degenerate interval.
     """
     deals = deals_with_revenue(wh)
     keyed, n_deals = dense_key(deals, ["origin", "lead_key"], "_gk", name="bootstrap")
     first = keyed.groupBy("origin").agg(F.min("_gk").alias("_g0"), F.count(F.lit(1)).alias("n"),
                                         F.avg("total_revenue").alias("mean"))
-    numbered = keyed.join(first.select("origin", "_g0"), "origin").select(
-        "origin", (F.col("_gk") - F.col("_g0") + 1).alias("idx"), "total_revenue")
-    boot_groups = first.filter(F.col("n") > 2).select("origin", "n")
+    boot_groups = first.filter(F.col("n") > 2).select("origin", "_g0", "n")
     # One row per (channel, replicate, chunk of at most DRAW_CHUNK draws): a
     # channel holding most deals spreads its draws over many tasks.  The
     # explicit partition count keeps AQE from coalescing these few, small
     # rows into a single task before they expand.
     chunk = F.lit(DRAW_CHUNK).cast("long")
-    work = boot_groups.select("origin", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    work = work.select("origin", "n", "rep",
+    work = boot_groups.select("origin", "_g0", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    work = work.select("origin", "_g0", "n", "rep",
                        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("c"))
     work = work.repartition(wh.spark.sparkContext.defaultParallelism, "origin", "rep", "c")
-    draws = work.select("origin", "rep", "n", F.explode(F.sequence(
+    draws = work.select("origin", "rep", "_g0", "n", F.explode(F.sequence(
         F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.col("n")))).alias("j"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("origin"), F.col("rep").cast("string"),
                                              F.col("j").cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    draws = draws.select("origin", "rep", (F.lit(1) + h % F.col("n")).alias("idx"))
-    # deals are few enough (checked count) to ship to every task: draws are then
-    # resolved where they are generated and only (channel, replicate) partials shuffle
-    means = (draws.join(broadcast_if(numbered, n_deals), ["origin", "idx"])
+    # a channel's deals lie one after the other from its first global key
+    draws = draws.select("origin", "rep", (F.col("_g0") + h % F.col("n")).alias("_gk"))
+    # deals are few enough (checked count) to ship to every task, as (key, amount) alone: draws are
+    # then resolved where they are generated and only (channel, replicate) partials shuffle
+    means = (draws.join(broadcast_if(keyed.select("_gk", "total_revenue"), n_deals, BROADCAST_DEALS), "_gk")
              .groupBy("origin", "rep").agg(F.avg("total_revenue").alias("m")))
     ci = means.groupBy("origin").agg(
         F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))

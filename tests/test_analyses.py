@@ -60,6 +60,26 @@ def test_bootstrap_seeded_and_degenerate(tiny_wh):
         assert r[3] == r[2] == r[4]
 
 
+def test_bootstrap_resolves_draws_by_one_narrow_key(spark):
+    """Draws meet the shipped deals by one number, whatever their channel, and pick the deals of the formula."""
+    import hashlib
+
+    import numpy as np
+    from leadlens.plans.stats import bootstrap_ci
+    from leadlens.plans.warehouse import Warehouse
+    rows = [(k, "ab"[k % 3 == 0], "s", float(k * k % 101)) for k in range(1, 61)]
+    wh = Warehouse(spark, "/tmp", derived_tables={
+        "deals_with_revenue": spark.createDataFrame(rows, "lead_key long, origin string, segment string, total_revenue double")})
+    got = bootstrap_ci(wh, reps=40, seed=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_gk" in plan and "idx" not in plan
+    for r in got.collect():
+        v = [x[3] for x in rows if x[1] == r.origin]
+        pick = lambda rep, j: int(hashlib.md5(f"7|{r.origin}|{rep}|{j}".encode()).hexdigest()[:15], 16) % len(v)
+        means = [np.mean([v[pick(rep, j)] for j in range(1, len(v) + 1)]) for rep in range(40)]
+        assert abs(r.boot_ci_lower - np.percentile(means, 2.5)) < 0.0051 and abs(r.boot_ci_upper - np.percentile(means, 97.5)) < 0.0051
+
+
 def test_scenario_zero_within_one_deal(tiny_wh):
     from leadlens.plans import channel
     from leadlens.plans.revenue import channel_matrix
