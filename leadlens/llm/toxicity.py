@@ -2,11 +2,12 @@
 
 Two interpolated models, one of toxic and one of ordinary texts, give every word
 a probability.  Each takes a discount off its own class's count and hands the
-mass to one model that both share, as Kneser-Ney does with continuation counts:
-a word weighs there by the number of texts it occurs in, not by its occurrences,
-and all texts of the corpus are counted, labelled or not.  So
+mass to one model that both share, the continuation counts of Kneser-Ney: a word
+weighs there by the number of different words that precede it (a text's beginning
+counts as one), not by its occurrences, and all texts of the corpus are counted,
+labelled or not.  So
 
-    P(w | c) = max(n_c(w) - D, 0) / N_c + D * V_c / N_c * texts(w) / sum of texts,
+    P(w | c) = max(n_c(w) - D, 0) / N_c + D * V_c / N_c * before(w) / sum of before,
 
 and a rare expression differs between the classes only as far as the classes'
 own counts say so.  The log ratio of a word that no toxic text had says more
@@ -14,11 +15,12 @@ about the size of the classes than about a text, so a text's evidence comes from
 the distinct words that toxic texts had and whose ratio exceeds that of an
 unseen word: the sum of the excess and of its squares, over the root of the
 length, and the plain sum.  A logistic function of these and the length gives the
-score; it is calibrated on at most ``CALIBRATION`` labelled rows of one fold, which
-the counts leave out, and all other learning rows are counted.
+score; it is calibrated on at most ``CALIBRATION`` labelled rows of one fold, by
+counts that leave them out.  The scores come from the counts of all learning rows.
 
 Words are the runs of letters and digits of the lower-cased text, named by a
-64-bit hash.  The words of toxic texts are shipped to every task while their
+64-bit hash; the words before one word are told apart by 32 bits, so that of k of
+them about k^2 / 2^33 are missed.  The words of toxic texts are shipped to every task while their
 number is below a checked bound and joined to the texts' words beyond it.  Labels,
 language, source and id are never inputs of a score.
 
@@ -41,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import byte_buffer, map_batches, owner, slices, words, written
+from leadlens.llm.common import byte_buffer, list_column, map_batches, owner, slices, words, written
 from leadlens.llm.quality import fold
 from leadlens.operators.joins import broadcast_if
 
@@ -51,7 +53,12 @@ BROADCAST_WORDS = 1_000_000
 BROADCAST_LABELS = 2_000_000
 CALIBRATION = 20_000
 SLICE_BYTES = 1 << 19
+COUNTS = ["a", "b", "texts", "spare_a", "spare_b"]
 HELD_WORDS = 2_000_000
+HELD_PAIRS = 3_000_000
+BUCKETS = 1024       # of words whose pairs travel in one row
+SALTS = 2            # parts that the words before a word are dealt into, by their names
+BEGINNING = 0        # stands before the first word of a text
 # letters and digits; a byte above 127 is part of a letter
 _PART = np.full(256, 0x20, np.uint8)
 _PART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = [
@@ -76,7 +83,7 @@ def _distinct(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, class: 1, 0 or null) -> partial counts (w, a, b, texts)."""
+    """(text, class: 1, 0 or null; 3, 2 for spare rows) -> partial counts (w, a, b, texts, spare_a, spare_b)."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -84,9 +91,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.int64)
         names, at = np.unique(w, return_inverse=True)
         sums = [np.bincount(at, weights=np.concatenate([x[k] for x in held]), minlength=len(names)).astype(np.int64)
-                if held else np.zeros(0, np.int64) for k in (1, 2, 3)]
+                if held else np.zeros(0, np.int64) for k in range(1, 6)]
         held, size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, sums)], names=["w", "a", "b", "texts"])
+        return pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, sums)], names=["w", *COUNTS])
 
     for batch in batches:
         kinds = np.array([-1 if x is None else int(x) for x in batch.column(1).to_pylist()], np.int64)
@@ -94,7 +101,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, w, n = _distinct(doc, word)
             of = kinds[i:j][d]
             names, at = np.unique(w, return_inverse=True)
-            sums = [np.bincount(at, weights=x, minlength=len(names)) for x in (np.where(of == 1, n, 0), np.where(of == 0, n, 0), np.ones(len(w)))]
+            sums = [np.bincount(at, weights=x, minlength=len(names)) for x in (
+                np.where(of == 1, n, 0), np.where(of == 0, n, 0), np.ones(len(w)), np.where(of == 3, n, 0), np.where(of == 2, n, 0))]
             held.append((names, *sums))
             size += len(names)
             if size > HELD_WORDS:
@@ -103,25 +111,74 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(w, a, b, texts): occurrences in toxic (a) and ordinary (b) texts, and the texts of the whole
-    corpus that hold the word; ``known`` has (id, class)."""
+    """(w, a, b, texts, spare_a, spare_b): occurrences in toxic (a) and ordinary (b) texts, the texts of the
+    whole corpus that hold the word, and the occurrences in texts that are kept apart; ``known`` has
+    (id, class), where the class of a text kept apart is 2 more."""
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(broadcast_if(known, known.count(), BROADCAST_LABELS), "id", "left").select("text", "class"))
-    return written(map_batches(rows, _count, "w long, a long, b long, texts long").groupBy("w")
-                   .agg(*[F.sum(c).alias(c) for c in ("a", "b", "texts")]), "tox-counts")
+    return written(map_batches(rows, _count, "w long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("w")
+                   .agg(*[F.sum(c).alias(c) for c in COUNTS]), "tox-counts")
 
 
-def log_ratios(counts: DataFrame) -> DataFrame:
-    """(w, value): by how much the log ratio of a word of toxic texts exceeds that of an unseen word."""
+def _distinct_pairs(word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (word, word before), sorted."""
+    order = np.lexsort((before, word))
+    w, u = word[order], before[order]
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
+    return w[new], u[new]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (bucket, w, before): lists of the different pairs of a word and the word before it."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, size
+        w, u = _distinct_pairs(*(np.concatenate([x[k] for x in held]) if held else np.zeros(0, t) for k, t in ((0, np.int64), (1, np.int32))))
+        held, size = [], 0
+        bucket = (w + u % SALTS) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        names, sizes = np.unique(bucket, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), list_column(w[order], sizes, pa.int64()),
+                                           list_column(u[order], sizes, pa.int32())], names=["bucket", "w", "before"])
+
+    for batch in batches:
+        for _, _, doc, word in text_words(batch.column(0)):
+            before = np.full(len(word), BEGINNING, np.int32)
+            before[1:] = np.where(doc[1:] == doc[:-1], word[:-1].astype(np.int32), BEGINNING)
+            held.append(_distinct_pairs(word, before))
+            size += len(held[-1][0])
+            if size > HELD_PAIRS:
+                yield flush()
+    yield flush()
+
+
+def count_before(docs: DataFrame, text_col: str) -> DataFrame:
+    """(w, before): the number of different words before the word, over the texts of the whole corpus.
+
+    A task ships its pairs as sorted lists, which pack well; they are told apart where the lists of
+    a bucket meet."""
+    lists = map_batches(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), _pairs, "bucket int, w array<long>, before array<int>")
+    pairs = lists.repartition("bucket").select("bucket", F.inline(F.arrays_zip("w", "before"))).distinct()
+    return written(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("before")), "tox-before")
+
+
+def log_ratios(counts: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(w, value): by how much the log ratio of a word of toxic texts exceeds that of an unseen word.
+    The shared model weighs words by ``before`` (``count_before``); without it, by their texts."""
     t = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("a", "b", "texts")],
                    F.count_if(F.col("a") > 0).alias("va"), F.count_if(F.col("b") > 0).alias("vb")).first()
     if not t["a"] or not t["b"]:
         return written(counts.filter("false").select("w", F.lit(0.0).alias("value")), "tox-ratios")
-    shared = F.col("texts") / t["texts"]
+    held, shared = counts.filter("a > 0"), F.col("texts") / t["texts"]
+    if before is not None:
+        held = held.join(before, "w")
+        shared = F.col("before") / before.agg(F.sum("before")).first()[0]
     p = lambda n, total, kinds: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / total + shared * (DISCOUNT * kinds / total)
     unseen = float(np.log((t["va"] / t["a"]) / (t["vb"] / t["b"])))
     value = F.log(p("a", t["a"], t["va"])) - F.log(p("b", t["b"], t["vb"])) - unseen
-    return written(counts.filter("a > 0").select("w", value.alias("value")).filter("value > 0"), "tox-ratios")
+    return written(held.select("w", value.alias("value")).filter("value > 0"), "tox-ratios")
 
 
 @dataclass
@@ -211,10 +268,14 @@ def score_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("class")))
     learn = written(learn.withColumn("spare", fold("id", parts) == parts - 1), "tox-labels")
     spare = written(learn.filter("spare").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).select("id", "class"), "tox-spare")
-    counted = learn.select("id", "class").join(F.broadcast(spare.select("id")), "id", "left_anti")
-    counts = count_words(docs, counted, id_col, text_col)
-    seen = written(evidence(docs, log_ratios(counts), id_col, text_col, bound), "tox-evidence")
-    drawn = seen.join(F.broadcast(spare), "id").orderBy("id").limit(CALIBRATION).toPandas()
+    known = learn.select("id", "class").join(F.broadcast(spare.select("id", F.lit(2).alias("apart"))), "id", "left")
+    counts = count_words(docs, known.select("id", (F.col("class") + F.coalesce("apart", F.lit(0))).alias("class")), id_col, text_col)
+    before = count_before(docs, text_col)
+    apart = docs.join(F.broadcast(spare.select(F.col("id").alias(id_col))), id_col, "left_semi")
+    drawn = (evidence(apart, log_ratios(counts, before), id_col, text_col, bound)
+             .join(F.broadcast(spare), "id").orderBy("id").limit(CALIBRATION).toPandas())
+    everything = counts.select("w", (F.col("a") + F.col("spare_a")).alias("a"), (F.col("b") + F.col("spare_b")).alias("b"), "texts")
+    seen = written(evidence(docs, log_ratios(everything, before), id_col, text_col, bound), "tox-evidence")
     w = [float(x) for x in calibrate(_inputs(*(drawn[c].to_numpy(float) for c in ("excess", "squares", "size"))),
                                      drawn["class"].to_numpy(float))]
     n = F.greatest(F.col("size"), F.lit(1)).cast("double")

@@ -197,6 +197,36 @@ def test_kneser_ney_by_hand(spark):
         assert got[r.doc_id].size == len(w)
 
 
+def test_kneser_ney_continuation_counts(spark):
+    """The shared model weighs a word by the different words before it, not by its texts."""
+    texts = ["one fish two fish", "One fish", "red fish, blue fish", "fish", "two red", None, "", "one fish two fish", "é 日本 é"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (4, 1), (7, 0)], "id long, class int")
+    before, n = {}, ({}, {})
+    for i, t in enumerate(texts):
+        w = plain_words((t or "").replace(",", " "))
+        for u, x in zip([None, *w], w):
+            before.setdefault(x, set()).add(u)
+            if i in (0, 1, 2, 4, 7):
+                c = n[int(i in (0, 4))]
+                c[x] = c.get(x, 0) + 1
+    got = toxicity.count_before(docs, "text")
+    assert sorted(r.before for r in got.collect()) == sorted(map(len, before.values()))
+    assert max(map(len, before.values())) == 5           # fish: one, two, red, blue, beginning; in 5 texts, 8 times
+    total = sum(map(len, before.values()))
+
+    def p(c, x):
+        own = sum(n[c].values())
+        return max(n[c].get(x, 0) - 0.75, 0) / own + 0.75 * len(n[c]) / own * len(before[x]) / total
+
+    assert abs(sum(p(1, x) for x in before) - 1) < 1e-9
+    unseen = np.log(len(n[1]) / sum(n[1].values())) - np.log(len(n[0]) / sum(n[0].values()))
+    value = [np.log(p(1, x)) - np.log(p(0, x)) - unseen for x in n[1]]
+    ratios = toxicity.log_ratios(toxicity.count_words(docs, known, "doc_id", "text"), got)
+    assert np.allclose(sorted(r.value for r in ratios.collect()), sorted(v for v in value if v > 0))
+    assert toxicity.count_before(docs.limit(0), "text").collect() == []
+
+
 # ---------------------------------------------------------------- registration
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
