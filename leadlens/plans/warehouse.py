@@ -25,12 +25,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clean_label, date_key, day_floor
-from ..operators.clustered import bucket_count, write_clustered
-from ..operators.joins import broadcast_if, or_join
+from ..functions.exprs import clean_label, date_key, day_floor, time_of_day, whole_days
+from ..operators.clustered import bucket_count, hash_side, shuffle_count, write_clustered
+from ..operators.joins import BROADCAST_MAX_ROWS, broadcast_if, or_join
 from ..operators.keys import dense_key, dense_keys_by_group, member_row, running_offsets
 from ..session import scratch_path, unique_name
 from ..sources.dates import date_dim, input_range
@@ -82,6 +82,12 @@ class Warehouse:
         return broadcast_if(self.tables[name], self.rows.get(name))
 
 
+def _lookup(wh: Warehouse, name: str, *cols: str | Column) -> DataFrame:
+    """Columns of a dimension that facts look up: shipped if few rows, else shuffled and hashed."""
+    df, rows = wh[name].select(*cols), wh.rows[name]
+    return F.broadcast(df) if rows <= BROADCAST_MAX_ROWS else hash_side(df, shuffle_count(wh.spark))
+
+
 def _earliest(df: DataFrame, key: str, order: list[str], cols: list[str], rows: str = "_rows") -> DataFrame:
     """One row per key: the row with the smallest ``order`` tuple, and in ``rows`` how many the
     key had (deterministic, partial-aggregated, so a hot key never lands whole in one task)."""
@@ -135,7 +141,7 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
                     date_range: tuple[str, str] | None = None, out_path: str | None = None,
                     land: bool = True, corrupt: DataFrame | None = None, id_arm: bool = True) -> Warehouse:
     """``land``: write the raw inputs once as parquet first (right for CSV
-    sources, which the build scans several times).  ``corrupt``: (table, key, record) of
+    sources, which the build scans several times); otherwise only leads and deals are.  ``corrupt``: (table, key, record) of
     the raw rows that did not parse (``sources.raw.read_rejects``), for the reject stream.
     ``id_arm``: bridge sellers to leads by id as well as by key (D5); without it the leads are
     read once less."""
@@ -143,6 +149,9 @@ def build_warehouse(spark: SparkSession, raw: dict[str, DataFrame],
     if land:
         raw = land_raw(spark, raw, f"{path}/raw")
     wh = Warehouse(spark, path, raw=dict(raw))
+    if not land:    # read by four steps each, and possibly a plan of joins and groupings: run once
+        _concurrently(*[lambda n=n: wh.raw.update({n: _staged(wh, raw[n], n)}) for n in ("mql", "closed_deals")])
+        raw = wh.raw
 
     mql = raw["mql"].withColumn("origin_name", clean_label("origin"))
     closed = raw["closed_deals"].withColumn("segment_name", clean_label("business_segment"))
@@ -283,7 +292,7 @@ def _fact_lead(wh: Warehouse, mql: DataFrame, closed: DataFrame) -> None:
     deals = _earliest(closed, "mql_id", ["won_date", "seller_id"], ["sdr_id", "sr_id", "segment_name"], rows="_deals")
     # leads and the deals without one, told apart by _lead
     both = mql.withColumn("_lead", F.lit(True)).join(deals, "mql_id", "full")
-    sel = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key"), wh.rows["dim_seller"])
+    sel = _lookup(wh, "dim_seller", "seller_id", "seller_key")
     leads = (both.withColumn("segment_name", F.coalesce("segment_name", F.lit(UNKNOWN)))
              .join(wh.dim("dim_origin"), "origin_name", "left")
              .join(wh.dim("dim_landing_page"), "landing_page_id", "left")
@@ -328,10 +337,8 @@ def _fact_order_item(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
     """
     buckets = bucket_count(raw["order_items"], raw["orders"])
     lines, heads = clustered_orders(wh, raw, buckets)
-    items = joined_lines(lines, heads)
-    counts = _staged(wh, items.groupBy("order_id").agg(
-        F.count_if(F.col("reason").isNull()).alias("_kept"), *[F.count_if(F.col("reason") == r).alias(r) for r in ITEM_REASONS]),
-        "order_counts")
+    items = joined_lines(lines, heads, buckets)
+    counts = _staged(wh, order_counts(lines, heads, buckets), "order_counts")
     for reason in ITEM_REASONS:
         _reject(wh, counts, "order_items", "order_id", reason, reason)
     offsets, n = running_offsets(counts.filter("_kept > 0"), "order_id", "_kept", "_before", name="order_items")
@@ -339,8 +346,9 @@ def _fact_order_item(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
                              f"{wh.path}/clustered/order_offsets", "order_id", buckets)
     columns = ["order_id", "order_item_id", "date_key_purchase", "seller_key", "product_key", "customer_key", "price",
                "freight_value", "order_status", "review_score", "days_after_won"]
-    place = F.row_number().over(Window.partitionBy("order_id").orderBy(*columns[1:]))
-    fact = (items.filter("reason is null").join(orders, "order_id")
+    # order_key stands for order_id and comes first: a number sorts faster than a text
+    place = F.row_number().over(Window.partitionBy("order_key", "order_id").orderBy(*columns[1:]))
+    fact = (items.filter("reason is null").join(hash_side(orders, buckets), "order_id")
             .select((F.col("_before") + place).alias("order_item_key"), *columns, "order_key"))
     wh.tables["fact_order_item"] = write_clustered(fact, f"{wh.path}/fact_order_item", "order_id", buckets)
     wh.rows["fact_order_item"] = n
@@ -349,26 +357,31 @@ def _fact_order_item(wh: Warehouse, raw: dict[str, DataFrame]) -> None:
 def clustered_orders(wh: Warehouse, raw: dict[str, DataFrame], buckets: int) -> tuple[DataFrame, DataFrame]:
     """Items with their seller and product, and orders with their customer and mean review (W11),
     both bucketed by order.  Rows without an order id can meet no order and are only counted."""
-    seller = broadcast_if(wh["dim_seller"].select("seller_id", "seller_key", "won_date"), wh.rows["dim_seller"])
-    product = broadcast_if(wh["dim_product"].select("product_id", "product_key"), wh.rows["dim_product"])
-    customer = broadcast_if(wh["dim_customer"].select("customer_id", "customer_key"), wh.rows["dim_customer"])
+    # days since signing are taken apart once per seller and per order, not per item
+    seller = _lookup(wh, "dim_seller", "seller_id", "seller_key", F.to_date("won_date").alias("_won_day"),
+                     time_of_day("won_date").alias("_won_time"))
+    product = _lookup(wh, "dim_product", "product_id", "product_key")
+    customer = _lookup(wh, "dim_customer", "customer_id", "customer_key")
     named = F.col("order_id").isNotNull()
     got: dict[str, DataFrame] = {}
 
     def items() -> None:
         got["lines"] = write_clustered(
             raw["order_items"].filter(named).join(seller, "seller_id", "left").join(product, "product_id", "left").select(
-                "order_id", "order_item_id", "seller_key", "won_date", "product_key",
+                "order_id", "order_item_id", "seller_key", "_won_day", "_won_time", "product_key",
                 F.col("price").cast("decimal(10,2)").alias("price"), F.col("freight_value").cast("decimal(10,2)").alias("freight_value")),
             f"{wh.path}/clustered/order_items", "order_id", buckets)
 
     def orders() -> None:
-        got["reviews"] = _staged(wh, raw["order_reviews"].groupBy("order_id").agg(
-            F.avg("review_score").alias("_review"), F.count(F.lit(1)).alias("_reviews")), "reviews")
+        got["reviews"] = write_clustered(raw["order_reviews"].groupBy("order_id").agg(
+            F.avg("review_score").alias("_review"), F.count(F.lit(1)).alias("_reviews")),
+            f"{wh.path}/clustered/reviews", "order_id", buckets)
+        mean = hash_side(got["reviews"].select("order_id", "_review"), buckets)
         got["heads"] = write_clustered(
             raw["orders"].filter(named).select("order_id", "customer_id", "order_status", "order_purchase_timestamp")
-            .join(customer, "customer_id", "left").join(got["reviews"].select("order_id", "_review"), "order_id", "left")
-            .select("order_id", "customer_key", "order_status", "order_purchase_timestamp", "_review", F.lit(True).alias("_order")),
+            .join(customer, "customer_id", "left").repartition(buckets, "order_id").join(mean, "order_id", "left")
+            .select("order_id", "customer_key", "order_status", date_key("order_purchase_timestamp").alias("date_key_purchase"),
+                    F.to_date("order_purchase_timestamp").alias("_day"), time_of_day("order_purchase_timestamp").alias("_time"), "_review", F.lit(True).alias("_order")),
             f"{wh.path}/clustered/orders", "order_id", buckets)
 
     _concurrently(items, orders)
@@ -384,15 +397,29 @@ def clustered_orders(wh: Warehouse, raw: dict[str, DataFrame], buckets: int) ->
     return lines, heads
 
 
-def joined_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
+def joined_lines(lines: DataFrame, heads: DataFrame, buckets: int = 1) -> DataFrame:
     """Items with their order, without a shuffle; ``reason`` says why an item is left out."""
     reason = F.coalesce(*[F.when(F.expr(test), F.lit(r)) for r, test in ITEM_REASONS.items()])
-    return lines.join(heads, "order_id", "left").select(
-        "order_id", "order_item_id",
-        date_key("order_purchase_timestamp").alias("date_key_purchase"),
+    return lines.join(hash_side(heads, buckets), "order_id", "left").select(
+        "order_id", "order_item_id", "date_key_purchase",
         "seller_key", "product_key", "customer_key", "price", "freight_value", "order_status",
         F.bround("_review", 0).cast("int").alias("review_score"),
-        day_floor("order_purchase_timestamp", "won_date").alias("days_after_won"), reason.alias("reason"))
+        whole_days("_day", "_time", "_won_day", "_won_time").alias("days_after_won"), reason.alias("reason"))
+
+
+def order_counts(lines: DataFrame, heads: DataFrame, buckets: int = 1) -> DataFrame:
+    """Per order the items kept (``_kept``) and those left out by reason.  What an item lacks of its own is counted
+    before its order is joined, so the join meets one row per order, not per item."""
+    own = lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(F.col("seller_key").isNull()).alias("_seller"),
+        F.count_if(F.col("seller_key").isNotNull() & F.col("product_key").isNull()).alias("_product"))
+    rest, known = "_all - _seller - _product", "_order is not null"
+    parts = {"_kept": f"if({known} and customer_key is not null, {rest}, 0)", "no_order": f"if({known}, 0, _all)",
+             "unmapped_seller": f"if({known}, _seller, 0)", "unmapped_product": f"if({known}, _product, 0)",
+             "unmapped_customer": f"if({known} and customer_key is null, {rest}, 0)"}
+    # an order that is there twice takes its items twice
+    met = own.join(hash_side(heads.select("order_id", "customer_key", "_order"), buckets), "order_id", "left")
+    return met.groupBy("order_id").agg(*[F.sum(F.expr(e)).alias(n) for n, e in parts.items()])
 
 
 def land_raw(spark: SparkSession, raw: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:

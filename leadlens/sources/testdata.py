@@ -102,11 +102,12 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     price = F.col("l_extendedprice").cast("decimal(10,2)")
     # items carry the fact's volume: spread them; reviews only feed a per-order
-    # mean, which combines map-side, so they stay unspread
-    li = spread(lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate",
-                                 "l_extendedprice", "l_tax"))
-    items = (li.join(orders.select("o_orderkey", "o_custkey"), li.l_orderkey == orders.o_orderkey)
-             .select(_id("o", "l_orderkey").alias("order_id"),
+    # mean, which combines map-side, so they stay unspread.  Items meet their order by
+    # ``order_id``, by which the build clusters them: they are shuffled once for both
+    li = spread(lineitem.select(_id("o", "l_orderkey").alias("order_id"), "l_partkey", "l_linenumber", "l_shipdate",
+                                "l_extendedprice", "l_tax"))
+    items = (li.join(orders.select(_id("o", "o_orderkey").alias("order_id"), "o_custkey"), "order_id")
+             .select("order_id",
                      F.col("l_linenumber").alias("order_item_id"),
                      _id("p", "l_partkey").alias("product_id"),
                      _id("s", "o_custkey").alias("seller_id"),
