@@ -14,7 +14,7 @@ from .queries_analytics import CHANNEL_MATRIX_CTE, _cac_sql, _W3
 from .queries_stats import _CI_SELECT, _KM
 from .registry import ORACLE, register
 from .session import scratch_path, unique_name
-from .sources.raw import RAW_SCHEMAS, parsed_rows, read_csv, read_processed, rejected_rows
+from .sources.raw import RAW_SCHEMAS, outcomes, read_csv, read_processed
 from .sources.sinks import write_csv, write_json
 
 # ---------------------------------------------------------------- charts
@@ -267,8 +267,7 @@ def q_corrupt_rejects(wh: Warehouse) -> DataFrame:
     path = scratch_path(wh.spark, "csv", unique_name("orders"))
     write_csv(given, path)
     rows = read_csv(wh.spark, path, schema)
-    parts = (parsed_rows(rows).select(F.lit("read").alias("outcome"), "order_id")
-             .unionByName(rejected_rows(rows).select(F.lit("rejected").alias("outcome"), F.col("key").alias("order_id"))))
+    parts = outcomes(rows).select("outcome", F.col("key").alias("order_id"))
     return parts.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("order_id").alias("orders"))
 
 

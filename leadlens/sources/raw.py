@@ -103,6 +103,13 @@ def rejected_rows(df: DataFrame) -> DataFrame:
             .select(F.col(df.columns[0]).cast("string").alias("key"), F.col("_corrupt_record").alias("record")))
 
 
+def outcomes(df: DataFrame) -> DataFrame:
+    """Every raw CSV row as read or rejected, with its key (first column, where it was readable), in one pass."""
+    return df.filter(_all_parsed(df)).select(
+        F.when(F.col("_corrupt_record").isNull(), "read").otherwise("rejected").alias("outcome"),
+        F.col(df.columns[0]).cast("string").alias("key"))
+
+
 def read_rejects(spark: SparkSession, raw_dir: str, tables: list[str] | None = None) -> DataFrame:
     """(table, key, record) of every row that does not parse, over all raw files."""
     out = None
