@@ -144,8 +144,9 @@ def _month_rollup(wh: Warehouse, items: DataFrame) -> DataFrame:
     per = (items.groupBy("seller_key", "months_since_signing")
            .agg(F.sum("price").alias("s_revenue"))
            .join(b, "seller_key"))
+    # a seller is there once per channel and month, so its rows are counted
     return per.groupBy("lead_origin", "months_since_signing").agg(
-        F.countDistinct("seller_key").alias("active_sellers"),
+        F.count("seller_key").alias("active_sellers"),
         F.sum(F.col("s_revenue") * F.col("mult")).alias("revenue"))
 
 
