@@ -21,6 +21,7 @@ from .revenue import bridge, seller_post_signing
 from .warehouse import Warehouse
 
 LEAD_COLS = ["mqls", "closed_deals", "median_days_to_close", "p75_days_to_close"]
+FIRST = 1 << 32   # above every date key
 ITEM_COLS = ["rev", "gmv", "freight", "active_sellers", "orders", "review_sum", "review_n", "r90", "r180"]
 
 
@@ -76,7 +77,8 @@ def _seller_orders(wh: Warehouse, post_signing_only: bool, windows: tuple[int, i
             F.sum(F.when(lower & (F.col("days_after_won") <= windows[0]), F.col("price"))).alias("r90"),
             F.sum(F.when(lower & (F.col("days_after_won") <= windows[1]), F.col("price"))).alias("r180"),
             F.max(F.when(live, 1)).alias("_live"),
-            F.min(F.when(F.col("days_after_won") >= 0, F.struct("days_after_won", "date_key_purchase"))).alias("first"))
+            # (days, date key) as one number, which a hash aggregate can keep
+            F.min(F.when(F.col("days_after_won") >= 0, F.col("days_after_won") * F.lit(FIRST) + F.col("date_key_purchase"))).alias("first"))
 
     name = f"seller_orders_{'post' if post_signing_only else 'all'}_{windows[0]}_{windows[1]}"
     return wh.derived(name, build, aggregated=False)
@@ -87,7 +89,7 @@ def _first_orders(wh: Warehouse, grain: str, post_signing_only: bool, windows: t
     rows = seller_post_signing(wh)
     if grain == "month":
         first = (_seller_orders(wh, post_signing_only, windows).groupBy("seller_key").agg(F.min("first").alias("first"))
-                 .select("seller_key", "first.*").select("seller_key", *_grain_cols("month", "date_key_purchase")))
+                 .select("seller_key", (F.col("first") % FIRST).alias("date_key_purchase")).select("seller_key", *_grain_cols("month", "date_key_purchase")))
         rows = rows.select("seller_key", "days_to_first_order").join(first, "seller_key")
     return rows.groupBy(*_keys(grain)).agg(F.avg("days_to_first_order").alias("avg_days_to_first_order"))
 
