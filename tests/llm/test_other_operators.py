@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward_docs, empty_docs, prose
 from pyspark.sql import functions as F
@@ -52,6 +53,75 @@ def test_top_k_of_components_of_any_size(spark, size):
     assert {tuple(r) for r in got} == brute_top(rows, 5)
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Spark's own choice of joins, and an error instead of a broadcast beyond 8 MB."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "8m"}
+    was = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_top_k_ships_no_dealt_rows_through_the_driver(small_broadcasts):
+    """400 queries of 96 components, 80 kB, are dealt to 125 groups of candidates: 10 MB."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (2000, 96))
+    table = small_broadcasts.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vec array<long>")
+    got = topk.top_k(table, F.col("vec_id") % 5 == 0, k=3, query_block=1024, candidate_block=16).collect()
+    score = v @ v.T
+    np.fill_diagonal(score, -10_000)
+    best = np.lexsort((np.broadcast_to(np.arange(2000), score.shape), -score), axis=1)[:, :3]
+    assert {tuple(r) for r in got} == {(q, n + 1, int(i), int(score[q, i])) for q in range(0, 2000, 5) for n, i in enumerate(best[q])}
+    assert len(got) == 1200
+
+
+def test_top_k_over_many_tiles(monkeypatch):
+    """Ties at the cutoff, vectors of zeros that score 0 with all, and queries that fill several tiles of a cell."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, 5).tolist()) for i in range(700)]
+    rows += [(i, [0] * (i % 4)) for i in range(700, 760)] + [(i, [1, 1]) for i in range(760, 800)]
+    for name, value in (("TILE_QUERIES", 4), ("TILE_CANDIDATES", 16), ("FIRST_TILE", 2), ("HELD_PAIRS", 30), ("LISTED_QUERIES", 3),
+                        ("LISTED_PAIRS", 7), ("CELLS_PER_CORE", 0), ("PACKED_BYTES", 50)):
+        monkeypatch.setattr(topk, name, value)
+    for number, nodes in (("f4", 2), ("f8", 1), ("i8", 3)):
+        got = brute_cells(rows, nodes, number, keep=5)
+        best = {}
+        for q, a in rows:
+            if q % 20 == 0:
+                pairs = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)[:5]
+                best |= {(q, i): -s for s, i in pairs}
+        assert got == best
+
+
+def brute_cells(rows: list, nodes: int, number: str, keep: int) -> dict:
+    """(q, c) -> score by the phases of one cell, in this process: batches of 64 packed rows, cutoffs of phase 1."""
+    queries = [r for r in rows if r[0] % 20 == 0]
+    step = -(-5 // nodes)
+
+    def dealt(part: list, side: int, cutoff: dict) -> list:
+        packed = topk._packed(step * nodes, "i2")
+        columns = [[r[0] for r in part], [True] * len(part), [0] * len(part), [0] * len(part), [r[1] for r in part]]
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        whole = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=list("abcde"))
+        return [(side, i, v, cutoff.get(i, topk.LOWEST)) for b in packed([whole]) for i, v in zip(b.column(0).to_pylist(), b.column(4).to_pylist())]
+
+    def batches(cutoff: dict):
+        both = dealt(queries, 0, cutoff) + dealt(rows, 1, {})
+        for i in range(0, len(both), 64):
+            part = list(zip(*both[i:i + 64]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
+                                             names=["place", "rep", "vec", "cutoff"])
+
+    lists = [r for b in topk._local_lists(batches({}), nodes, "i2", number, keep) for r in b.to_pylist()]
+    assert sorted(r["q"] for r in lists) == [q for q, _ in queries]
+    found = [r for b in topk._sufficient(batches({r["q"]: min(r["scores"]) for r in lists}), nodes, "i2", number, keep) for r in b.to_pylist()]
+    assert len({(r["q"], r["c"]) for r in found}) == len(found)
+    return {(r["q"], r["c"]): r["score"] for r in found}
+
+
 def test_quantised(spark):
     rows = [(1, [0.5, -0.011]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [])]
     got = spark.createDataFrame(rows, "i int, v array<float>").select("i", topk.quantised(F.col("v")).alias("q")).collect()
